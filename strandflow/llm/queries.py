@@ -1,0 +1,24 @@
+"""The thin queries opN_<name> over the operators of this subpackage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import read_table
+from .near_dedup import near_duplicates
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("_id").alias("doc_id"), "n_shingles", "component_id",
+        F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False)).alias("kept"), "n_links",
+    )
+
+
+QUERIES = {
+    "op9_near_dedup": op9_near_dedup,
+}
+
+ORACLE_SQL: dict[str, str] = {}
