@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -73,6 +74,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def worker_cache(key, make):
+    """What make() returns, made once in each Python worker and kept there for later tasks."""
+    held = sys.modules.setdefault("_strandflow_worker", types.ModuleType("_strandflow_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 class WordHasher:
     """64-bit hashes of words, remembered up to a bounded number of distinct words."""
 
