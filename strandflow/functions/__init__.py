@@ -1 +1 @@
-
+"""Column functions over source text: margins, token classes, names and literals."""

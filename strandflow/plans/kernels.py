@@ -1,6 +1,502 @@
-"""Relational kernels and their registry."""
+"""Every relational operator on a projection of the tables, beside its DuckDB SQL.
+
+The projections are ours; what the operators compute is what they compute on parsed programs.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import edges, flow, layout, lexing, manifest, resolve
+from ..sources.tables import materialize, read_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _joined(col: str, sep: str = ","):
+    return F.array_join(F.transform(F.col(col), lambda x: x.cast("string")), sep)
+
+
+# ---------------------------------------------------------------- lines and tokens
+
+_LINES = r"""
+lines AS (SELECT doc_id, generate_subscripts(p, 1)::INT AS line, unnest(p) AS raw FROM (
+  SELECT doc_id, CASE WHEN q[-1] = '' THEN q[:-2] ELSE q END AS p FROM (
+    SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS q FROM documents WHERE text IS NOT NULL))),
+code AS (SELECT doc_id, line, raw, regexp_replace(substring(raw, 1, 72), '\s+$', '') AS code FROM lines WHERE raw NOT LIKE '*%'
+  AND trim(regexp_replace(substring(raw, 1, 72), '\s+$', '')) <> '')
+"""
+_TOKEN = r"[XPBCZxpbcz]?''[^'']*(?:''''[^'']*)*''?|[<>]=|[=()+*/<>]|[^\s,=()+*/<>'']+"
+_TOKENS = _LINES + rf""",
+toks AS (SELECT doc_id, line, generate_subscripts(t, 1)::INT - 1 AS pos, unnest(t) AS raw_token FROM (SELECT doc_id, line, regexp_extract_all(code, '{_TOKEN}') AS t FROM code)),
+tokens AS (SELECT doc_id, line, pos, CASE WHEN (length(raw_token) - length(replace(raw_token, '''', ''))) % 2 = 1 THEN raw_token || '''' ELSE raw_token END AS token FROM toks)
+"""
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return lexing.physical_lines(read_table(spark, d, "documents").where("text is not null"), "doc_id", "text")
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return lexing.line_tokens(lexing.code_lines(_lines(spark, d)))
+
+
+@query("WITH" + _LINES + "SELECT doc_id, line, code FROM code")
+def lex_lines(spark, d):
+    return lexing.code_lines(_lines(spark, d)).select("doc_id", "line", "code")
+
+
+@query("WITH" + _LINES + r"""SELECT doc_id, line, substring(tail, 1, 30) AS tail FROM (SELECT doc_id, line, trim(substring(raw, 73)) AS tail FROM lines WHERE raw NOT LIKE '*%')
+WHERE tail <> '' AND NOT regexp_matches(tail, '^[A-Za-z0-9]{1,8}$')""")
+def lex_tail_flag(spark, d):
+    return lexing.lost_tails(_lines(spark, d)).select("doc_id", "line", "tail")
+
+
+@query("WITH" + _TOKENS + "SELECT doc_id, line, pos, token FROM tokens")
+def lex_tokens(spark, d):
+    return _tokens(spark, d).select("doc_id", "line", "pos", "token")
+
+
+@query("WITH" + _TOKENS + r"""SELECT class, count(*)::BIGINT AS n, count(DISTINCT token)::BIGINT AS n_distinct FROM (SELECT token, CASE WHEN regexp_matches(token, '^[XPBCZxpbcz]?''.*''$') THEN 'literal'
+WHEN regexp_matches(token, '^[+-]?[0-9]+(\.[0-9]+)?$') THEN 'number' WHEN regexp_matches(token, '^[A-Za-z@#$][A-Za-z0-9@#$_-]*(:[A-Za-z@#$][A-Za-z0-9@#$_-]*)?$') THEN 'name' ELSE 'other' END AS class
+FROM tokens) GROUP BY class""")
+def token_class(spark, d):
+    return _tokens(spark, d).groupBy(T.token_class(F.col("token")).alias("class")).agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_distinct"))
+
+
+@query("WITH" + _TOKENS + r"""SELECT token, CASE WHEN regexp_matches(token, '^[XPBCZxpbcz]?''.*''$') THEN replace(regexp_extract(token, '^[XPBCZxpbcz]?''(.*)''$', 1), '''''', '''') ELSE token END AS value,
+CASE WHEN contains(token, ':') THEN upper(split_part(token, ':', 1)) END AS owner, count(*)::BIGINT AS n FROM tokens GROUP BY 1, 2, 3""")
+def literal_values(spark, d):
+    t = F.col("token")
+    return _tokens(spark, d).groupBy("token", T.literal_value(t).alias("value"), T.owner_part(t).alias("owner")).agg(F.count("*").alias("n"))
+
+
+@query("WITH" + _TOKENS + r"""SELECT doc_id, line FROM (SELECT doc_id, line, list(token ORDER BY pos) AS t FROM tokens GROUP BY doc_id, line)
+WHERE len(t) >= 3 AND regexp_matches(t[1], '^[A-Za-z@#$][A-Za-z0-9@#$_-]*(:[A-Za-z@#$][A-Za-z0-9@#$_-]*)?$') AND regexp_matches(t[3], '^[+-]?[0-9]+(\.[0-9]+)?$')
+AND (t[2] = '*' OR regexp_matches(t[2], '^[+-]?[0-9]+(\.[0-9]+)?$') OR regexp_matches(t[2], '^[A-Za-z@#$][A-Za-z0-9@#$_-]*(:[A-Za-z@#$][A-Za-z0-9@#$_-]*)?$'))""")
+def declaration_shape(spark, d):
+    return lexing.code_lines(_lines(spark, d)).where(T.is_field_declaration(T.tokens(F.col("code")))).select("doc_id", "line")
+
+
+@query("WITH" + _LINES + r""", m AS (SELECT *, regexp_matches(code, '[-+]$') AND (length(code) - length(replace(code, '''', ''))) % 2 = 0 AND length(trim(code)) > 1 AS goes FROM code),
+s AS (SELECT *, CASE WHEN lag(goes, 1, FALSE) OVER (PARTITION BY doc_id ORDER BY line) THEN 0 ELSE 1 END AS starts FROM m),
+i AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY line) AS island FROM s)
+SELECT doc_id, min(line) AS line, trim(string_agg(CASE WHEN goes THEN rtrim(trim(code)[:-2]) || CASE WHEN code LIKE '%+' THEN ' ' ELSE '' END ELSE trim(code) END, '' ORDER BY line)) AS text FROM i GROUP BY doc_id, island""")
+def continuation_join(spark, d):
+    return lexing.joined_continuations(lexing.code_lines(_lines(spark, d)), "doc_id")
+
+
+_SIGNALS_SQL = " ".join(f"WHEN regexp_matches(trim(raw), '{p}') THEN 'signal'" for p in lexing.LANGUAGE_SIGNALS)
+
+
+@query("WITH" + _LINES + rf""", k AS (SELECT doc_id, line, CASE WHEN regexp_matches(trim(raw), '{lexing.JOB_CONTROL}') THEN 'job control' WHEN regexp_matches(trim(raw), '{lexing.OTHER_LANGUAGE}') THEN 'other language'
+{_SIGNALS_SQL} END AS kind FROM lines WHERE raw NOT LIKE '*%' AND trim(raw) <> ''),
+n AS (SELECT *, sum(CASE WHEN kind = 'signal' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS n FROM k WHERE kind IS NOT NULL),
+f AS (SELECT doc_id, min(line) FILTER (n >= 2) AS second, min(line) FILTER (kind <> 'signal') AS other_line, arg_min(kind, line) FILTER (kind <> 'signal') AS other FROM n GROUP BY doc_id)
+SELECT doc_id, coalesce(second IS NOT NULL AND (other_line IS NULL OR other_line > second), FALSE) AS is_program,
+CASE WHEN second IS NOT NULL AND (other_line IS NULL OR other_line > second) THEN 'statements' WHEN other IS NOT NULL AND (second IS NULL OR other_line < second) THEN other ELSE 'nothing found' END AS why
+FROM (SELECT DISTINCT doc_id FROM lines) LEFT JOIN f USING (doc_id)""")
+def detect_lang(spark, d):
+    return lexing.detected_languages(_lines(spark, d), "doc_id")
+
+
+@query(r"""WITH w AS (SELECT doc_id, string_split_regex(trim(text), '\s+') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, upper(w[i]) AS k, w[i + 1] AS t FROM w, unnest(range(1, len(w) + 1)) AS r(i))
+SELECT doc_id, string_agg(DISTINCT upper(t), ',' ORDER BY upper(t)) AS tables FROM p
+WHERE k IN ('FROM', 'INTO', 'UPDATE', 'JOIN') AND t NOT LIKE ':%' AND regexp_matches(t, '^[A-Za-z@#$_][A-Za-z0-9@#$_]*(\.[A-Za-z@#$_][A-Za-z0-9@#$_]*)*$') GROUP BY doc_id""")
+def sql_tables(spark, d):
+    docs = read_table(spark, d, "documents").where("text is not null")
+    found = T.sql_tables(F.split(F.regexp_replace(F.col("text"), r"^\s+|\s+$", ""), r"\s+"))
+    return docs.select("doc_id", F.array_join(found, ",").alias("tables")).where("tables <> ''")
+
+
+@query(r"""SELECT page_id, CASE WHEN stem = '' THEN 'PROGRAM' ELSE upper(stem) END AS program FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(replace(url, '\', '/'), '([^/]*)$', 1), '\.[^.]*$', ''), '\.[^.]*$', '') AS stem FROM pages)""")
+def name_split(spark, d):
+    return read_table(spark, d, "pages").select("page_id", T.program_name(F.col("url")).alias("program"))
+
+
+@query("WITH" + _TOKENS + f"""SELECT upper(token) AS word, count(*)::BIGINT AS n FROM tokens WHERE upper(token) NOT IN ({", ".join(f"'{w}'" for w in T.NOISE_WORDS)}) GROUP BY 1""")
+def noise_filter(spark, d):
+    noise = spark.createDataFrame([(w,) for w in T.NOISE_WORDS], "word string")
+    return lexing.without_noise(_tokens(spark, d).select(F.upper("token").alias("token")), noise).groupBy(F.col("token").alias("word")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- names
+
+
+@query("SELECT p_type, string_agg(p_name, '|' ORDER BY p_name) AS declared FROM part GROUP BY p_type")
+def symbol_index(spark, d):
+    return resolve.symbol_index(read_table(spark, d, "part"), [], "p_type", "p_name").select("p_type", F.array_join("declared", "|").alias("declared"))
+
+
+@query("""WITH fields AS (SELECT c_mktsegment || '-' || (c_custkey % 97) AS name, n_name AS owner, n_name || ':' || c_mktsegment || '-' || (c_custkey % 97) AS key FROM customer JOIN nation ON c_nationkey = n_nationkey),
+refs AS (SELECT o_orderkey AS ref, n_regionkey AS scope_id, CASE WHEN o_orderkey % 7 = 0 THEN n_name END AS owner, c_mktsegment || '-' || (o_orderkey % 101) AS name
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+scope AS (SELECT n_regionkey AS scope_id, n_nationkey AS pref, n_name AS file FROM nation),
+a AS (SELECT name, count(*) AS n_all, min(key) AS only_key, string_agg(key, '|' ORDER BY key) AS all_keys FROM fields GROUP BY name),
+o AS (SELECT name, owner, count(*) AS n, min(key) AS key FROM fields GROUP BY name, owner),
+b AS (SELECT ref, arg_min(o.key, pref) AS in_scope, arg_min(file, pref) AS file FROM refs JOIN a USING (name) JOIN scope USING (scope_id) JOIN o ON o.name = refs.name AND o.owner = file AND o.n = 1 WHERE refs.owner IS NULL AND n_all > 1 GROUP BY ref),
+r AS (SELECT refs.ref, CASE WHEN refs.owner IS NOT NULL THEN CASE WHEN o.n = 1 THEN 'qualified' WHEN o.n IS NULL THEN 'qualified-missing' ELSE 'qualified-duplicate' END
+  WHEN n_all = 1 THEN 'unique' WHEN n_all IS NULL THEN 'missing' WHEN b.in_scope IS NOT NULL THEN 'scoped' ELSE 'ambiguous' END AS outcome, o.key AS own_key, only_key, in_scope, file, all_keys
+  FROM refs LEFT JOIN a USING (name) LEFT JOIN o ON o.name = refs.name AND o.owner = refs.owner LEFT JOIN b ON b.ref = refs.ref)
+SELECT ref, outcome, CASE outcome WHEN 'qualified' THEN own_key WHEN 'unique' THEN only_key WHEN 'scoped' THEN in_scope END AS key, CASE WHEN outcome = 'scoped' THEN file END AS scoped,
+CASE WHEN outcome IN ('scoped', 'ambiguous') THEN all_keys WHEN outcome = 'qualified-duplicate' THEN NULL ELSE '' END AS candidates FROM r""")
+def resolve_scoped(spark, d):
+    nation = read_table(spark, d, "nation")
+    customer = read_table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # nations are a fixed list
+    one = F.lit(1).alias("program_id")
+    name = F.concat_ws("-", "c_mktsegment", (F.col("c_custkey") % 97).cast("string"))
+    fields = customer.select(one, F.col("n_name").alias("owner"), name.alias("name"), F.concat_ws(":", "n_name", name).alias("key"))
+    refs = read_table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        one, F.col("o_orderkey").alias("ref"), F.col("n_regionkey").alias("scope_id"), F.when(F.col("o_orderkey") % 7 == 0, F.col("n_name")).alias("owner"),
+        F.concat_ws("-", "c_mktsegment", (F.col("o_orderkey") % 101).cast("string")).alias("name"),
+    )
+    scopes = nation.select(one, F.col("n_regionkey").alias("scope_id"), F.col("n_nationkey").alias("pref"), F.col("n_name").alias("file"))
+    found = resolve.resolve(refs, fields, scopes, ["program_id"])
+    shown = F.when(F.col("outcome") == "qualified-duplicate", F.lit(None)).otherwise(F.array_join("candidates", "|"))
+    return found.select("ref", "outcome", "key", "scoped", shown.alias("candidates"))
+
+
+# ---------------------------------------------------------------- layouts
+
+_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax"]
+_ORDER_SQL = ", ".join(_ORDER)
+_FIELDS_SQL = f"""f AS (SELECT *, (l_partkey % 200)::INT AS start, (l_partkey % 200 + floor(l_quantity) - 1)::INT AS stop, floor(l_quantity)::INT AS length,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER_SQL}, l_quantity, l_shipdate, l_returnflag, l_linestatus)::INT AS ord FROM lineitem)"""
+
+
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy(*_ORDER, "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")
+    rows = read_table(spark, d, "lineitem").withColumn("start", (F.col("l_partkey") % 200).cast("int")).withColumn("length", F.floor("l_quantity").cast("int"))
+    return rows.withColumn("stop", F.col("start") + F.col("length") - 1).withColumn("ord", F.row_number().over(w))
+
+
+@query(f"WITH {_FIELDS_SQL} SELECT l_orderkey, ord, start, length, coalesce(greatest(1, max(start + length) OVER (PARTITION BY l_orderkey ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1)::INT AS next_free FROM f")
+def layout_highwater(spark, d):
+    return layout.high_water(_fields(spark, d), ["l_orderkey"], ["ord"]).select("l_orderkey", "ord", "start", "length", "next_free")
+
+
+@query(f"""WITH {_FIELDS_SQL} SELECT a.l_orderkey, a.ord, string_agg(DISTINCT b.l_suppkey, ',' ORDER BY b.l_suppkey) AS others FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND a.ord <> b.ord AND b.start <= a.stop AND a.start <= b.stop GROUP BY 1, 2""")
+def layout_overlap(spark, d):
+    return layout.overlaps(_fields(spark, d), ["l_orderkey"], "ord", "l_suppkey").select("l_orderkey", "ord", _joined("others").alias("others"))
+
+
+@query(f"""WITH {_FIELDS_SQL}, m AS (SELECT DISTINCT a.l_orderkey, a.ord, a.l_partkey FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND a.ord <> b.ord AND b.start <= a.stop AND a.start <= b.stop)
+SELECT l_orderkey, array_to_string(list_transform((list(l_partkey ORDER BY l_partkey))[:8], x -> x::VARCHAR), ',') AS names FROM m GROUP BY 1""")
+def overlap_flag_top8(spark, d):
+    return layout.overlap_report(_fields(spark, d), ["l_orderkey"], "ord", "l_partkey").select("l_orderkey", _joined("names").alias("names"))
+
+
+@query("""WITH f AS (SELECT n_regionkey, n_name, n_nationkey AS ord, lag(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS redefines FROM nation)
+SELECT n_regionkey, n_name AS target, redefines AS source FROM f WHERE redefines IS NOT NULL UNION ALL SELECT n_regionkey, redefines, n_name FROM f WHERE redefines IS NOT NULL""")
+def alias_both_ways(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    f = read_table(spark, d, "nation").withColumn("redefines", F.lag("n_name").over(w)).withColumnRenamed("n_nationkey", "ord")
+    return layout.aliases(f, ["n_regionkey"], "n_name", "redefines").select("n_regionkey", "target", "source")
+
+
+@query("""SELECT c_nationkey AS nationkey, c_custkey AS target, s_suppkey AS source FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 50 = s_suppkey % 50""")
+def pair_by_name(spark, d):
+    c = read_table(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey"), (F.col("c_custkey") % 50).alias("name"), F.col("c_custkey").alias("key"))
+    s = read_table(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey"), (F.col("s_suppkey") % 50).alias("name"), F.col("s_suppkey").alias("key"))
+    return layout.pairs_by_name(c, s, ["nationkey", "name"]).select("nationkey", F.col("t_key").alias("target"), F.col("s_key").alias("source"))
+
+
+@query(f"""WITH {_FIELDS_SQL}, g AS (SELECT l_orderkey, ord, nullif(start % 8, 0) AS start, nullif(length % 4, 0) AS length FROM f)
+SELECT a.l_orderkey, a.ord AS target, min(b.ord) AS source FROM g a JOIN g b ON a.l_orderkey = b.l_orderkey AND a.start IS NOT DISTINCT FROM b.start AND a.length IS NOT DISTINCT FROM b.length WHERE a.ord % 2 = 1 AND b.ord % 2 = 0 GROUP BY 1, 2""")
+def pair_by_position(spark, d):
+    nothing = F.lit(None).cast("int")
+    g = _fields(spark, d).select("l_orderkey", "ord", F.when(F.col("start") % 8 != 0, F.col("start") % 8).otherwise(nothing).alias("start"), F.when(F.col("length") % 4 != 0, F.col("length") % 4).otherwise(nothing).alias("length"))
+    targets = g.where("ord % 2 = 1").withColumnRenamed("ord", "target")
+    sources = g.where("ord % 2 = 0").withColumn("source", F.col("ord"))
+    return layout.pairs_by_position(targets, sources, ["l_orderkey"]).select("l_orderkey", "target", "source")
+
+
+@query("""SELECT l_orderkey, l_partkey AS target, o_custkey AS source, count(*)::BIGINT AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3""")
+def position_broadcast(spark, d):
+    fields = read_table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("target"))
+    keys = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("source"))
+    return layout.positioned_by(fields, keys, ["l_orderkey"]).groupBy("l_orderkey", "target", "source").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- edges and access
+
+
+@query("""SELECT l_orderkey AS target, l_partkey AS source, 'assignment' AS via FROM lineitem UNION ALL SELECT o_orderkey, o_custkey, 'move' FROM orders UNION ALL SELECT c_custkey, c_nationkey::BIGINT, 'sort-copy' FROM customer""")
+def edge_union(spark, d):
+    line, order, cust = (read_table(spark, d, t) for t in ("lineitem", "orders", "customer"))
+    return edges.tagged_union({
+        "assignment": line.select(F.col("l_orderkey").alias("target"), F.col("l_partkey").alias("source")), "move": order.select(F.col("o_orderkey").alias("target"), F.col("o_custkey").alias("source")),
+        "sort-copy": cust.select(F.col("c_custkey").alias("target"), F.col("c_nationkey").cast("long").alias("source")),
+    })
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, p_name, p_brand, count(*)::BIGINT AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey GROUP BY ALL""")
+def lookup_table(spark, d):
+    table = read_table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
+    rows = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return edges.looked_up(rows, table, ["l_partkey"]).groupBy("l_orderkey", "l_linenumber", "l_partkey", "p_name", "p_brand").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_brand, CASE WHEN len(a) > 1 THEN array_to_string(a[2:], ',') ELSE array_to_string(a, ',') END AS sources FROM (SELECT p_brand, list(p_partkey ORDER BY p_partkey) AS a FROM part GROUP BY 1)""")
+def lookup_sources(spark, d):
+    return edges.lookup_sources(read_table(spark, d, "part").withColumn("ord", F.col("p_partkey")), ["p_brand"], "ord", "p_partkey").select("p_brand", _joined("sources").alias("sources"))
+
+
+@query("""SELECT l_orderkey, list_contains(list(DISTINCT l_partkey % 50), l_orderkey % 50) AS accumulates FROM lineitem GROUP BY 1""")
+def accumulate_flag(spark, d):
+    rows = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 50).alias("sources"))
+    return rows.select("l_orderkey", edges.accumulates(F.col("l_orderkey") % 50, F.col("sources")).alias("accumulates"))
+
+
+@query("""SELECT user_id, string_agg('set by event ' || event_id, '; ' ORDER BY ts, event_id) AS reasons FROM events WHERE event_type = 'error' GROUP BY 1""")
+def opaque_reasons(spark, d):
+    rows = read_table(spark, d, "events").where("event_type = 'error'").withColumn("reason", F.concat(F.lit("set by event "), F.col("event_id").cast("string")))
+    return edges.ordered_list(rows, ["user_id"], ["ts", "event_id"], "reason", "reasons").select("user_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+_ACCESS_SQL = """a AS (SELECT l_partkey AS file, CASE l_returnflag WHEN 'R' THEN 'read' WHEN 'A' THEN 'write' ELSE CASE WHEN l_linestatus = 'F' THEN 'update' ELSE 'read' END END AS io FROM lineitem WHERE l_quantity > 49)"""
+
+
+def _access(spark, d):
+    io = F.when(F.col("l_returnflag") == "R", "read").when(F.col("l_returnflag") == "A", "write").when(F.col("l_linestatus") == "F", "update").otherwise("read")
+    return read_table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("file"), io.alias("io"))
+
+
+@query(f"WITH {_ACCESS_SQL} SELECT file, io, count(*)::BIGINT AS n FROM a GROUP BY 1, 2")
+def access_union(spark, d):
+    return _access(spark, d).groupBy("file", "io").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ACCESS_SQL}, t AS (SELECT file, bool_or(io IN ('read', 'update')) AS r, bool_or(io IN ('write', 'update')) AS w FROM a GROUP BY 1)
+SELECT coalesce(p_partkey, file) AS file, CASE WHEN r AND w THEN 'read-write' WHEN r THEN 'read' WHEN w THEN 'write' ELSE 'unknown' END AS io FROM part FULL JOIN t ON p_partkey = file""")
+def file_io(spark, d):
+    return edges.file_directions(read_table(spark, d, "part").select(F.col("p_partkey").alias("file")), _access(spark, d), ["file"])
+
+
+@query("""SELECT o_orderpriority, string_agg(o_custkey, ',' ORDER BY first_at, o_custkey) AS printed_by FROM (SELECT o_orderpriority, o_custkey, min(o_orderkey) AS first_at FROM orders GROUP BY 1, 2) GROUP BY 1""")
+def printed_by(spark, d):
+    rows = read_table(spark, d, "orders").select("o_orderpriority", "o_custkey", "o_orderkey")
+    return edges.first_seen(rows, ["o_orderpriority"], ["o_orderkey"], "o_custkey", "names").select("o_orderpriority", _joined("names").alias("printed_by"))
+
+
+@query("""SELECT user_id, string_agg(event_type, ',' ORDER BY first_at, event_type) AS flags FROM (SELECT user_id, event_type, min({'t': ts, 'e': event_id}) AS first_at FROM events GROUP BY 1, 2) GROUP BY 1""")
+def flags_distinct_ordered(spark, d):
+    return edges.first_seen(read_table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", "flags").select("user_id", F.array_join("flags", ",").alias("flags"))
+
+
+@query("""SELECT event_id, user_id, sum(CASE WHEN event_type IN ('view', 'click') THEN 1 WHEN event_type = 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS depth FROM events""")
+def condition_depth(spark, d):
+    e = read_table(spark, d, "events")
+    return edges.condition_depth(e, ["user_id"], ["ts", "event_id"], F.col("event_type").isin("view", "click"), F.col("event_type") == "purchase").select("event_id", "user_id", "depth")
+
+
+# ---------------------------------------------------------------- flow
+
+_GRAPH_SQL = """e AS MATERIALIZED (SELECT DISTINCT (l_partkey % 40)::BIGINT AS target, (l_suppkey * 7 % 40)::BIGINT AS source FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 49 AND l_discount > 0.095),
+stop AS (SELECT DISTINCT source AS node FROM e WHERE source % 5 = 0)"""
+_WALK_SQL = f"""{_GRAPH_SQL},
+w AS (SELECT target AS sink, target AS node, [target] AS on_path, 0 AS hops, CAST(NULL AS VARCHAR) AS kind FROM (SELECT DISTINCT target FROM e)
+  UNION ALL SELECT sink, source, list_append(on_path, source), hops + 1, CASE WHEN list_contains(on_path, source) THEN 'cyclic' WHEN source IN (SELECT node FROM stop) OR source NOT IN (SELECT target FROM e) THEN 'origin' WHEN hops + 1 = 4 THEN 'truncated' END
+  FROM w JOIN e ON node = target WHERE kind IS NULL)"""
+
+
+def _graph(spark, d):
+    rows = read_table(spark, d, "lineitem").where("l_linenumber = 7 and l_quantity > 49 and l_discount > 0.095")
+    return rows.select(F.lit(1).alias("program_id"), (F.col("l_partkey") % 40).alias("target"), (F.col("l_suppkey") * 7 % 40).alias("source")).distinct()
+
+
+def _walked(spark, d):
+    e = materialize(_graph(spark, d), "graph")
+    stops = e.where("source % 5 = 0").select("program_id", F.col("source").alias("node")).distinct()
+    return flow.walk_levels(e, e.select("program_id", F.col("target").alias("node")).distinct(), stops, ["program_id"], 4)
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT target, string_agg(source, ',' ORDER BY source) AS incoming FROM e GROUP BY 1")
+def adjacency(spark, d):
+    e = _graph(spark, d).withColumn("ord", F.col("source"))
+    return flow.adjacency(e, ["program_id"], "ord").select("target", F.array_join(F.transform("incoming", lambda s: s["source"].cast("string")), ",").alias("incoming"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def origins_semi(spark, d):
+    return read_table(spark, d, "part").join(read_table(spark, d, "lineitem").where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def origins_anti(spark, d):
+    return read_table(spark, d, "part").join(read_table(spark, d, "lineitem").where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+
+
+@query(f"WITH {_GRAPH_SQL}, n AS (SELECT target AS node FROM e UNION SELECT source FROM e) SELECT node FROM n WHERE node % 5 = 0 OR node NOT IN (SELECT target FROM e)")
+def walk_origins(spark, d):
+    e = materialize(_graph(spark, d), "graph")
+    nodes = e.select("program_id", F.col("target").alias("node")).union(e.select("program_id", "source")).distinct().withColumn("file", (F.col("node") % 5).cast("int"))
+    read_only = spark.createDataFrame([(1, 0)], "program_id int, file int")
+    return flow.origins(nodes, e, read_only, ["program_id"]).select("node").distinct()
+
+
+@query(f"WITH RECURSIVE {_WALK_SQL} SELECT sink, node, hops, kind, count(*)::BIGINT AS n FROM w WHERE kind IS NOT NULL GROUP BY ALL")
+def flow_walk(spark, d):
+    return _walked(spark, d).groupBy("sink", "node", "hops", "kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_WALK_SQL} SELECT sink, coalesce(string_agg(DISTINCT node, ',' ORDER BY node) FILTER (kind <> 'truncated'), '') AS origins, count(*)::BIGINT AS paths,
+sum((kind = 'cyclic')::INT)::BIGINT AS cyclic, sum((kind = 'truncated')::INT)::BIGINT AS truncated FROM w WHERE kind IS NOT NULL GROUP BY 1""")
+def flow_rollup(spark, d):
+    return flow.rolled_up(_walked(spark, d), ["program_id"]).select("sink", _joined("origins").alias("origins"), "paths", "cyclic", "truncated")
+
+
+@query(f"""WITH RECURSIVE {_WALK_SQL}, g AS (SELECT DISTINCT target AS sink, (target + 1) % 40 AS gate FROM e)
+SELECT g.sink, gate, coalesce(string_agg(DISTINCT node, ',' ORDER BY node) FILTER (node <> gate), '') AS traces_to FROM g LEFT JOIN (SELECT sink, node FROM w WHERE kind IS NOT NULL) x ON x.sink = gate GROUP BY 1, 2""")
+def influence_trace(spark, d):
+    gates = _graph(spark, d).select("program_id", F.col("target").alias("sink"), ((F.col("target") + 1) % 40).alias("gate")).distinct()
+    return flow.influence_origins(gates, _walked(spark, d), ["program_id"]).select("sink", "gate", _joined("traces_to").alias("traces_to"))
+
+
+@query("""SELECT l_orderkey, CASE WHEN bool_or(l_discount > 0.09) THEN 'unmodelled' WHEN bool_or(l_tax > 0.07) THEN 'conditions' ELSE 'constants' END AS reason FROM lineitem GROUP BY 1""")
+def no_origin_reason(spark, d):
+    rows = read_table(spark, d, "lineitem").select("l_orderkey", (F.col("l_discount") > 0.09).alias("bad"), (F.col("l_tax") > 0.07).alias("gated"))
+    return flow.no_origin_reason(rows, ["l_orderkey"])
+
+
+@query("""SELECT user_id, event_type, string_agg(r, ',' ORDER BY at, r) AS refs FROM (SELECT user_id, event_type, props AS r, min({'t': ts, 'e': event_id}) AS at FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def dropped_refs(spark, d):
+    return edges.first_seen(read_table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "props", "refs").select("user_id", "event_type", F.array_join("refs", ",").alias("refs"))
+
+
+@query("""SELECT cn.n_name AS from_file, sn.n_name AS to_file, count(*)::BIGINT AS fields, string_agg(DISTINCT year(o_orderdate)::VARCHAR, ',' ORDER BY year(o_orderdate)::VARCHAR) AS activities
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey
+WHERE cn.n_name <> sn.n_name GROUP BY 1, 2""")
+def file_flow(spark, d):
+    line, order, cust, supp, nation = (read_table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier", "nation"))
+    names = nation.select("n_nationkey", "n_name")
+    rows = (
+        line.select("l_orderkey", "l_suppkey").join(order.select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("string").alias("activity")), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(cust.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(supp.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy("c_nationkey", "s_nationkey", "activity").agg(F.count("*").alias("n"))
+    )
+    named = rows.join(names.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("from_file")), "c_nationkey").join(names.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("to_file")), "s_nationkey")
+    # Paths are counted before the names are joined: fields is the sum of those counts.
+    found = named.where("from_file <> to_file").groupBy("from_file", "to_file").agg(F.sum("n").alias("fields"), F.array_sort(F.collect_set("activity")).alias("activities"))
+    return found.select("from_file", "to_file", "fields", F.array_join("activities", ",").alias("activities"))
+
+
+# ---------------------------------------------------------------- manifest, bindings, dependents
+
+
+@query("""SELECT rank::INT AS rank, kind, name, count(*)::BIGINT AS uses, string_agg(DISTINCT used_at, ',' ORDER BY used_at) AS touched_by FROM (
+SELECT 0 AS rank, 'file' AS kind, p_brand AS name, p_size::VARCHAR AS used_at FROM part UNION ALL SELECT 1, 'table', n_name, n_regionkey::VARCHAR FROM nation
+UNION ALL SELECT 2, 'program', c_mktsegment, c_nationkey::VARCHAR FROM customer UNION ALL SELECT 3, 'macro', o_orderpriority, o_orderstatus FROM orders) GROUP BY 1, 2, 3""")
+def manifest_union(spark, d):
+    part, nation, cust, order = (read_table(spark, d, t) for t in ("part", "nation", "customer", "orders"))
+    made = manifest.artifacts({
+        "file": part.select(F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("used_at")), "table": nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("used_at")),
+        "program": cust.select(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").cast("string").alias("used_at")), "macro": order.select(F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("used_at")),
+    }, [])
+    return made.select("rank", "kind", "name", "uses", F.array_join("touched_by", ",").alias("touched_by"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size < 10 THEN 'virtual file' WHEN p_type LIKE 'S%' THEN 'instream table' WHEN p_retailprice > 1500 THEN 'report' END AS reason FROM part""")
+def excluded_reasons(spark, d):
+    tests = {"virtual file": F.col("p_size") < 10, "instream table": F.col("p_type").startswith("S"), "report": F.col("p_retailprice") > 1500}
+    return manifest.split_exclusions(read_table(spark, d, "part"), tests).select("p_partkey", "reason")
+
+
+@query("""SELECT c_custkey, name, coalesce(m.base, a.base, t.name) AS base, CASE WHEN m.base IS NOT NULL THEN 'map' WHEN a.base IS NOT NULL THEN 'resolver' END AS resolved_via
+FROM (SELECT c_custkey, c_name AS name FROM customer) t LEFT JOIN (SELECT c_name AS name, 'M.' || c_mktsegment AS base FROM customer WHERE c_custkey % 3 = 0) m USING (name) LEFT JOIN (SELECT c_name AS name, 'R.' || c_mktsegment AS base FROM customer WHERE c_custkey % 2 = 0) a USING (name)""")
+def synonym_priority(spark, d):
+    c = read_table(spark, d, "customer")
+    tables = c.select("c_custkey", F.col("c_name").alias("name"))
+    supplied = c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("name"), F.concat(F.lit("M."), "c_mktsegment").alias("base"))
+    answered = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("name"), F.concat(F.lit("R."), "c_mktsegment").alias("base"))
+    return manifest.with_base_tables(tables, supplied, answered)
+
+
+_DD_SQL = """dd AS (SELECT 'S' || (l_orderkey % 500) AS step, CASE WHEN l_linenumber = 1 THEN 'SYSIN' ELSE 'DD' || l_linenumber END AS ddname, 'LIB.P' || (l_partkey % 60) AS dataset,
+CASE WHEN l_returnflag = 'R' THEN 'P' || (l_partkey % 60) END AS member, l_orderkey * 100 + l_suppkey AS ord FROM lineitem),
+progs AS (SELECT DISTINCT 'P' || (p_partkey % 80) AS program FROM part)"""
+
+
+def _allocations(spark, d):
+    rows = read_table(spark, d, "lineitem")
+    p = F.concat(F.lit("P"), (F.col("l_partkey") % 60).cast("string"))
+    return rows.select(
+        F.concat(F.lit("S"), (F.col("l_orderkey") % 500).cast("string")).alias("step"), F.when(F.col("l_linenumber") == 1, "SYSIN").otherwise(F.concat(F.lit("DD"), F.col("l_linenumber").cast("string"))).alias("ddname"),
+        F.concat(F.lit("LIB."), p).alias("dataset"), F.when(F.col("l_returnflag") == "R", p).alias("member"), (F.col("l_orderkey") * 100 + F.col("l_suppkey")).alias("ord"),
+    )
+
+
+def _programs(spark, d):
+    return read_table(spark, d, "part").select(F.concat(F.lit("P"), (F.col("p_partkey") % 80).cast("string")).alias("program")).distinct()
+
+
+_STEPS_SQL = "s AS (SELECT program, upper(step) AS step, min(ord) AS ord FROM dd JOIN progs ON program = upper(coalesce(member, regexp_extract(dataset, '([^.]*)$', 1))) WHERE upper(ddname) = 'SYSIN' GROUP BY 1, 2)"
+
+
+@query(f"WITH {_DD_SQL}, {_STEPS_SQL} SELECT program, step, ord FROM s")
+def steps_running(spark, d):
+    return manifest.steps_running(_allocations(spark, d), _programs(spark, d)).select("program", "step", "ord")
+
+
+_ROUTES_SQL = f"""{_DD_SQL}, {_STEPS_SQL}, c AS (SELECT program, step, 0 AS rank, 'caller' AS route FROM s WHERE program IN ('P1', 'P2') AND step LIKE '%1' UNION SELECT program, step, 1, 'program' FROM s WHERE step LIKE '%7' UNION SELECT program, step, 2, 'member' FROM s),
+r AS (SELECT program, step, route FROM c QUALIFY rank = min(rank) OVER (PARTITION BY program))"""
+
+
+def _steps(spark, d):
+    s = materialize(manifest.steps_running(_allocations(spark, d), _programs(spark, d)), "steps")
+    return manifest.chosen_steps(s.where("program in ('P1', 'P2') and step like '%1'"), s.where("step like '%7'"), s)
+
+
+@query(f"WITH {_ROUTES_SQL} SELECT program, step, route FROM r")
+def bind_precedence(spark, d):
+    return _steps(spark, d).select("program", "step", "route")
+
+
+@query(f"""WITH {_ROUTES_SQL}, f AS (SELECT program, ddname FROM progs, (VALUES ('dd2'), ('DD3'), ('DD9')) v(ddname)), b AS (SELECT step, ddname, dataset, min(ord) AS ord FROM dd WHERE ddname <> 'SYSIN' AND ord % 11 = 0 GROUP BY 1, 2, 3),
+x AS (SELECT f.program, f.ddname, b.step, b.dataset, b.ord, r.route FROM f JOIN r USING (program) JOIN b ON b.step = r.step AND upper(b.ddname) = upper(f.ddname)
+  UNION ALL SELECT f.program, f.ddname, b.step, b.dataset, b.ord, 'name-alone' FROM f JOIN b ON upper(b.ddname) = upper(f.ddname) WHERE f.program NOT IN (SELECT program FROM r)),
+l AS (SELECT program, ddname, step, route, string_agg(dataset, '+' ORDER BY ord, dataset) AS reading FROM x GROUP BY ALL),
+g AS (SELECT program, ddname, count(DISTINCT reading) AS n, min(reading) AS one, string_agg(DISTINCT reading, '|' ORDER BY reading) AS candidates, min(route) AS route FROM l GROUP BY 1, 2)
+SELECT f.program, f.ddname, CASE WHEN n = 1 THEN one END AS dataset, CASE WHEN n > 1 THEN candidates END AS candidates, route, CASE WHEN n = 1 THEN 'global' WHEN n > 1 THEN 'candidates' ELSE 'program-local' END AS identity FROM f LEFT JOIN g USING (program, ddname)""")
+def bind_readings(spark, d):
+    names = spark.createDataFrame([("dd2",), ("DD3",), ("DD9",)], "ddname string")
+    files = _programs(spark, d).crossJoin(F.broadcast(names))  # three names for each program
+    bindings = _allocations(spark, d).where("ddname <> 'SYSIN' and ord % 11 = 0").groupBy("step", "ddname", "dataset").agg(F.min("ord").alias("ord"))
+    return manifest.bound_files(files, bindings, _steps(spark, d))
+
+
+@query("""WITH asks AS (SELECT c_custkey, c_name AS name, c_mktsegment AS kind, c_acctbal > 0 AS asked FROM customer), cov AS (SELECT DISTINCT c_name AS name, c_mktsegment AS kind FROM customer WHERE c_custkey % 4 <> 0),
+ans AS (SELECT c_name AS name, c_mktsegment AS kind, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 4 <> 0 AND o_orderstatus = 'F' GROUP BY 1, 2)
+SELECT c_custkey, CASE WHEN NOT asked THEN 'never-asked' WHEN cov.name IS NULL THEN 'unanswered' WHEN n IS NULL THEN 'none-found' ELSE 'provided' END AS state, CASE WHEN asked AND cov.name IS NOT NULL THEN coalesce(n, 0)::BIGINT END AS n_dependents
+FROM asks LEFT JOIN cov USING (name, kind) LEFT JOIN ans USING (name, kind)""")
+def dependents_three_way(spark, d):
+    c = read_table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"), (F.col("c_acctbal") > 0).alias("asked"))
+    covered = c.where("c_custkey % 4 <> 0").select("name", "kind").distinct()
+    answers = read_table(spark, d, "orders").where("o_orderstatus = 'F'").join(c.where("c_custkey % 4 <> 0"), F.col("o_custkey") == F.col("c_custkey")).select("name", "kind")
+    return manifest.dependents(c, answers, covered).select("c_custkey", "state", "n_dependents")
+
+
+@query("""SELECT c_custkey, sha256(c_custkey || '|' || c_name || '|' || c_nationkey || '|' || c_mktsegment) AS digest FROM customer""")
+def golden_digest(spark, d):
+    text = F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", F.col("c_nationkey").cast("string"), "c_mktsegment")
+    return read_table(spark, d, "customer").select("c_custkey", F.sha2(text, 256).alias("digest"))
