@@ -119,6 +119,6 @@ def words_between(toks: Column, start: str, stop: str) -> Column:
 
 def sql_tables(words: Column, keywords: tuple[str, ...] = ("FROM", "INTO", "UPDATE", "JOIN")) -> Column:
     """Distinct table names after the keywords, upper case, sorted; host variables (:name) are skipped."""
-    pairs = F.transform(words, lambda w, i: F.struct(F.upper(w).alias("k"), F.get(words, i + 1).alias("t")))
-    found = F.filter(pairs, lambda p: p["k"].isin(*keywords) & p["t"].isNotNull() & ~p["t"].startswith(":") & p["t"].rlike(SQL_NAME))
+    pairs = F.arrays_zip(words.alias("k"), F.slice(words, F.lit(2), F.size(words)).alias("t"))
+    found = F.filter(pairs, lambda p: F.upper(p["k"]).isin(*keywords) & p["t"].isNotNull() & ~p["t"].startswith(":") & p["t"].rlike(SQL_NAME))
     return F.array_sort(F.array_distinct(F.transform(found, lambda p: F.upper(p["t"]))))

@@ -130,10 +130,10 @@ def name_split(spark, d):
     return read_table(spark, d, "pages").select("page_id", T.program_name(F.col("url")).alias("program"))
 
 
-@query("WITH" + _TOKENS + f"""SELECT upper(token) AS word, count(*)::BIGINT AS n FROM tokens WHERE upper(token) NOT IN ({", ".join(f"'{w}'" for w in T.NOISE_WORDS)}) GROUP BY 1""")
+@query("WITH" + _TOKENS + rf"""SELECT upper(token) AS word, count(*)::BIGINT AS n FROM tokens WHERE regexp_matches(token, '^[A-Za-z@#$][A-Za-z0-9@#$_-]*(:[A-Za-z@#$][A-Za-z0-9@#$_-]*)?$') AND upper(token) NOT IN ({", ".join(f"'{w}'" for w in T.NOISE_WORDS)}) GROUP BY 1""")
 def noise_filter(spark, d):
     noise = spark.createDataFrame([(w,) for w in T.NOISE_WORDS], "word string")
-    return lexing.without_noise(_tokens(spark, d).select(F.upper("token").alias("token")), noise).groupBy(F.col("token").alias("word")).agg(F.count("*").alias("n"))
+    return lexing.without_noise(_tokens(spark, d).where(T.is_name(F.col("token"))).select(F.upper("token").alias("token")), noise).groupBy(F.col("token").alias("word")).agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- names
@@ -199,7 +199,7 @@ def layout_overlap(spark, d):
 
 
 @query(f"""WITH {_FIELDS_SQL}, m AS (SELECT DISTINCT a.l_orderkey, a.ord, a.l_partkey FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND a.ord <> b.ord AND b.start <= a.stop AND a.start <= b.stop)
-SELECT l_orderkey, array_to_string(list_transform((list(l_partkey ORDER BY l_partkey))[:8], x -> x::VARCHAR), ',') AS names FROM m GROUP BY 1""")
+SELECT l_orderkey, array_to_string(list_transform((list(l_partkey ORDER BY l_partkey))[:8], lambda x: x::VARCHAR), ',') AS names FROM m GROUP BY 1""")
 def overlap_flag_top8(spark, d):
     return layout.overlap_report(_fields(spark, d), ["l_orderkey"], "ord", "l_partkey").select("l_orderkey", _joined("names").alias("names"))
 
@@ -379,7 +379,7 @@ def no_origin_reason(spark, d):
     return flow.no_origin_reason(rows, ["l_orderkey"])
 
 
-@query("""SELECT user_id, event_type, string_agg(r, ',' ORDER BY at, r) AS refs FROM (SELECT user_id, event_type, props AS r, min({'t': ts, 'e': event_id}) AS at FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+@query("""SELECT user_id, event_type, string_agg(r, ',' ORDER BY first_at, r) AS refs FROM (SELECT user_id, event_type, props AS r, min({'t': ts, 'e': event_id}) AS first_at FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def dropped_refs(spark, d):
     return edges.first_seen(read_table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "props", "refs").select("user_id", "event_type", F.array_join("refs", ",").alias("refs"))
 
@@ -487,13 +487,13 @@ def bind_readings(spark, d):
 
 @query("""WITH asks AS (SELECT c_custkey, c_name AS name, c_mktsegment AS kind, c_acctbal > 0 AS asked FROM customer), cov AS (SELECT DISTINCT c_name AS name, c_mktsegment AS kind FROM customer WHERE c_custkey % 4 <> 0),
 ans AS (SELECT c_name AS name, c_mktsegment AS kind, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 4 <> 0 AND o_orderstatus = 'F' GROUP BY 1, 2)
-SELECT c_custkey, CASE WHEN NOT asked THEN 'never-asked' WHEN cov.name IS NULL THEN 'unanswered' WHEN n IS NULL THEN 'none-found' ELSE 'provided' END AS state, CASE WHEN asked AND cov.name IS NOT NULL THEN coalesce(n, 0)::BIGINT END AS n_dependents
+SELECT c_custkey, CASE WHEN NOT asked THEN 'never-asked' WHEN cov.name IS NULL THEN 'unanswered' WHEN n IS NULL THEN 'none-found' ELSE 'provided' END AS state, CASE WHEN asked AND cov.name IS NOT NULL THEN coalesce(n, 0)::VARCHAR END AS n_dependents
 FROM asks LEFT JOIN cov USING (name, kind) LEFT JOIN ans USING (name, kind)""")
 def dependents_three_way(spark, d):
     c = read_table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"), (F.col("c_acctbal") > 0).alias("asked"))
     covered = c.where("c_custkey % 4 <> 0").select("name", "kind").distinct()
     answers = read_table(spark, d, "orders").where("o_orderstatus = 'F'").join(c.where("c_custkey % 4 <> 0"), F.col("o_custkey") == F.col("c_custkey")).select("name", "kind")
-    return manifest.dependents(c, answers, covered).select("c_custkey", "state", "n_dependents")
+    return manifest.dependents(c, answers, covered).select("c_custkey", "state", F.col("n_dependents").cast("string").alias("n_dependents"))
 
 
 @query("""SELECT c_custkey, sha256(c_custkey || '|' || c_name || '|' || c_nationkey || '|' || c_mktsegment) AS digest FROM customer""")
