@@ -1,12 +1,74 @@
-"""Corpus preparation: language, near duplicates, decontamination, secrets, packing."""
+"""Corpus preparation in five stages: language, near duplicates, decontamination, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. All but the
+last return the columns of documents. Every stage works on all that the one before kept, and none of them samples or caps.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandflow.llm.common import materialize, read_table
+from strandflow.llm.decontaminate import find_overlaps
+from strandflow.llm.language_id import identify
+from strandflow.llm.near_dedup import near_duplicates
+from strandflow.llm.packing import pack
+from strandflow.llm.secrets import find_secrets
+
+
+def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told; those that language identification rejects go (null and empty texts among them)."""
+    found = identify(docs, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    return _as_documents(found.where(~F.col("rejected")), docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of every group of near duplicates."""
+    return _as_documents(near_duplicates(docs, keep_rows=True).where("is_first"), docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents without a verified overlap with any benchmark item."""
+    found = find_overlaps(docs, read_table(spark, sf_dir, "benchmark"))
+    return _as_documents(found.where(F.size("hits") == 0), docs)
+
+
+def secret_links(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every document, with its secrets replaced by a mark; n_chars follows the text."""
+    found = find_secrets(docs, redact=True)
+    changed = F.size("spans") > 0
+    cols = {c: F.col("_row").getField(c) for c in docs.columns}
+    cols["text"] = F.when(changed, F.col("redacted")).otherwise(cols["text"])
+    cols["n_chars"] = F.when(changed, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(cols["n_chars"])
+    return found.select(*[x.alias(c) for c, x in cols.items()])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 ids, the ids as four little-endian bytes each."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("secrets", secret_links),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: Language models and token ids have no SQL form; the tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialize(docs, f"stage-{name}")
+    return docs

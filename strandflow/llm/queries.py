@@ -12,6 +12,7 @@ from .extract_html import extract_pages
 from .language_id import identify
 from .near_dedup import near_duplicates
 from .packing import pack
+from .substring_dedup import repeated_passages
 from .toxicity import score_toxicity
 from .vector_search import search
 
@@ -45,6 +46,10 @@ def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_row.doc_id").alias("doc_id"), *_digest(F.col("spans"), ("assign", "access", "hex")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -87,6 +92,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_links": op2_secret_links,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_learned_partitions": op4_learned_partitions,
     "op5_concatenate_and_cut": op5_concatenate_and_cut,
     "op6_toxicity": op6_toxicity,

@@ -21,8 +21,8 @@ from .common import mix64, ship
 
 BITS = 20
 TRAIN_ROWS = 15_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 1e-3
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1e-3
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
