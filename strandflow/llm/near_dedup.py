@@ -4,11 +4,11 @@ A document is the set of its distinct five-word shingles, hashed once to 63 bits
 k smallest hashes. The steps:
 
 1. Documents with equal sets form one class; only its first row goes on.
-2. Inverted lists of retained values. Two sets with similarity of 0.75 share at least T of k = 64 values
-   (the k smallest of the union hold Binomial(64, 0.75) shared ones; fewer than T = 26 has a
-   probability of 1.3e-9). So, with values in one order, rarest first, some shared value is among the first
-   k - T + 1 of each: only those are kept, and values that one document alone holds use up that
-   prefix, so documents without a partner drop out here.
+2. Inverted lists of retained values. The k = 64 smallest values of a union are a sample of it without return, so
+   two sets with similarity of 0.75 share at least T(size) of their retained values, but for a probability under
+   MISS (a hypergeometric tail; 26 for very large sets, 43 for a set of 64, all common ones for smaller sets). So, with
+   values in one order, rarest first, some shared value is among the first k - T + 1 of each: only those
+   are kept, and values that one document alone holds use up that prefix, so documents without a partner drop out here.
 3. In every list, members meet a leader (a few rounds with other leaders follow where a list still holds
    several components). Then what a list still holds from different components meets in
    blocks of bounded size, so that no link is lost, whatever the length of a list.
@@ -23,6 +23,8 @@ component_id is the least non-null doc_id in its component, or null.
 
 from __future__ import annotations
 
+from math import exp, lgamma, log
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,12 +35,14 @@ from .common import WordHasher, ascii_words, materialize, shingle_hashes, ship
 from .components import connected_components
 
 K = 64
-#: Fewer shared retained values than this has a probability under 1.3e-9 at similarity 0.75.
-SHARED = 26
+#: The probability that two sets of similarity 0.75 share fewer retained values than asked for.
+MISS = 1.3e-9
+#: Sizes from which the bound of very large sets is used.
+TABLE = 3000
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Members of one block in the exact rest; rounds of leaders before it; salts of a leader's group.
-BLOCK, LEADER_ROUNDS, SALTS = 192, 3, 32
+BLOCK, LEADER_ROUNDS, SALTS = 1024, 3, 32
 
 _SKETCH_FIELDS = "n_shingles long, digest binary, sketch array<long>"
 
@@ -74,9 +78,46 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return materialize(out, "sketch")
 
 
-def _required(size):
-    """Shared retained values that a partner must have at least, for a sketch of this size."""
-    return F.when(size >= K, F.lit(SHARED)).otherwise(F.ceil(size / 2)).cast("int")
+def shared_in_sample(union: int | None) -> int:
+    """The least number of shared values among the K smallest of a union of this size (None: unbounded), but for MISS."""
+    if union is not None and union <= K:
+        return -(-NUMERATOR * union // DENOMINATOR)
+    if union is None:
+        logs = [lgamma(K + 1) - lgamma(x + 1) - lgamma(K - x + 1) + x * log(0.75) + (K - x) * log(0.25) for x in range(K + 1)]
+    else:
+        both = -(-NUMERATOR * union // DENOMINATOR)
+
+        def choose(n, r):
+            return lgamma(n + 1) - lgamma(r + 1) - lgamma(n - r + 1) if 0 <= r <= n else float("-inf")
+
+        logs = [choose(both, x) + choose(union - both, K - x) - choose(union, K) for x in range(K + 1)]
+    total = 0.0
+    for x, p in enumerate(logs):
+        total += exp(p)
+        if total >= MISS:
+            return x
+    return K
+
+
+def required_table() -> list[int]:
+    """For a set of size 0, 1, ..., TABLE: shared retained values that a partner must have at least.
+
+    A partner's union with a set of size n has at most n / 0.75 values. A set under K values is retained whole; its partner
+    may have lost up to a quarter of the union, so K - K / 3 values are the most to ask for.
+    """
+    small = [min(-(-NUMERATOR * n // DENOMINATOR), K - K // 3) for n in range(K)]
+    return small + [min(shared_in_sample(n * DENOMINATOR // NUMERATOR), small[-1]) for n in range(K, TABLE)] + [shared_in_sample(None)]
+
+
+def sample_table() -> list[int]:
+    """For a union of 0, 1, ..., TABLE values: shared ones among its K smallest, at least."""
+    return [shared_in_sample(n) for n in range(TABLE)] + [shared_in_sample(None)]
+
+
+def _required(n):
+    """Shared retained values that a partner must have at least, for a set of n values."""
+    table = required_table()
+    return F.element_at(F.lit(table), (F.least(n, F.lit(TABLE)) + 1).cast("int"))
 
 
 def _prefixes(reps: DataFrame) -> DataFrame:
@@ -87,7 +128,7 @@ def _prefixes(reps: DataFrame) -> DataFrame:
         postings.join(held, "v").groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
     )
     size = F.size("sketch")
-    room = size - _required(size) + 1 - (size - F.size("vs"))
+    room = size - _required(F.col("n_shingles")) + 1 - (size - F.size("vs"))
     return (
         ranked.join(reps.select("_rid", "n_shingles", "sketch"), "_rid")
         .withColumn("prefix", F.slice("vs", 1, F.greatest(room, F.lit(0)))["v"])
@@ -107,7 +148,9 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     joined = pairs.join(a, "a").join(b, "b").where(_similar_enough(F.col("na"), F.col("nb")))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("union")))
-    return joined.withColumn("union", union).where(shared * K >= F.size("union") * SHARED).select("a", "b")
+    most = F.floor((F.col("na") + F.col("nb")) * DENOMINATOR / (DENOMINATOR + NUMERATOR))  # the union at the threshold
+    needed = F.element_at(F.lit(sample_table()), (F.least(most, F.lit(TABLE)) + 1).cast("int"))
+    return joined.withColumn("union", union).where(shared >= F.least(needed, F.ceil(F.size("union") * 0.75))).select("a", "b")
 
 
 def _verify_batches(batches):
@@ -141,47 +184,117 @@ def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify_batches, "a long, b long, n_shared long, n_union long")
 
 
-def _block_batches(batches):
-    """Rows (v, i, j, side, _rid, comp, n_shingles, sketch), sorted by v, i, j: pairs of one block that may be similar."""
-
-    def pairs(rows):
-        if len(rows) < 2:
-            return
-        side = np.array([r[0] for r in rows])
-        comp = np.array([r[2] for r in rows])
-        n = np.array([r[3] for r in rows])
-        sets = [np.array(r[4], dtype=np.int64) for r in rows]
-        sizes = np.array([len(s) for s in sets])
-        _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        many = np.cumsum(held > 1) - 1
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        keep = (held > 1)[at]
-        m = np.zeros((len(rows), int((held > 1).sum())), dtype=np.float32)
-        m[owner[keep], many[at[keep]]] = 1
-        shared = m @ m.T
-        need = np.where(sizes >= K, SHARED, np.ceil(sizes / 2))
-        ok = (shared >= np.minimum(need[:, None], need[None, :])) & (comp[:, None] != comp[None, :])
-        ok &= np.minimum(n[:, None], n[None, :]) * DENOMINATOR >= np.maximum(n[:, None], n[None, :]) * NUMERATOR
-        ok &= (side[:, None] == 0) & ((side[None, :] == 1) if side.any() else np.triu(np.ones_like(ok), 1))
-        for x, y in zip(*np.nonzero(ok)):
-            yield min(rows[x][1], rows[y][1]), max(rows[x][1], rows[y][1])
+def _shared_counts(left: list, right: list) -> np.ndarray:
+    """How many values each list of the left shares with each of the right; columns in bounded chunks."""
+    values = np.concatenate([*left, *right])
+    _, at, held = np.unique(values, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    keep = held[at] > 1
+    column, owner = (np.cumsum(held > 1) - 1)[at][keep], owner[keep]
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, int((held > 1).sum()), 8192):
+        own = (column >= first) & (column < first + 8192)
+        m = np.zeros((len(left) + len(right), 8192), dtype=np.float32)
+        m[owner[own], column[own] - first] = 1
+        shared += m[: len(left)] @ m[len(left) :].T
+    return shared
 
-    key, rows, out = None, [], []
 
-    def flush():
-        a, b = [p[0] for p in out], [p[1] for p in out]
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _candidates(rows: list, needed: np.ndarray, required: np.ndarray, v: int):
+    """Pairs of one block whose union sketch doesn't exclude the threshold, and that share no value before v.
 
+    Rows: (side, _rid, comp, n_shingles, prefix size, values), the retained values with the prefix first.
+    """
+    side, comp, n = (np.array([r[j] for r in rows]) for j in (0, 2, 3))
+    if len(rows) < 2 or (comp == comp[0]).all() or side.any() and side.all():
+        return
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    need = required[np.minimum(n, TABLE)]
+    ok = _shared_counts([rows[i][5] for i in left], [rows[i][5] for i in right]) >= np.minimum(need[left][:, None], need[right][None, :])
+    ok &= comp[left][:, None] != comp[right][None, :]
+    ok &= np.minimum(n[left][:, None], n[right][None, :]) * DENOMINATOR >= np.maximum(n[left][:, None], n[right][None, :]) * NUMERATOR
+    if not side.any():
+        ok &= np.triu(np.ones_like(ok), 1)
+    if not ok.any():
+        return
+    before = [r[5][: r[4]][r[5][: r[4]] < v] for r in rows]
+    ok &= _shared_counts([before[i] for i in left], [before[i] for i in right]) == 0  # else found in that value's list
+    for x, y in zip(*np.nonzero(ok)):
+        a, b = left[x], right[y]
+        union = np.union1d(rows[a][5], rows[b][5])[:K]
+        common = np.intersect1d(rows[a][5], rows[b][5], assume_unique=True)
+        most = int((n[a] + n[b]) * DENOMINATOR // (DENOMINATOR + NUMERATOR))
+        if np.searchsorted(common, union[-1], "right") >= min(needed[min(most, TABLE)], -(-NUMERATOR * len(union) // DENOMINATOR)):
+            yield a, b
+
+
+def _streamed(batches, columns, make, finish):
+    """Runs make(key, rows) on every group of rows sorted by v, i, j; hands on what finish makes of its results, batch by batch."""
+    key, rows, out = None, [], []
     for batch in batches:
-        for v, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("v", "i", "j", "side", "_rid", "comp", "n_shingles", "sketch"))):
-            if (v, i, j) != key:
-                out += pairs(rows)
-                key, rows = (v, i, j), []
-            rows.append(row)
-        yield flush()
-    out += pairs(rows)
-    yield flush()
+        for row in zip(*(batch.column(c).to_numpy(zero_copy_only=False) if c == "ordered" else batch.column(c).to_pylist() for c in ("v", "i", "j", *columns))):
+            if row[:3] != key:
+                if rows:
+                    out += make(key, rows)
+                key, rows = row[:3], []
+            rows.append(row[3:])
+        yield finish(out)
+        out = []
+    if rows:
+        out += make(key, rows)
+    yield finish(out)
+
+
+def _block_batches(batches):
+    """Rows (v, i, j, side, _rid, comp, n_shingles, n_prefix, ordered): every document with candidates, and its partners."""
+    needed, required = np.array(sample_table()), np.array(required_table())
+
+    def make(key, rows):
+        partners: dict[int, list[int]] = {}
+        for a, b in _candidates(rows, needed, required, key[0]):
+            partners.setdefault(rows[a][1], []).append(rows[b][1])
+            partners.setdefault(rows[b][1], [])
+        return [(*key, rid, own) for rid, own in partners.items()]
+
+    def finish(out):
+        cols = list(zip(*out)) or [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["v", "i", "j", "_rid", "partners"])
+
+    return _streamed(batches, ("side", "_rid", "comp", "n_shingles", "n_prefix", "ordered"), make, finish)
+
+
+def _confirm_batches(batches):
+    """Rows (v, i, j, _rid, partners, text): a spanning forest of each block's links, confirmed on full sets."""
+    hasher = WordHasher()
+
+    def make(key, rows):
+        sets = {rid: shingle_hashes(hasher(ascii_words(text.encode())), WIDTH) for rid, _, text in rows}
+        root = {rid: rid for rid in sets}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for rid, partners, _ in rows:
+            for other in partners:
+                a, b = find(rid), find(other)
+                if a == b:
+                    continue
+                inter = len(np.intersect1d(sets[rid], sets[other], assume_unique=True))
+                union = len(sets[rid]) + len(sets[other]) - inter
+                if DENOMINATOR * inter >= NUMERATOR * union:
+                    root[max(a, b)] = min(a, b)
+                    yield min(rid, other), max(rid, other), inter, union
+
+    def finish(out):
+        cols = list(zip(*out)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n_shared", "n_union"])
+
+    return _streamed(batches, ("_rid", "partners", "_body"), make, finish)
 
 
 def _with_components(prefixes: DataFrame, components: DataFrame) -> DataFrame:
@@ -197,18 +310,23 @@ def _open_lists(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, lists
 
 
-def _rest_in_blocks(prefixes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) over components, from all lists that still hold several, in bounded blocks."""
+def _rest_in_blocks(prefixes: DataFrame, table: DataFrame) -> DataFrame:
+    """Links (a, b, n_shared, n_union) that join components, from all lists that still hold several, in bounded blocks.
+
+    Sketches meet first; texts follow only for documents with candidates, once for each block, however many partners they have there.
+    """
     _, lists = _open_lists(prefixes)
-    rows = prefixes.select(F.explode("prefix").alias("v"), "_rid", "comp", "n_shingles", "sketch").join(lists, "v")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("_rid"), F.col("blocks")).cast("int"))
+    ordered = F.concat("prefix", F.array_except("sketch", "prefix"))
+    rows = prefixes.select(F.explode("prefix").alias("v"), "_rid", "comp", "n_shingles", F.size("prefix").alias("n_prefix"), ordered.alias("ordered")).join(lists, "v")
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("_rid"), F.col("blocks")).cast("int"))
     meets = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "_rid", "comp", "n_shingles", "sketch",
+        "_rid", "comp", "n_shingles", "n_prefix", "ordered",
     )
     dealt = meets.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
-    return dealt.mapInArrow(_block_batches, "a long, b long").distinct()
+    found = materialize(dealt.mapInArrow(_block_batches, "v long, i int, j int, _rid long, partners array<long>"), "rest")
+    with_text = found.join(table.select("_rid", "_body"), "_rid").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "_rid")
+    return with_text.mapInArrow(_confirm_batches, "a long, b long, n_shared long, n_union long")
 
 
 def link_documents(table: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -231,8 +349,7 @@ def link_documents(table: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         links = links.unionAll(found)
         components = materialize(connected_components(links), "components")
-    rest = _estimated(_rest_in_blocks(_with_components(prefixes, components)), prefixes)
-    found = materialize(_verified(rest, table), "links")
+    found = materialize(_rest_in_blocks(_with_components(prefixes, components), table), "links")
     return classes, materialize(links.unionAll(found).distinct(), "links")
 
 
