@@ -11,8 +11,8 @@ sidebar, notice, advert, form, script, style or reader comment goes whether shar
 (else main) element, only lines inside it count; else all that differencing leaves, unless nearly all lines are
 shared (a copy of the page), when the shared lines stay.
 
-Null and empty html give an empty text. Pages without a host are paired among themselves. Repeated rows and ids are pages
-of their own. Nothing is cut from long pages.
+Null and empty html give an empty text. Pages without a host are paired among themselves. Rows that repeat an id
+are pages of their own; rows equal in id, URL and html are one page for the pairing. Nothing is cut from long pages.
 """
 
 from __future__ import annotations
@@ -43,7 +43,6 @@ NAMED = re.compile(
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: Two pages that share this part of the shorter one's lines are copies of each other.
 COPY_SHARE = 0.8
-LINES = "array<struct<text:string,main:boolean,away:boolean>>"
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -200,28 +199,34 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[str, bool, bool]], hashes: list[int], neighbours: list[list[int]]) -> str:
-    """The page's text: shared lines deleted, as the module says."""
+def deleted_lines(hashes: list[int], neighbours: list[list[int]]) -> list[int]:
+    """Positions of the lines that a page shares with a neighbour; none for a neighbour that is nearly a copy."""
     gone: set[int] = set()
     for other in neighbours:
         shared = shared_lines(hashes, other)
         if len(shared) < COPY_SHARE * min(len(hashes), len(other)):
             gone |= shared
-    inside = any(main for _, main, away in lines if not away)
-    kept = [text for i, (text, main, away) in enumerate(lines) if not away and (main if inside else i not in gone)]
-    return "\n".join(kept)
+    return sorted(gone)
 
 
-def _parse_batches(batches):
+def has_main(lines: list[tuple[str, bool, bool]]) -> bool:
+    return any(main for _, main, away in lines if not away)
+
+
+def main_text(lines: list[tuple[str, bool, bool]], gone: list[int]) -> str:
+    """The page's text: inside its article or main element, or all but the deleted lines."""
+    inside, gone = has_main(lines), set(gone)
+    return "\n".join(text for i, (text, main, away) in enumerate(lines) if not away and (main if inside else i not in gone))
+
+
+def _hash_batches(batches):
     import xxhash
 
-    kind = pa.list_(pa.struct([("text", pa.string()), ("main", pa.bool_()), ("away", pa.bool_())]))
     for batch in batches:
         parsed = [page_lines(p) for p in batch.column("_html").to_pylist()]
-        lines = pa.array([[{"text": t, "main": m, "away": a} for t, m, a in own] for own in parsed], kind)
         hashes = pa.array([[xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) >> 1 for t, _, _ in own] for own in parsed], pa.list_(pa.int64()))
         kept = [c for c in batch.schema.names if c != "_html"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lines, hashes], names=[*kept, "lines", "hashes"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), hashes, pa.array([has_main(own) for own in parsed])], names=[*kept, "hashes", "has_main"])
 
 
 def _number_batches(batches):
@@ -231,36 +236,46 @@ def _number_batches(batches):
         at += batch.num_rows
 
 
+def _delete_batches(batches):
+    for batch in batches:
+        gone = [deleted_lines(own, [x for x in (before, after) if x is not None]) for own, before, after in zip(*(batch.column(c).to_pylist() for c in ("hashes", "before", "after")))]
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(gone, pa.list_(pa.int32()))], names=["k1", "k2", "gone"])
+
+
 def _text_batches(batches):
     for batch in batches:
-        out = []
-        for lines, hashes, before, after in zip(*(batch.column(c).to_pylist() for c in ("lines", "hashes", "before", "after"))):
-            out.append(main_text([(x["text"], x["main"], x["away"]) for x in lines], hashes, [x for x in (before, after) if x is not None]))
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(out, pa.string())], names=["_id", "_url", "text"])
+        texts = [main_text(page_lines(page), gone or []) for page, gone in zip(batch.column("_html").to_pylist(), batch.column("gone").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string())], names=["_id", "_url", "text"])
 
 
-def _neighbours(parsed: DataFrame) -> DataFrame:
-    """(_rid, before, after): line hashes of the pages before and after in the host's path order.
+def _deletions(pages: DataFrame) -> DataFrame:
+    """(k1, k2, gone): for pages without an article, the lines shared with the pages before and after in their host's path order.
 
-    Rows are dealt by ranges of (host, path, id), so a hot host is split over tasks; running numbers inside the ranges
-    and the ranges' totals (one row each) give every page its global number, and neighbours join by number.
+    Only hashes of lines travel. Rows are dealt by ranges of (host, path, id), so a hot host is split over tasks; running numbers inside
+    the ranges and the ranges' totals (one row each) give every page its global number, and neighbours join by number.
     """
-    spark = parsed.sparkSession
-    keys = parsed.select("_rid", "host", "path", "_id").repartitionByRange("host", "path", "_id", "_rid").sortWithinPartitions("host", "path", "_id", "_rid")
+    spark = pages.sparkSession
+    order = ("host", "path", "_id", "k1", "k2")
+    parsed = materialize(pages.mapInArrow(_hash_batches, "k1 long, k2 long, _id long, _url string, host string, path string, hashes array<long>, has_main boolean").drop("_url").dropDuplicates(["k1", "k2"]), "hashes")
     numbered = materialize(
-        keys.select("_rid", "host", F.spark_partition_id().alias("part")).mapInArrow(_number_batches, "_rid long, host string, part int, local long"), "order"
+        parsed.select("k1", "k2", "_id", "host", "path", "has_main").repartitionByRange(*order).sortWithinPartitions(*order)
+        .select("k1", "k2", "host", "has_main", F.spark_partition_id().alias("part")).mapInArrow(_number_batches, "k1 long, k2 long, host string, has_main boolean, part int, local long"),
+        "order",
     )
     bases, at = [], 0
     for part, n in sorted(numbered.groupBy("part").count().collect()):
         bases.append((part, at))
         at += n
-    placed = numbered.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part").select("_rid", "host", (F.col("base") + F.col("local")).alias("i"))
-    hashes = placed.join(parsed.select("_rid", "hashes"), "_rid").select("i", "host", "_rid", "hashes")
-    own = placed.select("i", "_rid", F.col("host").alias("own_host"))
+    placed = numbered.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part").select("k1", "k2", "host", "has_main", (F.col("base") + F.col("local")).alias("i"))
+    asking = placed.where("not has_main")
+    wanted = asking.select("i").unionAll(asking.select(F.col("i") - 1)).unionAll(asking.select(F.col("i") + 1)).distinct()
+    hashes = placed.join(wanted, "i", "left_semi").join(parsed.select("k1", "k2", "hashes"), ["k1", "k2"]).select("i", "host", "hashes")
+    own = asking.select("i", "k1", "k2", F.col("host").alias("own_host")).join(hashes.drop("host"), "i")
     for name, step in (("before", 1), ("after", -1)):
-        side = hashes.select((F.col("i") + step).alias("i"), F.col("host").alias(f"{name}_host"), F.col("hashes").alias(name))
-        own = own.join(side, "i", "left").withColumn(name, F.when(F.col(f"{name}_host").eqNullSafe(F.col("own_host")), F.col(name))).drop(f"{name}_host")
-    return own.select("_rid", "before", "after")
+        side = hashes.select((F.col("i") + step).alias("i"), F.col("host").alias("side_host"), F.col("hashes").alias(name))
+        own = own.join(side, "i", "left").withColumn(name, F.when(F.col("side_host") == F.col("own_host"), F.col(name))).drop("side_host")
+    found = own.select("k1", "k2", "hashes", "before", "after").mapInArrow(_delete_batches, "k1 long, k2 long, gone array<int>").where(F.size("gone") > 0)
+    return materialize(found, "gone")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -269,13 +284,16 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     bare = F.regexp_replace(url, "[?#].*$", "")
     host = F.lower(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)", 1))
     path = F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    html = F.col(html_col).cast("string")
+    page = [F.col(id_col).cast("long"), url, html]
+    # Rows equal in id, URL and html are one page for the pairing; this key, unlike a row number, is the same in every scan.
     rows = pages.select(
-        F.monotonically_increasing_id().alias("_rid"), F.col(id_col).cast("long").alias("_id"), url.alias("_url"),
-        F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.col(html_col).cast("string").alias("_html"),
+        F.xxhash64(*page).alias("k1"), F.xxhash64(F.lit(1), *page, F.lit(2)).alias("k2"), page[0].alias("_id"), url.alias("_url"),
+        F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), html.alias("_html"),
     )
-    parsed = materialize(rows.mapInArrow(_parse_batches, f"_rid long, _id long, _url string, host string, path string, lines {LINES}, hashes array<long>"), "lines")
-    joined = parsed.select("_rid", "_id", "_url", "lines", "hashes").join(_neighbours(parsed), "_rid")
-    return joined.drop("_rid").mapInArrow(_text_batches, "_id long, _url string, text string").withColumnsRenamed({"_id": "page_id", "_url": "url"})
+    # The deletions are a written table: where it is small, the planner sends it to the pages, and pages don't move at all.
+    joined = rows.select("k1", "k2", "_id", "_url", "_html").join(_deletions(rows), ["k1", "k2"], "left")
+    return joined.drop("k1", "k2").mapInArrow(_text_batches, "_id long, _url string, text string").withColumnsRenamed({"_id": "page_id", "_url": "url"})
 
 
 ship(__name__)
