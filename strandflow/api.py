@@ -81,11 +81,11 @@ def gather(programs: DataFrame, members: DataFrame, path: str, margin: int = MAR
     return programs.sparkSession.read.parquet(path)
 
 
-def looks_like_program(texts: DataFrame, key: str = "program_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
+def looks_like_program(texts: DataFrame, key: str = "program_id", text_col: str = "text", name_col: str | None = None, suffixes: tuple[str, ...] = lexing.SUFFIXES) -> DataFrame:
     """(key, is_program, why) by the file name's suffix where there is a known one, else by the text's statements."""
     told = lexing.detected_languages(lexing.physical_lines(texts, key, text_col), key)
     told = texts.select(key, *([name_col] if name_col else [])).join(told, key, "left")
-    known = F.lower(F.substring_index(name_col, ".", -1)).isin(*lexing.SUFFIXES) if name_col else F.lit(False)
+    known = F.lower(F.substring_index(name_col, ".", -1)).isin(*suffixes) if name_col else F.lit(False)
     return told.select(key, (known | F.coalesce("is_program", F.lit(False))).alias("is_program"), F.when(known, "suffix").otherwise(F.coalesce("why", F.lit("nothing found"))).alias("why"))
 
 

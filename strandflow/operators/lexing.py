@@ -15,7 +15,7 @@ LANGUAGE_SIGNALS = (
 )
 JOB_CONTROL = r"(?i)^//\S*\s+(JOB|PROC|EXEC|DD)\b"
 OTHER_LANGUAGE = r"(?i)\b(IDENTIFICATION\s+DIVISION|PROGRAM-ID)\b"
-SUFFIXES = ("ezt", "ezy", "eas", "ezp", "easytrieve", "eztrieve", "mac", "ezm")
+SUFFIXES = ("ezt", "ezy", "eas", "ezp", "mac", "ezm")
 
 
 def physical_lines(texts: DataFrame, key: str, text_col: str) -> DataFrame:

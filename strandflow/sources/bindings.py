@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The document's format name and its fields.
-FORMAT = "jcl-dependencies-lineage"
+# How a document's format name ends, and its fields.
+FORMAT_END = "-lineage"
 _DD = "struct<ddname:string,io:string,dataset:string,member:string,generation:string,concatIndex:int>"
 SCHEMA = (
     f"format string, job string, source string, steps array<struct<step:string,program:string,inputs:array<{_DD}>,outputs:array<{_DD}>>>, "
@@ -25,9 +25,9 @@ class JobDocuments:
         self.documents = documents
 
     def check(self) -> None:
-        wrong = self.documents.where(~F.col("format").eqNullSafe(FORMAT)).limit(1).collect()
+        wrong = self.documents.where(~F.coalesce(F.col("format").endswith(FORMAT_END), F.lit(False))).limit(1).collect()
         if wrong:
-            raise WrongFormat(f"format {wrong[0]['format']!r} is not {FORMAT!r}")
+            raise WrongFormat(f"format {wrong[0]['format']!r} is no lineage document's")
 
     @property
     def bindings(self) -> DataFrame:

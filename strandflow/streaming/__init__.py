@@ -1 +1 @@
-
+"""Kept empty on purpose: the analysis is bounded batch work over program text; nothing in it is a stream."""

@@ -15,7 +15,7 @@ def dd(ddname, dataset, **more):
 
 
 def document(bindings, steps):
-    return {"format": "jcl-dependencies-lineage", "job": "J", "steps": steps, "ddBindings": bindings}
+    return {"format": "job-lineage", "job": "J", "steps": steps, "ddBindings": bindings}
 
 
 @pytest.fixture()
@@ -30,13 +30,13 @@ def bound(spark, corpus, tmp_path, doc, steps=None):
 
 
 BINDINGS = [
-    {"program": "EZTRUN", "step": "S1", "ddname": "STAFF", "dataset": "PAY.MASTER", "io": "read"}, {"program": "EZTRUN", "step": "S1", "ddname": "OUTPAY", "dataset": "PAY.OUT", "io": "write"},
-    {"program": "EZTRUN", "step": "S2", "ddname": "STAFF", "dataset": "PAY.OTHER", "io": "read"},
+    {"program": "RUNNER", "step": "S1", "ddname": "STAFF", "dataset": "PAY.MASTER", "io": "read"}, {"program": "RUNNER", "step": "S1", "ddname": "OUTPAY", "dataset": "PAY.OUT", "io": "write"},
+    {"program": "RUNNER", "step": "S2", "ddname": "STAFF", "dataset": "PAY.OTHER", "io": "read"},
 ]
 
 
 def test_binding_by_control_member(spark, corpus, tmp_path):
-    steps = [{"step": "S1", "program": "EZTRUN", "inputs": [dd("SYSIN", "SRC.LIB", member="EXTRACT")], "outputs": []}, {"step": "S2", "program": "EZTRUN", "inputs": [dd("SYSIN", "SRC.OTHER")], "outputs": []}]
+    steps = [{"step": "S1", "program": "RUNNER", "inputs": [dd("SYSIN", "SRC.LIB", member="EXTRACT")], "outputs": []}, {"step": "S2", "program": "RUNNER", "inputs": [dd("SYSIN", "SRC.OTHER")], "outputs": []}]
     analysis, got = bound(spark, corpus, tmp_path, document(BINDINGS, steps))
     assert (got["STAFF"]["dataset"], got["STAFF"]["route"], got["STAFF"]["identity"]) == ("PAY.MASTER", "member", "global")
     asks = {(r["name"], r["kind"], r["asked"]) for r in provides(analysis.lineage, analysis.bound_artifacts()).collect()}
