@@ -145,7 +145,7 @@ def symbol_index(spark, d):
 
 
 @query("""WITH fields AS (SELECT c_mktsegment || '-' || (c_custkey % 97) AS name, n_name AS owner, n_name || ':' || c_mktsegment || '-' || (c_custkey % 97) AS key FROM customer JOIN nation ON c_nationkey = n_nationkey),
-refs AS (SELECT o_orderkey AS ref, n_regionkey AS scope_id, CASE WHEN o_orderkey % 7 = 0 THEN n_name END AS owner, c_mktsegment || '-' || (o_orderkey % 101) AS name
+refs AS (SELECT o_orderkey AS ref, n_regionkey AS scope_id, CASE WHEN o_orderstatus = 'P' THEN n_name END AS owner, c_mktsegment || '-' || (o_orderkey % 101) AS name
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 scope AS (SELECT n_regionkey AS scope_id, n_nationkey AS pref, n_name AS file FROM nation),
 a AS (SELECT name, count(*) AS n_all, min(key) AS only_key, string_agg(key, '|' ORDER BY key) AS all_keys FROM fields GROUP BY name),
@@ -163,7 +163,7 @@ def resolve_scoped(spark, d):
     name = F.concat_ws("-", "c_mktsegment", (F.col("c_custkey") % 97).cast("string"))
     fields = customer.select(one, F.col("n_name").alias("owner"), name.alias("name"), F.concat_ws(":", "n_name", name).alias("key"))
     refs = read_table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        one, F.col("o_orderkey").alias("ref"), F.col("n_regionkey").alias("scope_id"), F.when(F.col("o_orderkey") % 7 == 0, F.col("n_name")).alias("owner"),
+        one, F.col("o_orderkey").alias("ref"), F.col("n_regionkey").alias("scope_id"), F.when(F.col("o_orderstatus") == "P", F.col("n_name")).alias("owner"),
         F.concat_ws("-", "c_mktsegment", (F.col("o_orderkey") % 101).cast("string")).alias("name"),
     )
     scopes = nation.select(one, F.col("n_regionkey").alias("scope_id"), F.col("n_nationkey").alias("pref"), F.col("n_name").alias("file"))
@@ -221,13 +221,13 @@ def pair_by_name(spark, d):
     return layout.pairs_by_name(c, s, ["nationkey", "name"]).select("nationkey", F.col("t_key").alias("target"), F.col("s_key").alias("source"))
 
 
-@query(f"""WITH {_FIELDS_SQL}, g AS (SELECT l_orderkey, ord, nullif(start % 8, 0) AS start, nullif(length % 4, 0) AS length FROM f)
-SELECT a.l_orderkey, a.ord AS target, min(b.ord) AS source FROM g a JOIN g b ON a.l_orderkey = b.l_orderkey AND a.start IS NOT DISTINCT FROM b.start AND a.length IS NOT DISTINCT FROM b.length WHERE a.ord % 2 = 1 AND b.ord % 2 = 0 GROUP BY 1, 2""")
+@query(f"""WITH {_FIELDS_SQL}, g AS (SELECT l_orderkey, ord, l_returnflag, nullif(start % 8, 0) AS start, nullif(length % 4, 0) AS length FROM f)
+SELECT a.l_orderkey, a.ord AS target, min(b.ord) AS source FROM g a JOIN g b ON a.l_orderkey = b.l_orderkey AND a.start IS NOT DISTINCT FROM b.start AND a.length IS NOT DISTINCT FROM b.length WHERE a.l_returnflag = 'R' AND b.l_returnflag <> 'R' GROUP BY 1, 2""")
 def pair_by_position(spark, d):
     nothing = F.lit(None).cast("int")
-    g = _fields(spark, d).select("l_orderkey", "ord", F.when(F.col("start") % 8 != 0, F.col("start") % 8).otherwise(nothing).alias("start"), F.when(F.col("length") % 4 != 0, F.col("length") % 4).otherwise(nothing).alias("length"))
-    targets = g.where("ord % 2 = 1").withColumnRenamed("ord", "target")
-    sources = g.where("ord % 2 = 0").withColumn("source", F.col("ord"))
+    g = _fields(spark, d).select("l_orderkey", "ord", "l_returnflag", F.when(F.col("start") % 8 != 0, F.col("start") % 8).otherwise(nothing).alias("start"), F.when(F.col("length") % 4 != 0, F.col("length") % 4).otherwise(nothing).alias("length"))
+    targets = g.where("l_returnflag = 'R'").withColumnRenamed("ord", "target")
+    sources = g.where("l_returnflag <> 'R'").withColumn("source", F.col("ord"))
     return layout.pairs_by_position(targets, sources, ["l_orderkey"]).select("l_orderkey", "target", "source")
 
 
@@ -250,9 +250,9 @@ def edge_union(spark, d):
     })
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, p_name, p_brand, count(*)::BIGINT AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey GROUP BY ALL""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, p_name, p_brand, count(*)::BIGINT AS n FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
 def lookup_table(spark, d):
-    table = read_table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
+    table = read_table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
     rows = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return edges.looked_up(rows, table, ["l_partkey"]).groupBy("l_orderkey", "l_linenumber", "l_partkey", "p_name", "p_brand").agg(F.count("*").alias("n"))
 
@@ -274,12 +274,12 @@ def opaque_reasons(spark, d):
     return edges.ordered_list(rows, ["user_id"], ["ts", "event_id"], "reason", "reasons").select("user_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
-_ACCESS_SQL = """a AS (SELECT l_partkey AS file, CASE l_returnflag WHEN 'R' THEN 'read' WHEN 'A' THEN 'write' ELSE CASE WHEN l_linestatus = 'F' THEN 'update' ELSE 'read' END END AS io FROM lineitem WHERE l_quantity > 49)"""
+_ACCESS_SQL = """a AS (SELECT l_orderkey AS file, CASE l_returnflag WHEN 'R' THEN 'read' WHEN 'A' THEN 'write' ELSE CASE WHEN l_linestatus = 'F' THEN 'update' ELSE 'read' END END AS io FROM lineitem)"""
 
 
 def _access(spark, d):
     io = F.when(F.col("l_returnflag") == "R", "read").when(F.col("l_returnflag") == "A", "write").when(F.col("l_linestatus") == "F", "update").otherwise("read")
-    return read_table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("file"), io.alias("io"))
+    return read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), io.alias("io"))
 
 
 @query(f"WITH {_ACCESS_SQL} SELECT file, io, count(*)::BIGINT AS n FROM a GROUP BY 1, 2")
@@ -288,9 +288,9 @@ def access_union(spark, d):
 
 
 @query(f"""WITH {_ACCESS_SQL}, t AS (SELECT file, bool_or(io IN ('read', 'update')) AS r, bool_or(io IN ('write', 'update')) AS w FROM a GROUP BY 1)
-SELECT coalesce(p_partkey, file) AS file, CASE WHEN r AND w THEN 'read-write' WHEN r THEN 'read' WHEN w THEN 'write' ELSE 'unknown' END AS io FROM part FULL JOIN t ON p_partkey = file""")
+SELECT coalesce(o_orderkey, file) AS file, CASE WHEN r AND w THEN 'read-write' WHEN r THEN 'read' WHEN w THEN 'write' ELSE 'unknown' END AS io FROM (SELECT DISTINCT o_orderkey FROM orders) FULL JOIN t ON o_orderkey = file""")
 def file_io(spark, d):
-    return edges.file_directions(read_table(spark, d, "part").select(F.col("p_partkey").alias("file")), _access(spark, d), ["file"])
+    return edges.file_directions(read_table(spark, d, "orders").select(F.col("o_orderkey").alias("file")), _access(spark, d), ["file"])
 
 
 @query("""SELECT o_orderpriority, string_agg(o_custkey, ',' ORDER BY first_at, o_custkey) AS printed_by FROM (SELECT o_orderpriority, o_custkey, min(o_orderkey) AS first_at FROM orders GROUP BY 1, 2) GROUP BY 1""")
@@ -312,23 +312,31 @@ def condition_depth(spark, d):
 
 # ---------------------------------------------------------------- flow
 
-_GRAPH_SQL = """e AS MATERIALIZED (SELECT DISTINCT (l_partkey % 40)::BIGINT AS target, (l_suppkey * 7 % 40)::BIGINT AS source FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 49 AND l_discount > 0.095),
-stop AS (SELECT DISTINCT source AS node FROM e WHERE source % 5 = 0)"""
+_GRAPH_SQL = """e AS MATERIALIZED (SELECT DISTINCT c_nationkey AS target, s_nationkey AS source FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+stop AS (SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 0)"""
 _WALK_SQL = f"""{_GRAPH_SQL},
 w AS (SELECT target AS sink, target AS node, [target] AS on_path, 0 AS hops, CAST(NULL AS VARCHAR) AS kind FROM (SELECT DISTINCT target FROM e)
-  UNION ALL SELECT sink, source, list_append(on_path, source), hops + 1, CASE WHEN list_contains(on_path, source) THEN 'cyclic' WHEN source IN (SELECT node FROM stop) OR source NOT IN (SELECT target FROM e) THEN 'origin' WHEN hops + 1 = 4 THEN 'truncated' END
+  UNION ALL SELECT sink, source, list_append(on_path, source), hops + 1, CASE WHEN list_contains(on_path, source) THEN 'cyclic' WHEN source IN (SELECT node FROM stop) OR source NOT IN (SELECT target FROM e) THEN 'origin' WHEN hops + 1 = 3 THEN 'truncated' END
   FROM w JOIN e ON node = target WHERE kind IS NULL)"""
 
 
 def _graph(spark, d):
-    rows = read_table(spark, d, "lineitem").where("l_linenumber = 7 and l_quantity > 49 and l_discount > 0.095")
-    return rows.select(F.lit(1).alias("program_id"), (F.col("l_partkey") % 40).alias("target"), (F.col("l_suppkey") * 7 % 40).alias("source")).distinct()
+    """Which customer nation is supplied from which supplier nation."""
+    line, order, cust, supp = (read_table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    rows = (
+        line.select("l_orderkey", "l_suppkey").join(order.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(cust.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(supp.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    )
+    return rows.select(F.lit(1).alias("program_id"), F.col("c_nationkey").alias("target"), F.col("s_nationkey").alias("source")).distinct()
+
+
+def _stops(spark, d):
+    return read_table(spark, d, "nation").where("n_regionkey = 0").select(F.lit(1).alias("program_id"), F.col("n_nationkey").alias("node"))
 
 
 def _walked(spark, d):
     e = materialize(_graph(spark, d), "graph")
-    stops = e.where("source % 5 = 0").select("program_id", F.col("source").alias("node")).distinct()
-    return flow.walk_levels(e, e.select("program_id", F.col("target").alias("node")).distinct(), stops, ["program_id"], 4)
+    return flow.walk_levels(e, e.select("program_id", F.col("target").alias("node")).distinct(), _stops(spark, d), ["program_id"], 3)
 
 
 @query(f"WITH {_GRAPH_SQL} SELECT target, string_agg(source, ',' ORDER BY source) AS incoming FROM e GROUP BY 1")
@@ -337,21 +345,21 @@ def adjacency(spark, d):
     return flow.adjacency(e, ["program_id"], "ord").select("target", F.array_join(F.transform("incoming", lambda s: s["source"].cast("string")), ",").alias("incoming"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def origins_semi(spark, d):
-    return read_table(spark, d, "part").join(read_table(spark, d, "lineitem").where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
+    return read_table(spark, d, "orders").join(read_table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def origins_anti(spark, d):
-    return read_table(spark, d, "part").join(read_table(spark, d, "lineitem").where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+    return read_table(spark, d, "orders").join(read_table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 
 
-@query(f"WITH {_GRAPH_SQL}, n AS (SELECT target AS node FROM e UNION SELECT source FROM e) SELECT node FROM n WHERE node % 5 = 0 OR node NOT IN (SELECT target FROM e)")
+@query(f"WITH {_GRAPH_SQL}, n AS (SELECT target AS node FROM e UNION SELECT source FROM e) SELECT node FROM n WHERE node IN (SELECT node FROM stop) OR node NOT IN (SELECT target FROM e)")
 def walk_origins(spark, d):
     e = materialize(_graph(spark, d), "graph")
-    nodes = e.select("program_id", F.col("target").alias("node")).union(e.select("program_id", "source")).distinct().withColumn("file", (F.col("node") % 5).cast("int"))
-    read_only = spark.createDataFrame([(1, 0)], "program_id int, file int")
+    nodes = e.select("program_id", F.col("target").alias("node")).union(e.select("program_id", "source")).distinct().withColumn("file", F.col("node"))
+    read_only = _stops(spark, d).withColumnRenamed("node", "file")
     return flow.origins(nodes, e, read_only, ["program_id"]).select("node").distinct()
 
 
@@ -366,10 +374,10 @@ def flow_rollup(spark, d):
     return flow.rolled_up(_walked(spark, d), ["program_id"]).select("sink", _joined("origins").alias("origins"), "paths", "cyclic", "truncated")
 
 
-@query(f"""WITH RECURSIVE {_WALK_SQL}, g AS (SELECT DISTINCT target AS sink, (target + 1) % 40 AS gate FROM e)
+@query(f"""WITH RECURSIVE {_WALK_SQL}, g AS (SELECT DISTINCT target AS sink, (target + 1) % 25 AS gate FROM e)
 SELECT g.sink, gate, coalesce(string_agg(DISTINCT node, ',' ORDER BY node) FILTER (node <> gate), '') AS traces_to FROM g LEFT JOIN (SELECT sink, node FROM w WHERE kind IS NOT NULL) x ON x.sink = gate GROUP BY 1, 2""")
 def influence_trace(spark, d):
-    gates = _graph(spark, d).select("program_id", F.col("target").alias("sink"), ((F.col("target") + 1) % 40).alias("gate")).distinct()
+    gates = _graph(spark, d).select("program_id", F.col("target").alias("sink"), ((F.col("target") + 1) % 25).alias("gate")).distinct()
     return flow.influence_origins(gates, _walked(spark, d), ["program_id"]).select("sink", "gate", _joined("traces_to").alias("traces_to"))
 
 
@@ -423,12 +431,12 @@ def excluded_reasons(spark, d):
 
 
 @query("""SELECT c_custkey, name, coalesce(m.base, a.base, t.name) AS base, CASE WHEN m.base IS NOT NULL THEN 'map' WHEN a.base IS NOT NULL THEN 'resolver' END AS resolved_via
-FROM (SELECT c_custkey, c_name AS name FROM customer) t LEFT JOIN (SELECT c_name AS name, 'M.' || c_mktsegment AS base FROM customer WHERE c_custkey % 3 = 0) m USING (name) LEFT JOIN (SELECT c_name AS name, 'R.' || c_mktsegment AS base FROM customer WHERE c_custkey % 2 = 0) a USING (name)""")
+FROM (SELECT c_custkey, c_name AS name FROM customer) t LEFT JOIN (SELECT c_name AS name, 'M.' || c_mktsegment AS base FROM customer WHERE c_acctbal > 6000) m USING (name) LEFT JOIN (SELECT c_name AS name, 'R.' || c_mktsegment AS base FROM customer WHERE c_acctbal < 3000 OR c_acctbal > 8000) a USING (name)""")
 def synonym_priority(spark, d):
     c = read_table(spark, d, "customer")
     tables = c.select("c_custkey", F.col("c_name").alias("name"))
-    supplied = c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("name"), F.concat(F.lit("M."), "c_mktsegment").alias("base"))
-    answered = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("name"), F.concat(F.lit("R."), "c_mktsegment").alias("base"))
+    supplied = c.where("c_acctbal > 6000").select(F.col("c_name").alias("name"), F.concat(F.lit("M."), "c_mktsegment").alias("base"))
+    answered = c.where("c_acctbal < 3000 or c_acctbal > 8000").select(F.col("c_name").alias("name"), F.concat(F.lit("R."), "c_mktsegment").alias("base"))
     return manifest.with_base_tables(tables, supplied, answered)
 
 
@@ -472,7 +480,7 @@ def bind_precedence(spark, d):
     return _steps(spark, d).select("program", "step", "route")
 
 
-@query(f"""WITH {_ROUTES_SQL}, f AS (SELECT program, ddname FROM progs, (VALUES ('dd2'), ('DD3'), ('DD9')) v(ddname)), b AS (SELECT step, ddname, dataset, min(ord) AS ord FROM dd WHERE ddname <> 'SYSIN' AND ord % 11 = 0 GROUP BY 1, 2, 3),
+@query(f"""WITH {_ROUTES_SQL}, f AS (SELECT program, ddname FROM progs, (VALUES ('dd2'), ('DD3'), ('DD9')) v(ddname)), b AS (SELECT step, ddname, dataset, min(ord) AS ord FROM dd WHERE ddname <> 'SYSIN' GROUP BY 1, 2, 3),
 x AS (SELECT f.program, f.ddname, b.step, b.dataset, b.ord, r.route FROM f JOIN r USING (program) JOIN b ON b.step = r.step AND upper(b.ddname) = upper(f.ddname)
   UNION ALL SELECT f.program, f.ddname, b.step, b.dataset, b.ord, 'name-alone' FROM f JOIN b ON upper(b.ddname) = upper(f.ddname) WHERE f.program NOT IN (SELECT program FROM r)),
 l AS (SELECT program, ddname, step, route, string_agg(dataset, '+' ORDER BY ord, dataset) AS reading FROM x GROUP BY ALL),
@@ -481,18 +489,18 @@ SELECT f.program, f.ddname, CASE WHEN n = 1 THEN one END AS dataset, CASE WHEN n
 def bind_readings(spark, d):
     names = spark.createDataFrame([("dd2",), ("DD3",), ("DD9",)], "ddname string")
     files = _programs(spark, d).crossJoin(F.broadcast(names))  # three names for each program
-    bindings = _allocations(spark, d).where("ddname <> 'SYSIN' and ord % 11 = 0").groupBy("step", "ddname", "dataset").agg(F.min("ord").alias("ord"))
+    bindings = _allocations(spark, d).where("ddname <> 'SYSIN'").groupBy("step", "ddname", "dataset").agg(F.min("ord").alias("ord"))
     return manifest.bound_files(files, bindings, _steps(spark, d))
 
 
-@query("""WITH asks AS (SELECT c_custkey, c_name AS name, c_mktsegment AS kind, c_acctbal > 0 AS asked FROM customer), cov AS (SELECT DISTINCT c_name AS name, c_mktsegment AS kind FROM customer WHERE c_custkey % 4 <> 0),
-ans AS (SELECT c_name AS name, c_mktsegment AS kind, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 4 <> 0 AND o_orderstatus = 'F' GROUP BY 1, 2)
+@query("""WITH asks AS (SELECT c_custkey, c_name AS name, c_mktsegment AS kind, c_acctbal > 0 AS asked FROM customer), cov AS (SELECT DISTINCT c_name AS name, c_mktsegment AS kind FROM customer WHERE c_nationkey <> 3),
+ans AS (SELECT c_name AS name, c_mktsegment AS kind, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 3 AND o_orderstatus = 'F' GROUP BY 1, 2)
 SELECT c_custkey, CASE WHEN NOT asked THEN 'never-asked' WHEN cov.name IS NULL THEN 'unanswered' WHEN n IS NULL THEN 'none-found' ELSE 'provided' END AS state, CASE WHEN asked AND cov.name IS NOT NULL THEN coalesce(n, 0)::VARCHAR END AS n_dependents
 FROM asks LEFT JOIN cov USING (name, kind) LEFT JOIN ans USING (name, kind)""")
 def dependents_three_way(spark, d):
-    c = read_table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"), (F.col("c_acctbal") > 0).alias("asked"))
-    covered = c.where("c_custkey % 4 <> 0").select("name", "kind").distinct()
-    answers = read_table(spark, d, "orders").where("o_orderstatus = 'F'").join(c.where("c_custkey % 4 <> 0"), F.col("o_custkey") == F.col("c_custkey")).select("name", "kind")
+    c = read_table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"), (F.col("c_acctbal") > 0).alias("asked"))
+    covered = c.where("c_nationkey <> 3").select("name", "kind").distinct()
+    answers = read_table(spark, d, "orders").where("o_orderstatus = 'F'").join(c.where("c_nationkey <> 3"), F.col("o_custkey") == F.col("c_custkey")).select("name", "kind")
     return manifest.dependents(c, answers, covered).select("c_custkey", "state", F.col("n_dependents").cast("string").alias("n_dependents"))
 
 
