@@ -16,7 +16,6 @@ One row per removed run. Null and empty texts have no units. Rows that repeat a
 
 from __future__ import annotations
 
-import re
 from math import ceil, log
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, materialize, mix64, shingle_hashes, ship
+from .common import WordHasher, ascii_words, materialize, mix64, shingle_hashes, ship
 from .components import connected_components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -32,7 +31,6 @@ MIN_WORDS, LONG, CUT, RUN_WORDS = 8, 60, 16, 25
 SHORT_WORDS = 16
 RECALL = 0.995
 BLOCK = 512
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def bands(recall: float = RECALL, similarity: float = NUMERATOR / DENOMINATOR, rows: int = 1) -> int:
@@ -40,57 +38,88 @@ def bands(recall: float = RECALL, similarity: float = NUMERATOR / DENOMINATOR, r
     return ceil(log(1 - recall) / log(1 - similarity**rows))
 
 
-def units(text: str, hasher: WordHasher) -> list[tuple]:
-    """(start, end, first word, last word, word hashes) of every unit of at least MIN_WORDS words, in code points."""
-    spans = [m.span() for m in WORD.finditer(text)]
-    if len(spans) < MIN_WORDS:
-        return []
-    low = text.encode("utf-8", "replace").lower()
-    hashes = hasher(low.split())
-    ends = np.zeros(len(spans), dtype=bool)  # is a unit's last word
-    for i, (a, b) in enumerate(spans):
-        if text[b - 1] in ".!?":
-            ends[i] = True
-        if i + 1 < len(spans) and "\n" in text[b : spans[i + 1][0]]:
-            ends[i] = True
-    ends[-1] = True
-    out, first = [], 0
-    cut = mix64(hashes) % np.uint64(CUT) == 0
-    for last in np.flatnonzero(ends):
-        pieces = [last]
-        if last - first + 1 > LONG:
-            pieces = sorted({*(first + np.flatnonzero(cut[first : last + 1])).tolist(), int(last)})
-        for stop in pieces:
-            if stop - first + 1 >= MIN_WORDS:
-                out.append((spans[first][0], spans[stop][1], int(first), int(stop), hashes[first : stop + 1]))
-            first = stop + 1
-    return out
-
-
-def _min_hashes(hashes: np.ndarray, n: int) -> list[int]:
-    s = shingle_hashes(hashes, WIDTH)
-    out = []
-    for k in range(n):
-        least = mix64(s ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min()
-        out.append(int(mix64(np.array([least + np.uint64(k)], dtype=np.uint64))[0] >> np.uint64(1)))
-    return out
+def _word_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, is a unit's last word) of all words, in code points: a word with . ! or ? at its end, or before a line break."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    blank = np.ones(len(codes) + 2, dtype=bool)
+    blank[1:-1] = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    turns = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    final = np.isin(codes[ends - 1], (46, 33, 63))
+    breaks = np.concatenate([[0], np.cumsum(codes == 10)])
+    final[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
+    final[-1:] = True
+    return starts, ends, final
+
+
+def units(text: str, hasher: WordHasher) -> tuple[np.ndarray, ...]:
+    """(first word, last word, start, end, word hashes): the units of at least MIN_WORDS words, offsets in code points, the end exclusive."""
+    starts, ends, final = _word_spans(text)
+    hashes = hasher(ascii_words(text.encode("utf-8", "replace")))
+    last = np.flatnonzero(final)
+    first = np.concatenate([[0], last[:-1] + 1])
+    long = last - first + 1 > LONG
+    if long.any():
+        inside = np.zeros(len(final) + 1, dtype=int)
+        np.add.at(inside, first[long], 1)
+        np.add.at(inside, last[long] + 1, -1)
+        final = final | ((np.cumsum(inside)[:-1] > 0) & (mix64(hashes) % np.uint64(CUT) == 0))
+        last = np.flatnonzero(final)
+        first = np.concatenate([[0], last[:-1] + 1])
+    keep = last - first + 1 >= MIN_WORDS
+    first, last = first[keep], last[keep]
+    return first, last, starts[first], ends[last], hashes
+
+
+def _min_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """(units, n): the least of each of n hash functions over a unit's shingles, made a key of its band."""
+    size = len(hashes) - WIDTH + 1
+    whole = np.zeros(size, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(WIDTH):
+            whole = mix64(whole * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + size])
+        # Every other segment is a unit's shingles; the ones between are looked at and left out.
+        bounds = np.stack([first, last - WIDTH + 2], axis=1).ravel()
+        bounds = bounds[:-1] if bounds[-1] >= size else bounds
+        out = [mix64(np.minimum.reduceat(mix64(whole ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), bounds)[::2] + np.uint64(k)) for k in range(n)]
+    return (np.stack(out, axis=1) >> np.uint64(1)).astype(np.int64)
+
+
+def _text_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """63-bit hashes of the units' word sequences: sums of word hashes that are mixed with their place in the unit."""
+    n = last - first + 1
+    at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    place = (at - np.repeat(first, n) + 1).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.add.reduceat(mix64(hashes[at] + place * np.uint64(0x9E3779B97F4A7C15)), np.concatenate([[0], np.cumsum(n)[:-1]]))
+    return (mix64(total) >> np.uint64(1)).astype(np.int64)
 
 
 def _unit_batches(batches):
-    hasher, most = WordHasher(), bands()
+    hasher, most, seen = WordHasher(), bands(), set()
     names = ("_rid", "_id", "unit", "start", "end", "first_word", "last_word", "text_hash", "bands", "text")
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string())
-    power = np.uint64(0x100000001B3)
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        for rid, doc, text in zip(batch.column("_rid").to_pylist(), batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
-            for k, (start, end, first, last, hashes) in enumerate(units(text or "", hasher)):
-                with np.errstate(over="ignore"):
-                    places = np.arange(1, len(hashes) + 1, dtype=np.uint64)
-                    whole = mix64(np.array([mix64(hashes + places * power).sum()], dtype=np.uint64))[0] >> np.uint64(1)
-                row = (rid, doc, k, start, end, first, last, int(whole), _min_hashes(hashes, most if len(hashes) >= SHORT_WORDS else 2), text[start:end])
-                for col, x in zip(out, row):
-                    col.append(x)
+        for rid, doc, text in zip(*(batch.column(c).to_pylist() for c in ("_rid", "_id", "_text"))):
+            if not text or text.isspace():
+                continue
+            first, last, start, end, hashes = units(text, hasher)
+            if not len(first):
+                continue
+            texts = _text_hashes(hashes, first, last).tolist()
+            keys = _min_hashes(hashes, first, last, most).tolist()
+            shown = []
+            for h, own, n in zip(texts, keys, (last - first + 1).tolist()):
+                # A text that this task has banded already needs no more rows.
+                shown.append([] if h in seen else own if n >= SHORT_WORDS else own[:2])
+                seen.add(h)
+            if len(seen) > 500_000:
+                seen.clear()
+            spans = list(zip(start.tolist(), end.tolist()))
+            row = ([rid] * len(first), [doc] * len(first), range(len(first)), start.tolist(), end.tolist(), first.tolist(), last.tolist(), texts, shown, [text[a:b] for a, b in spans])
+            for col, x in zip(out, row):
+                col.extend(x)
         yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(out, kinds)], names=list(names))
 
 
@@ -99,7 +128,7 @@ def _forest(rows: list, hasher: WordHasher):
     side = np.array([r[0] for r in rows])
     if len(rows) < 2 or side.any() and side.all():
         return
-    sets = [shingle_hashes(hasher(r[2].encode("utf-8", "replace").lower().split()), WIDTH) for r in rows]
+    sets = [shingle_hashes(hasher(ascii_words(r[2].encode("utf-8", "replace"))), WIDTH) for r in rows]
     sizes = np.array([len(s) for s in sets])
     _, at = np.unique(np.concatenate(sets), return_inverse=True)
     m = np.zeros((len(rows), at.max() + 1), dtype=np.float32)
@@ -161,8 +190,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     schema = "_rid long, _id long, unit int, start int, end int, first_word int, last_word int, text_hash long, bands array<long>, text string"
     table = materialize(rows.mapInArrow(_unit_batches, schema), "units")
     postings = table.select("text_hash", F.explode("bands").alias("key"))
-    several = postings.groupBy("key").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo < hi").select("key")
-    colliding = materialize(postings.join(several, "key").distinct(), "colliding")
+    # A key holds several texts where neighbours in the order of texts differ: one shuffle, no list of a key's rows.
+    by_key = Window.partitionBy("key").orderBy("text_hash")
+    beside = postings.select("key", "text_hash", F.lag("text_hash").over(by_key).alias("before"), F.lead("text_hash").over(by_key).alias("after"))
+    colliding = materialize(beside.where("before <> text_hash or after <> text_hash").select("key", "text_hash").distinct(), "colliding")
     repeated = table.groupBy("text_hash").agg(F.count("*").alias("n")).where("n > 1").select("text_hash")
     wanted = repeated.unionAll(colliding.select("text_hash")).distinct()
     some = materialize(table.drop("bands").join(wanted, "text_hash"), "repeated")
