@@ -23,6 +23,7 @@ component_id is the least non-null doc_id in its component, or null.
 
 from __future__ import annotations
 
+from itertools import accumulate
 from math import exp, lgamma, log
 
 import numpy as np
@@ -105,13 +106,16 @@ def required_table() -> list[int]:
     A partner's union with a set of size n has at most n / 0.75 values. A set under K values is retained whole; its partner
     may have lost up to a quarter of the union, so K - K / 3 values are the most to ask for.
     """
+    of_union = sample_table(TABLE * DENOMINATOR // NUMERATOR)
     small = [min(-(-NUMERATOR * n // DENOMINATOR), K - K // 3) for n in range(K)]
-    return small + [min(shared_in_sample(n * DENOMINATOR // NUMERATOR), small[-1]) for n in range(K, TABLE)] + [shared_in_sample(None)]
+    return small + [min(of_union[n * DENOMINATOR // NUMERATOR], small[-1]) for n in range(K, TABLE)] + [of_union[-1]]
 
 
-def sample_table() -> list[int]:
-    """For a union of 0, 1, ..., TABLE values: shared ones among its K smallest, at least."""
-    return [shared_in_sample(n) for n in range(TABLE)] + [shared_in_sample(None)]
+def sample_table(size: int = TABLE) -> list[int]:
+    """For a union of at most 0, 1, ..., size values: shared ones among its K smallest, at least. Rounding makes the
+    bound of single sizes go up and down by one, so it is the least of all sizes so far."""
+    small = [shared_in_sample(n) for n in range(K)]
+    return small + list(accumulate((shared_in_sample(n) for n in range(K, size)), min)) + [shared_in_sample(None)]
 
 
 def _required(n):
@@ -354,26 +358,21 @@ def link_documents(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False) -> DataFrame:
-    """One row per row of docs: _rid, _id, n_shingles, component_id, is_first, n_links, _row if asked for.
+    """One row per row of docs: _rid, _id, n_shingles, component_id, is_first, _row if asked for.
 
     is_first marks the one row of each component that a corpus keeps: the least (doc_id, row).
-    n_links counts confirmed links of the row's class to other classes.
     """
     table = sketch_documents(docs, id_col, text_col, keep_rows)
     classes, links = link_documents(table)
     components = connected_components(links)
-    ends = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    of_class = (
-        classes.join(components, classes["rep"] == components["node"], "left").join(ends, "rep", "left")
-        .select("digest", F.coalesce("component", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    of_class = classes.join(components, classes["rep"] == components["node"], "left").select("digest", F.coalesce("component", "rep").alias("comp"))
     slim = table.select("_rid", "_id", "n_shingles", "digest")
     held = slim.where("n_shingles > 0").join(of_class, "digest")
     ids = held.groupBy("comp").agg(
         F.min("_id").alias("component_id"), F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id"), F.col("_rid")))["_rid"].alias("first")
     )
-    linked = held.join(ids, "comp").select("_rid", "_id", "n_shingles", "component_id", (F.col("_rid") == F.col("first")).alias("is_first"), "n_links")
-    alone = slim.where("n_shingles = 0").select("_rid", "_id", "n_shingles", F.col("_id").alias("component_id"), F.lit(True).alias("is_first"), F.lit(0).cast("long").alias("n_links"))
+    linked = held.join(ids, "comp").select("_rid", "_id", "n_shingles", "component_id", (F.col("_rid") == F.col("first")).alias("is_first"))
+    alone = slim.where("n_shingles = 0").select("_rid", "_id", "n_shingles", F.col("_id").alias("component_id"), F.lit(True).alias("is_first"))
     out = linked.unionAll(alone)
     if keep_rows:
         out = materialize(out, "near").join(table.select("_rid", "_row"), "_rid")
