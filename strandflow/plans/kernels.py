@@ -487,8 +487,7 @@ l AS (SELECT program, ddname, step, route, string_agg(dataset, '+' ORDER BY ord,
 g AS (SELECT program, ddname, count(DISTINCT reading) AS n, min(reading) AS one, string_agg(DISTINCT reading, '|' ORDER BY reading) AS candidates, min(route) AS route FROM l GROUP BY 1, 2)
 SELECT f.program, f.ddname, CASE WHEN n = 1 THEN one END AS dataset, CASE WHEN n > 1 THEN candidates END AS candidates, route, CASE WHEN n = 1 THEN 'global' WHEN n > 1 THEN 'candidates' ELSE 'program-local' END AS identity FROM f LEFT JOIN g USING (program, ddname)""")
 def bind_readings(spark, d):
-    names = spark.createDataFrame([("dd2",), ("DD3",), ("DD9",)], "ddname string")
-    files = _programs(spark, d).crossJoin(F.broadcast(names))  # three names for each program
+    files = _programs(spark, d).withColumn("ddname", F.explode(F.array(F.lit("dd2"), F.lit("DD3"), F.lit("DD9"))))
     bindings = _allocations(spark, d).where("ddname <> 'SYSIN'").groupBy("step", "ddname", "dataset").agg(F.min("ord").alias("ord"))
     return manifest.bound_files(files, bindings, _steps(spark, d))
 
