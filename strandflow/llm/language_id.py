@@ -2,7 +2,8 @@
 
 Texts are put in lower case; everything but letters becomes one blank. Counts of character 4-grams cover
 all learning documents; continuation counts of the lower orders follow from the distinct 4-grams. Each
-model keeps its most frequent 4-grams (MODEL_GRAMS in all languages together, a stated capacity that bounds the broadcast).
+model keeps its most frequent 4-grams (MODEL_GRAMS in all languages together, fewer where a
+column for each language would make more than MODEL_CELLS cells: a stated capacity that bounds the broadcast).
 All models lie in common sorted arrays of packed gram keys, with one row of log-probabilities (a column
 per language) for each key, back-off already resolved where only some languages know a gram.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize, ship, worker_cache
 
 ORDER = 4
-MODEL_GRAMS = 1_000_000
+MODEL_GRAMS, MODEL_CELLS = 1_000_000, 32_000_000
 SLICE = 1_000_000
 REJECT_QUANTILE, REJECT_MARGIN, REJECT_LEAST_DOCS = 0.999, 0.5, 200
 SCORE_CHARS = 60
@@ -206,7 +207,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         kinds.setdefault(lang, []).append((at_least, n))
     if not kinds:
         return None
-    share, keep = MODEL_GRAMS // len(kinds), None
+    share, keep = min(MODEL_GRAMS, MODEL_CELLS // len(kinds)) // len(kinds), None
     for lang, own in kinds.items():
         total, cut = 0, None
         for at_least, n in sorted(own, reverse=True):

@@ -1,14 +1,16 @@
 """Repeated passages: paragraph MinHash banding, exact verification, removal by components.
 
 Passages are pasted into the middle of other text, so line breaks alone don't bound them. The units compared are
-paragraphs in a narrow sense: lines cut at sentence ends, and, where a sentence is longer than LONG words, after words
-whose hash is 0 modulo CUT (the same words are cut alike wherever they stand). Units under MIN_WORDS words are not compared.
+paragraphs in a narrow sense: lines cut at sentence ends. Sentences of more than LONG words, and runs of sentences under MIN_WORDS words
+taken together, are cut after words whose hash is 0 modulo CUT (the same words are cut alike wherever they stand). Units under
+MIN_WORDS words are not compared.
 
 1. Equal units (words, A-Z in lower case) form one class each, by a 64-bit hash.
 2. MinHash bands over five-word shingles, as many as RECALL at similarity 0.75 asks for (single-row bands: 4; short units, in which only an
    end can differ at that similarity, take 2). Units that collide in a band meet in blocks of bounded size; exact Jaccard similarity
    of at least 0.75 confirms; each block hands on a spanning forest of its links, so a hot band never makes all its pairs.
-3. Components over classes. The first unit of each (least doc_id, row, unit) stays, the others are removable.
+3. Components over classes. The document of each one's first unit (least doc_id, row) keeps its units, those of other documents are
+   removable; what one document alone repeats stays.
 4. Neighbouring removable units of a document make a run; runs of at least RUN_WORDS words are removed.
 
 One row per removed run. Null and empty texts have no units. Rows that repeat a doc_id are documents of their own.
@@ -27,7 +29,7 @@ from .common import WordHasher, ascii_words, materialize, mix64, shingle_hashes,
 from .components import connected_components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
-MIN_WORDS, LONG, CUT, RUN_WORDS = 8, 60, 16, 25
+MIN_WORDS, LONG, CUT, RUN_WORDS = 8, 60, 16, 30
 SHORT_WORDS = 16
 RECALL = 0.995
 BLOCK = 512
@@ -58,12 +60,14 @@ def units(text: str, hasher: WordHasher) -> tuple[np.ndarray, ...]:
     hashes = hasher(ascii_words(text.encode("utf-8", "replace")))
     last = np.flatnonzero(final)
     first = np.concatenate([[0], last[:-1] + 1])
-    long = last - first + 1 > LONG
-    if long.any():
-        inside = np.zeros(len(final) + 1, dtype=int)
-        np.add.at(inside, first[long], 1)
-        np.add.at(inside, last[long] + 1, -1)
-        final = final | ((np.cumsum(inside)[:-1] > 0) & (mix64(hashes) % np.uint64(CUT) == 0))
+    size = last - first + 1
+    odd = (size > LONG) | (size < MIN_WORDS)
+    if odd.any():
+        # Long sentences, and runs of short ones taken together, are cut after words that the hash picks.
+        by_content = np.repeat(odd, size)
+        joined = np.concatenate([(size[:-1] < MIN_WORDS) & (size[1:] < MIN_WORDS), [False]])
+        final[last[joined]] = False
+        final |= by_content & (mix64(hashes) % np.uint64(CUT) == 0)
         last = np.flatnonzero(final)
         first = np.concatenate([[0], last[:-1] + 1])
     keep = last - first + 1 >= MIN_WORDS
@@ -185,7 +189,7 @@ def _links(colliding: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per removed run: doc_id, start, end (code points), n_words, n_units, kept_doc_id, component_id, text."""
+    """One row per removed run: doc_id, start, end (code points), n_words, n_units, kept_doc_ids (where its units stay), component_id (of its first unit), text."""
     rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     schema = "_rid long, _id long, unit int, start int, end int, first_word int, last_word int, text_hash long, bands array<long>, text string"
     table = materialize(rows.mapInArrow(_unit_batches, schema), "units")
@@ -203,18 +207,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     place = F.struct(F.col("_id").isNull().alias("x"), F.col("_id"), F.col("_rid"), F.col("unit"))
     held = some.join(components, some["text_hash"] == components["node"], "left").withColumn("component_id", F.coalesce("component", "text_hash")).drop("component", "node")
     firsts = held.groupBy("component_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = held.join(firsts, "component_id").where((F.col("_rid") != F.col("first._rid")) | (F.col("unit") != F.col("first.unit")))
+    gone = held.join(firsts, "component_id").where(F.col("_rid") != F.col("first._rid"))
     by_doc = Window.partitionBy("_rid").orderBy("unit")
     runs = (
         gone.withColumn("island", F.col("unit") - F.row_number().over(by_doc))
         .groupBy("_rid", "island")
         .agg(
             F.first("_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last_word") - F.min("first_word") + 1).alias("n_words"), F.count("*").alias("n_units"),
-            F.min_by(F.col("first._id"), "unit").alias("kept_doc_id"), F.min_by("component_id", "unit").alias("component_id"), F.array_join(F.array_sort(F.collect_list(F.struct("unit", "text")))["text"], "\n").alias("text"),
+            F.array_sort(F.collect_set("first._id")).alias("kept_doc_ids"), F.min_by("component_id", "unit").alias("component_id"), F.array_join(F.array_sort(F.collect_list(F.struct("unit", "text")))["text"], "\n").alias("text"),
         )
         .where(F.col("n_words") >= RUN_WORDS)
     )
-    return runs.select("doc_id", "start", "end", "n_words", "n_units", "kept_doc_id", "component_id", "text")
+    return runs.select("doc_id", "start", "end", "n_words", "n_units", "kept_doc_ids", "component_id", "text")
 
 
 ship(__name__)
