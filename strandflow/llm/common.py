@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
@@ -17,6 +18,21 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+#: Rows of an Arrow batch while intermediate tables are written.
+BATCH_ROWS = 2000
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]):
+    """Adds the paths of all tables that materialize() writes meanwhile."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.pop()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for checkpoints; one of our own only where none is set."""
     sc = spark.sparkContext
@@ -45,7 +61,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(BATCH_ROWS))  # long texts: fewer rows at once in a Python worker
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(rows, before)
+    for paths in _recorders:
+        paths.append(path)
     p, fs = _filesystem(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)

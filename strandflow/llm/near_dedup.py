@@ -42,8 +42,8 @@ MISS = 1.3e-9
 TABLE = 3000
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
-#: Members of one block in the exact rest; rounds of leaders before it; salts of a leader's group.
-BLOCK, LEADER_ROUNDS, SALTS = 1024, 3, 32
+#: Members of one block in the exact rest; rounds of leaders before it; salts of a leader's group; columns at once in a block.
+BLOCK, LEADER_ROUNDS, SALTS, CHUNK = 1024, 3, 32, 2048
 
 _SKETCH_FIELDS = "n_shingles long, digest binary, sketch array<long>"
 
@@ -60,7 +60,8 @@ def _sketch_batches(batches):
         lengths = np.array([len(s) for s in sketches], dtype=np.int32)
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         values = np.concatenate([np.empty(0, np.int64), *sketches])
-        kept = [c for c in batch.schema.names if c != "_text"] + ["_body"]
+        names = batch.schema.names
+        kept = [c for c in names if c != "_text"] + ([] if "_row" in names else ["_body"])  # the whole row holds the text already
         cols = [batch.column("_text") if c == "_body" else batch.column(c) for c in kept]
         yield pa.RecordBatch.from_arrays(
             [*cols, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
@@ -75,8 +76,10 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if keep_rows:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
         types += f"_row {docs.schema.simpleString()}, "
-    out = docs.select(*cols).mapInArrow(_sketch_batches, f"{types}_body string, {_SKETCH_FIELDS}")
-    return materialize(out, "sketch")
+    else:
+        types += "_body string, "
+    table = materialize(docs.select(*cols).mapInArrow(_sketch_batches, f"{types}{_SKETCH_FIELDS}"), "sketch")
+    return table.withColumn("_body", F.col("_row").getField(text_col).cast("string")) if keep_rows else table
 
 
 def shared_in_sample(union: int | None) -> int:
@@ -196,9 +199,9 @@ def _shared_counts(left: list, right: list) -> np.ndarray:
     keep = held[at] > 1
     column, owner = (np.cumsum(held > 1) - 1)[at][keep], owner[keep]
     shared = np.zeros((len(left), len(right)), dtype=np.float32)
-    for first in range(0, int((held > 1).sum()), 8192):
-        own = (column >= first) & (column < first + 8192)
-        m = np.zeros((len(left) + len(right), 8192), dtype=np.float32)
+    for first in range(0, int((held > 1).sum()), CHUNK):
+        own = (column >= first) & (column < first + CHUNK)
+        m = np.zeros((len(left) + len(right), CHUNK), dtype=np.float32)
         m[owner[own], column[own] - first] = 1
         shared += m[: len(left)] @ m[len(left) :].T
     return shared
@@ -339,6 +342,8 @@ def link_documents(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = materialize(table.where("n_shingles > 0").groupBy("digest").agg(first.alias("rep")), "classes")
     reps = table.select("_rid", "n_shingles", "sketch").join(classes.select(F.col("rep").alias("_rid")), "_rid", "left_semi")
     prefixes = materialize(_prefixes(reps), "prefixes")
+    # From here on only documents with a possible partner count: their texts are set apart once, so that no later join moves all texts.
+    table = materialize(table.select("_rid", "_body").join(prefixes.select("_rid"), "_rid", "left_semi"), "texts")
     spark = table.sparkSession
     links = spark.createDataFrame([], "a long, b long, n_shared long, n_union long")
     components = spark.createDataFrame([], "node long, component long")
