@@ -6,10 +6,12 @@ last return the columns of documents. Every stage works on all that the one befo
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import materialize, read_table
+from strandflow.llm.common import drop_table, materialize, read_table, recorded
 from strandflow.llm.decontaminate import find_overlaps
 from strandflow.llm.language_id import identify
 from strandflow.llm.near_dedup import near_duplicates
@@ -21,23 +23,44 @@ def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
+#: Intermediate tables of the stage before. Its result is written and read again by now, so they can go.
+_of_stage_before: list[str] = []
+
+
+def _stage(f):
+    """A stage that first removes the intermediate tables of the one before, and remembers its own."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _of_stage_before:
+            drop_table(spark, _of_stage_before.pop())
+        with recorded(_of_stage_before):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told; those that language identification rejects go (null and empty texts among them)."""
     found = identify(docs, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     return _as_documents(found.where(~F.col("rejected")), docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of every group of near duplicates."""
     return _as_documents(near_duplicates(docs, keep_rows=True).where("is_first"), docs)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without a verified overlap with any benchmark item."""
     found = find_overlaps(docs, read_table(spark, sf_dir, "benchmark"))
     return _as_documents(found.where(F.size("hits") == 0), docs)
 
 
+@_stage
 def secret_links(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document, with its secrets replaced by a mark; n_chars follows the text."""
     found = find_secrets(docs, redact=True)
@@ -48,6 +71,7 @@ def secret_links(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return found.select(*[x.alias(c) for c, x in cols.items()])
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 ids, the ids as four little-endian bytes each."""
     return pack(docs)
@@ -71,4 +95,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = materialize(docs, f"stage-{name}")
+    _of_stage_before.clear()  # the caller has yet to read what the last stage made
     return docs
