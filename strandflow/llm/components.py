@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Every round replaces edges by edges towards the least neighbour seen, with pre-aggregated
     minima only: no neighbour list is ever collected, so a node with very many edges stays cheap.
-    Self loops and repeated edges are allowed; no edges give no rows.
+    Repeated edges are allowed; self loops are left out, and so is a node that has nothing else; no edges give no rows.
     """
     e = materialize(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "cc")
     state = None
