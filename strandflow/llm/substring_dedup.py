@@ -11,13 +11,18 @@ MIN_WORDS words are not compared.
    of at least 0.75 confirms; each block hands on a spanning forest of its links, so a hot band never makes all its pairs.
 3. Components over classes. The document of each one's first unit (least doc_id, row) keeps its units, those of other documents are
    removable; what one document alone repeats stays.
-4. Neighbouring removable units of a document make a run; runs of at least RUN_WORDS words are removed.
+4. Neighbouring removable units of a document make a run.
+5. Units depend on the sentences around a passage, so exact repeats are also found without them: of every SEED_WINDOW neighbouring
+   sequences of SEED words the one of least hash is a seed, so that any SEED + SEED_WINDOW - 1 (51) words that two documents
+   share hold a common one. A seed is compared with its first document and with the one before, word by word to both sides.
+6. Runs of units and shared stretches that overlap or touch are one run; runs of at least RUN_WORDS words are removed.
 
 One row per removed run. Null and empty texts have no units. Rows that repeat a doc_id are documents of their own.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from math import ceil, log
 
 import numpy as np
@@ -25,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, ascii_words, materialize, mix64, shingle_hashes, ship
+from .common import WordHasher, ascii_words, materialize, mix64, release, shingle_hashes, ship
 from .components import connected_components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 MIN_WORDS, LONG, CUT, RUN_WORDS = 8, 60, 16, 30
 SHORT_WORDS = 16
+SEED, SEED_WINDOW = 16, 36
 RECALL = 0.995
 BLOCK = 512
 
@@ -99,16 +105,40 @@ def _text_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.
     return (mix64(total) >> np.uint64(1)).astype(np.int64)
 
 
+def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, 63-bit hashes) of the seeds: the least of every SEED_WINDOW neighbouring sequences of SEED words, or of all where there are fewer."""
+    n = len(hashes) - SEED + 1
+    if n < 1:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    whole = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(SEED):
+            whole = whole * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
+    whole = mix64(whole)
+    # The place in the low bits tells equal values apart and says where a window's least one stands.
+    low, mask = whole & np.uint64(0xFFFFFFFFFFF00000) | np.arange(n, dtype=np.uint64) & np.uint64(0xFFFFF), 0xFFFFF
+    width, size = 1, min(SEED_WINDOW, n)
+    while width < size:
+        step = min(width, size - width)
+        low, width = np.minimum(low[:-step], low[step:]), width + step
+    window = np.arange(len(low))
+    at = np.unique(window + (((low & np.uint64(mask)).astype(np.int64) - window) & mask))
+    return at, (whole[at] >> np.uint64(1)).astype(np.int64)
+
+
 def _unit_batches(batches):
     hasher, most, seen = WordHasher(), bands(), set()
-    names = ("_rid", "_id", "unit", "start", "end", "first_word", "last_word", "text_hash", "bands", "text")
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string())
+    names = ("_rid", "_id", "_key", "unit", "start", "end", "first_word", "last_word", "text_hash", "bands", "text")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string())
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        for rid, doc, text in zip(*(batch.column(c).to_pylist() for c in ("_rid", "_id", "_text"))):
+        holders, found = [], []
+        for i, (rid, doc, key, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_rid", "_id", "_key", "_text")))):
             if not text or text.isspace():
                 continue
             first, last, start, end, hashes = units(text, hasher)
+            found.append(seeds(hashes))
+            holders.append(np.full(len(found[-1][0]), i))
             if not len(first):
                 continue
             texts = _text_hashes(hashes, first, last).tolist()
@@ -121,10 +151,77 @@ def _unit_batches(batches):
             if len(seen) > 500_000:
                 seen.clear()
             spans = list(zip(start.tolist(), end.tolist()))
-            row = ([rid] * len(first), [doc] * len(first), range(len(first)), start.tolist(), end.tolist(), first.tolist(), last.tolist(), texts, shown, [text[a:b] for a, b in spans])
+            row = ([rid] * len(first), [doc] * len(first), [key] * len(first), range(len(first)), start.tolist(), end.tolist(), first.tolist(), last.tolist(), texts, shown, [text[a:b] for a, b in spans])
             for col, x in zip(out, row):
                 col.extend(x)
         yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(out, kinds)], names=list(names))
+        if found:
+            # Seeds are rows without a unit.
+            whose = pa.array(np.concatenate(holders))
+            held = {c: batch.column(c).take(whose) for c in ("_rid", "_id", "_key")}
+            held["first_word"] = pa.array(np.concatenate([at for at, _ in found]), pa.int32())
+            held["text_hash"] = pa.array(np.concatenate([h for _, h in found]))
+            yield pa.RecordBatch.from_arrays([held[c] if c in held else pa.nulls(len(whose), kind) for c, kind in zip(names, kinds)], names=list(names))
+
+
+class _Words:
+    """(starts, ends, word hashes) of texts, remembered by key up to a bounded number of words."""
+
+    def __init__(self):
+        self.hasher, self.seen, self.size = WordHasher(), {}, 0
+
+    def __call__(self, key: int, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if key not in self.seen:
+            if self.size > 500_000:
+                self.seen.clear()
+                self.size = 0
+            self.seen[key] = (*_word_spans(text)[:2], self.hasher(ascii_words(text.encode("utf-8", "replace"))))
+            self.size += len(self.seen[key][0])
+        return self.seen[key]
+
+
+def _slice_batches(batches):
+    """A stretch's words and SEED_WINDOW - 1 more on either side, as far as the text goes."""
+    words = _Words()
+    for batch in batches:
+        kept = [c for c in batch.schema.names if c != "_text"]
+        first, offset, slices = [], [], []
+        for key, low, high, text in zip(*(batch.column(c).to_pylist() for c in ("_key", "low", "high", "_text"))):
+            starts, ends, _ = words(key, text)
+            low, high = max(0, low - SEED_WINDOW + 1), min(len(starts), high + SEED + SEED_WINDOW - 1)
+            first.append(low)
+            offset.append(int(starts[low]))
+            slices.append(text[starts[low] : ends[high - 1]])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(first, pa.int32()), pa.array(offset, pa.int32()), pa.array(slices, pa.string())], names=[*kept, "first", "offset", "slice"])
+
+
+def _stretch_batches(batches):
+    """The stretches of at least SEED words in which a slice equals the other document, word by word."""
+    words, hasher = _Words(), WordHasher()
+    for batch in batches:
+        whose, cols = [], ([], [], [], [], [])
+        rows = zip(*(batch.column(c).to_pylist() for c in ("other_key", "apart", "first", "offset", "slice", "_text")))
+        for i, (key, apart, first, offset, own, text) in enumerate(rows):
+            other = words(key, text)[2]
+            starts, ends, _ = _word_spans(own)
+            hashes = hasher(ascii_words(own.encode("utf-8", "replace")))
+            begin = first - apart
+            low, high = max(0, -begin), min(len(hashes), len(other) - begin)
+            equal = np.zeros(len(hashes) + 2, dtype=bool)
+            if low < high:
+                equal[low + 1 : high + 1] = hashes[low:high] == other[begin + low : begin + high]
+            turns = np.flatnonzero(equal[1:] != equal[:-1]).tolist()
+            for a, b in zip(turns[::2], turns[1::2]):
+                if b - a >= SEED:
+                    whose.append(i)
+                    for col, x in zip(cols, (first + a, first + b - 1, offset + int(starts[a]), offset + int(ends[b - 1]), own[starts[a] : ends[b - 1]])):
+                        col.append(x)
+        kept = ("_rid", "_id", "other_id", "other_rid", "text_hash")
+        at = pa.array(whose, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(at) for c in kept), *(pa.array(col, pa.int32()) for col in cols[:4]), pa.array(cols[4], pa.string())],
+            names=[*kept, "first_word", "last_word", "start", "end", "text"],
+        )
 
 
 def _forest(rows: list, hasher: WordHasher):
@@ -188,11 +285,80 @@ def _links(colliding: DataFrame, texts: DataFrame) -> DataFrame:
     return meets.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_block_batches, "a long, b long").distinct()
 
 
+def _stretches(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Stretches of words that a document shares with the first one that holds a seed of them, and with the one before it in the order of documents."""
+    in_order = Window.partitionBy("text_hash").orderBy(F.col("_id").isNull(), "_id", "_rid", "first_word")
+    at = F.struct("_rid", "_id", "_key", "first_word")
+    found = table.where("unit is null").select("text_hash", "_rid", "_id", "_key", "first_word")
+    found = found.withColumn("one", F.first(at).over(in_order)).withColumn("two", F.lag(at).over(in_order)).where("one._rid <> _rid")
+    before = F.when(F.col("two._rid").isin(F.col("_rid"), F.col("one._rid")), None).otherwise(F.col("two"))
+    pairs = found.select("text_hash", "_rid", "_id", "_key", "first_word", F.explode(F.array_compact(F.array("one", before))).alias("other"))
+    # Seeds of one pair of documents that lie equally far apart belong together.
+    together = ["_rid", "_id", "_key", F.col("other._id").alias("other_id"), F.col("other._rid").alias("other_rid"), F.col("other._key").alias("other_key"), (F.col("first_word") - F.col("other.first_word")).alias("apart")]
+    asked = pairs.groupBy(*together).agg(F.min("first_word").alias("low"), F.max("first_word").alias("high"), F.min_by("text_hash", "first_word").alias("text_hash"))
+    asked = materialize(asked, "asked")
+    keys = asked.select("_key").unionAll(asked.select("other_key")).distinct()
+    texts = materialize(rows.select("_key", "_text").join(F.broadcast(keys), "_key", "left_semi").groupBy("_key").agg(F.min("_text").alias("_text")), "texts")
+    kept = "_rid long, _id long, other_id long, other_rid long, other_key long, apart int, text_hash long"
+    own = asked.join(texts, "_key").select(*[x.split()[0] for x in kept.split(", ")], "_key", "low", "high", "_text")
+    slices = own.mapInArrow(_slice_batches, f"{kept}, _key long, low int, high int, first int, offset int, slice string").drop("_key", "low", "high")
+    both = slices.join(texts.withColumnRenamed("_key", "other_key"), "other_key")
+    schema = "_rid long, _id long, other_id long, other_rid long, text_hash long, first_word int, last_word int, start int, end int, text string"
+    return materialize(both.mapInArrow(_stretch_batches, schema), "stretches")
+
+
+def _further_batches(batches):
+    """The rows whose words those before them in the same document don't cover already."""
+    rid, cover = None, []
+    for batch in batches:
+        keep = []
+        for own, first, last in zip(*(batch.column(c).to_pylist() for c in ("_rid", "first_word", "last_word"))):
+            if own != rid:
+                rid, cover = own, []
+            at = bisect_right(cover, (first, last + 1))
+            low = at - 1 if at and cover[at - 1][1] >= first else at
+            if low < len(cover) and cover[low][0] <= first and cover[low][1] > last:
+                keep.append(False)
+                continue
+            high = low
+            while high < len(cover) and cover[high][0] <= last + 1:
+                high += 1
+            touched = cover[low:high]
+            cover[low:high] = [(min([first, *(x for x, _ in touched)]), max([last + 1, *(y for _, y in touched)]))]
+            keep.append(True)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _merged(pieces: DataFrame) -> DataFrame:
+    """Pieces of a document that overlap or touch, made one."""
+    by_doc = Window.partitionBy("_rid").orderBy("first_word", "last_word", "component_id")
+    before = F.max("last_word").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    dealt = pieces.withColumn("apart", F.when(F.col("first_word") <= before + 1, 0).otherwise(1)).withColumn("island", F.sum("apart").over(by_doc))
+    parts = F.array_sort(F.collect_list(F.struct("start", "end", "text")))
+    made = dealt.groupBy("_rid", "island").agg(
+        F.first("_id").alias("_id"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_units").alias("n_units"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_doc_ids")))).alias("kept_doc_ids"), F.min_by("component_id", F.struct("first_word", "component_id")).alias("component_id"), parts.alias("parts"),
+    )
+
+    def longer(acc, x):
+        rest = F.substring(x["text"], F.greatest(acc["at"] - x["start"], F.lit(0)) + 1, F.length(x["text"]))
+        return F.struct(
+            F.greatest(acc["at"], x["end"]).alias("at"),
+            F.when(acc["at"] >= x["end"], acc["text"]).when(acc["at"] >= x["start"], F.concat(acc["text"], rest)).otherwise(F.concat_ws("\n", acc["text"], x["text"])).alias("text"),
+        )
+
+    text = F.aggregate("parts", F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("text")), longer, lambda acc: acc["text"])
+    return made.withColumn("text", text).drop("parts", "island")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per removed run: doc_id, start, end (code points), n_words, n_units, kept_doc_ids (where its units stay), component_id (of its first unit), text."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    schema = "_rid long, _id long, unit int, start int, end int, first_word int, last_word int, text_hash long, bands array<long>, text string"
-    table = materialize(rows.mapInArrow(_unit_batches, schema), "units")
+    own = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    # Unlike a row number, the key is the same in every scan.
+    rows = docs.select(own[0].alias("_id"), own[1].alias("_text"), F.xxhash64(*own).alias("_key"))
+    schema = "_rid long, _id long, _key long, unit int, start int, end int, first_word int, last_word int, text_hash long, bands array<long>, text string"
+    written = materialize(rows.withColumn("_rid", F.monotonically_increasing_id()).mapInArrow(_unit_batches, schema), "units")
+    table = written.where("unit is not null")
     postings = table.select("text_hash", F.explode("bands").alias("key"))
     # A key holds several texts where neighbours in the order of texts differ: one shuffle, no list of a key's rows.
     by_key = Window.partitionBy("key").orderBy("text_hash")
@@ -200,9 +366,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     colliding = materialize(beside.where("before <> text_hash or after <> text_hash").select("key", "text_hash").distinct(), "colliding")
     repeated = table.groupBy("text_hash").agg(F.count("*").alias("n")).where("n > 1").select("text_hash")
     wanted = repeated.unionAll(colliding.select("text_hash")).distinct()
-    some = materialize(table.drop("bands").join(wanted, "text_hash"), "repeated")
+    some = materialize(table.drop("bands", "_key").join(wanted, "text_hash"), "repeated")
+    stretches = _stretches(rows, written)
+    release(written)
     texts = some.join(colliding.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text"))
     links = materialize(_links(colliding, texts), "links")
+    release(colliding)
     components = connected_components(links)
     place = F.struct(F.col("_id").isNull().alias("x"), F.col("_id"), F.col("_rid"), F.col("unit"))
     held = some.join(components, some["text_hash"] == components["node"], "left").withColumn("component_id", F.coalesce("component", "text_hash")).drop("component", "node")
@@ -213,12 +382,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         gone.withColumn("island", F.col("unit") - F.row_number().over(by_doc))
         .groupBy("_rid", "island")
         .agg(
-            F.first("_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last_word") - F.min("first_word") + 1).alias("n_words"), F.count("*").alias("n_units"),
+            F.first("_id").alias("_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.count("*").alias("n_units"),
             F.array_sort(F.collect_set("first._id")).alias("kept_doc_ids"), F.min_by("component_id", "unit").alias("component_id"), F.array_join(F.array_sort(F.collect_list(F.struct("unit", "text")))["text"], "\n").alias("text"),
         )
-        .where(F.col("n_words") >= RUN_WORDS)
+        .drop("island")
+    )
+    alike = stretches.select(
+        "_rid", "_id", "start", "end", "first_word", "last_word", F.lit(0).cast("long").alias("n_units"), F.array_compact(F.array("other_id")).alias("kept_doc_ids"),
+        F.col("text_hash").alias("component_id"), "text", F.struct(F.lit(1).alias("rank"), F.col("other_id").isNull().alias("x"), "other_id", "other_rid").alias("place"),
     )
-    return runs.select("doc_id", "start", "end", "n_words", "n_units", "kept_doc_ids", "component_id", "text")
+    # Of stretches that cover the same words, the one shared with the first document says where they stay.
+    pieces = runs.withColumn("place", F.lit(None).cast(alike.schema["place"].dataType)).unionByName(alike)
+    pieces = pieces.repartition("_rid").sortWithinPartitions("_rid", "place", "first_word", "last_word").drop("place")
+    pieces = pieces.mapInArrow(_further_batches, pieces.schema)
+    whole = _merged(pieces).withColumn("n_words", F.col("last_word") - F.col("first_word") + 1).where(F.col("n_words") >= RUN_WORDS)
+    return whole.select(F.col("_id").alias("doc_id"), "start", "end", "n_words", "n_units", "kept_doc_ids", "component_id", "text")
 
 
 ship(__name__)

@@ -252,6 +252,36 @@ def test_repeated_passages(spark):
     assert repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_pasted_into_the_middle_of_sentences(spark):
+    rng = random.Random(21)
+    rows, where = [], {}
+    for n in range(51, 61):
+        # No sentence of the passage is whole in it: all its words are inner ones of a long sentence, or of two.
+        passage = words(rng, n)
+        if n % 2:
+            passage[n // 2] += "."
+        for copy in range(3):
+            before, after = words(rng, 11 + copy), words(rng, 12 + copy)
+            rows.append((3 * n + copy, " ".join([*before, *passage, *after]) + "."))
+            where[3 * n + copy] = (len(before), " ".join(passage))
+    # The first document holds the middle of what two later ones share.
+    long = words(rng, 90)
+    rows += [(1, " ".join(words(rng, 9) + long[30:60] + words(rng, 9))), (2, " ".join(words(rng, 9) + long)), (3, " ".join(words(rng, 12) + long))]
+    got = {}
+    for r in repeated_passages(frame(spark, rows).repartition(3)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    text = dict(rows)
+    for i, (_, passage) in where.items():
+        if i % 3:
+            [r] = got[i]
+            # A unit that is nearly equal may bring some foreign words of its own sentence.
+            assert passage in text[i][r["start"] : r["end"]] and r["n_words"] <= i // 3 + 8 and i - i % 3 in r["kept_doc_ids"]
+            assert r["text"].split() == text[i][r["start"] : r["end"]].split()
+        else:
+            assert i not in got
+    assert 1 not in got and [text[3][r["start"] : r["end"]] for r in got[3]] == [" ".join(long)]
+
+
 def test_near_equal_units_join_in_blocks(spark, monkeypatch):
     from strandflow.llm import substring_dedup
 
