@@ -6,8 +6,7 @@ taken together, are cut after words whose hash is 0 modulo CUT (the same words a
 MIN_WORDS words are not compared.
 
 1. Equal units (words, A-Z in lower case) form one class each, by a 64-bit hash.
-2. MinHash bands over five-word shingles, as many as RECALL at similarity 0.75 asks for (single-row bands: 4; short units, in which only an
-   end can differ at that similarity, take 2). Units that collide in a band meet in blocks of bounded size; exact Jaccard similarity
+2. MinHash bands over five-word shingles, as many as RECALL at similarity 0.75 asks for (single-row bands: 4). Units that collide in a band meet in blocks of bounded size; exact Jaccard similarity
    of at least 0.75 confirms; each block hands on a spanning forest of its links, so a hot band never makes all its pairs.
 3. Components over classes. The document of each one's first unit (least doc_id, row) keeps its units, those of other documents are
    removable; what one document alone repeats stays.
@@ -35,7 +34,6 @@ from .components import connected_components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 MIN_WORDS, LONG, CUT, RUN_WORDS = 8, 60, 16, 30
-SHORT_WORDS = 16
 SEED, SEED_WINDOW = 16, 36
 RECALL = 0.995
 BLOCK = 512
@@ -144,9 +142,9 @@ def _unit_batches(batches):
             texts = _text_hashes(hashes, first, last).tolist()
             keys = _min_hashes(hashes, first, last, most).tolist()
             shown = []
-            for h, own, n in zip(texts, keys, (last - first + 1).tolist()):
+            for h, own in zip(texts, keys):
                 # A text that this task has banded already needs no more rows.
-                shown.append([] if h in seen else own if n >= SHORT_WORDS else own[:2])
+                shown.append([] if h in seen else own)
                 seen.add(h)
             if len(seen) > 500_000:
                 seen.clear()

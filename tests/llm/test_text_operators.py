@@ -282,6 +282,16 @@ def test_passages_pasted_into_the_middle_of_sentences(spark):
     assert 1 not in got and [text[3][r["start"] : r["end"]] for r in got[3]] == [" ".join(long)]
 
 
+def test_short_units_have_all_bands():
+    import pyarrow as pa
+
+    from strandflow.llm.substring_dedup import _unit_batches, bands
+
+    text = " ".join(words(random.Random(5), 13)) + "."
+    batch = pa.RecordBatch.from_pylist([{"_rid": 1, "_id": 1, "_key": 1, "_text": text}])
+    assert [len(x) for out in _unit_batches([batch]) for x in out.column("bands").to_pylist() if x is not None] == [bands()]
+
+
 def test_near_equal_units_join_in_blocks(spark, monkeypatch):
     from strandflow.llm import substring_dedup
 
