@@ -45,21 +45,13 @@ ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)
 COPY_SHARE = 0.8
 
 
+#: What may stand in a tag before its '>': a quoted value begins after '='; a quote elsewhere is an ordinary character.
+IN_TAG = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+)*+""")
+
+
 def _tag_end(page: str, at: int) -> int:
-    """The end of the tag that starts at `at`; '>' inside quotes doesn't end it."""
-    end = page.find(">", at)
-    for _ in range(8):
-        if end < 0:
-            return len(page)
-        tag = page[at:end]
-        if tag.count('"') % 2 == 0 and tag.count("'") % 2 == 0:
-            return end
-        further = page.find(">", end + 1)
-        if further < 0:
-            break
-        end = further
-    first = page.find(">", at)
-    return first if first >= 0 else len(page)
+    """The end of the tag whose name ends at `at`; '>' inside a quoted value doesn't end it. A value that is never closed isn't quoted."""
+    return IN_TAG.match(page, at).end()
 
 
 def page_lines(page: str | None) -> list[tuple[str, bool, bool]]:

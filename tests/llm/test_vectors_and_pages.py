@@ -100,3 +100,13 @@ def test_odd_markup_takes_linear_time():
     for page in ("<nav>" * 20_000 + "x</nav>", "<" * 100_000, "<!--" * 30_000, "<div class='" * 5_000, "<script>" * 10_000, "<p>" * 50_000):
         page_lines(page)
     assert page_lines("<header>h</header><p>a &lt; b &#233;</p><form>f</form>") == [("h", False, True), ("a < b é", False, False), ("f", False, True)]
+
+
+def test_quotes_and_brackets_in_attributes():
+    texts = lambda page: [t for t, _, away in page_lines(page) if not away]
+    assert texts("""<p><a href="/x" title="Anna's house">first link</a> and the text that follows, which doesn't end.</p><p>More</p>""") == ["first link and the text that follows, which doesn't end.", "More"]
+    assert texts('<p data-x="' + "<b>1</b>" * 20 + '">own text</p>') == ["own text"]
+    assert texts("<p title='say \"hi\" > 3' hidden>a</p><p title = \"it's >\">b</p><p x=a'b>c</p><a href=/q?x=\"y>d</a>") == ["a", "b", "c", "d"]
+    assert texts("<p>a</p><p title=\"never closed>b</p><p>c</p>") == ["a", "b", "c"]
+    for page in ("<a b='" * 50_000, "<a b=" * 50_000, "<a b=\"'>" * 50_000, "=" * 100_000 + "<a " + "=" * 100_000):
+        page_lines(page)
