@@ -8,8 +8,12 @@ occurrence number, so that it takes n log n), and shared lines are deleted.
 Differencing alone would delete an article that two pages of a host share, and can't see a menu or advert that no
 neighbour repeats. So: lines inside an article or main element are never deleted as shared, and what the markup itself names a menu, header, footer,
 sidebar, notice, advert, form, script, style or reader comment goes whether shared or not. Where a page has an article
-(else main) element, only lines inside it count; else all that differencing leaves, unless nearly all lines are
-shared (a copy of the page), when the shared lines stay.
+(else main) element, only lines inside it count; else all that differencing leaves.
+
+Differencing takes no account of lines that the markup has named. A neighbour is a copy, which deletes nothing, if it or the page has no line
+of its own beside the shared ones. Pages that share most lines but have some of their own may be nearly copies, or have much in common
+around short texts: the other neighbour decides. What all three share goes; if the other neighbour shares
+only a lesser part, only that goes; without another neighbour, what the two share goes.
 
 Null and empty html give an empty text. Pages without a host are paired among themselves. Rows that repeat an id
 are pages of their own; rows equal in id, URL and html are one page for the pairing. Nothing is cut from long pages.
@@ -41,8 +45,8 @@ NAMED = re.compile(
     r"|popup|promo|promoted|related|share|sharing|sidebar|social|sponsored|subscribe|toolbar|widget)(?![a-z])"
 )
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-#: Two pages that share this part of the shorter one's lines are copies of each other.
-COPY_SHARE = 0.8
+#: Of two pages that share this part of the shorter one's lines, a third one says what is common to all pages.
+CLOSE_SHARE = 0.8
 
 
 #: What may stand in a tag before its '>': a quoted value begins after '='; a quote elsewhere is an ordinary character.
@@ -192,13 +196,23 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
 
 
 def deleted_lines(hashes: list[int], neighbours: list[list[int]]) -> list[int]:
-    """Positions of the lines that a page shares with a neighbour; none for a neighbour that is nearly a copy."""
-    gone: set[int] = set()
+    """Positions of the lines that a page shares with its neighbours and that are not its own text."""
+    far: set[int] = set()
+    close: list[set[int]] = []
+    has_far = False
     for other in neighbours:
         shared = shared_lines(hashes, other)
-        if len(shared) < COPY_SHARE * min(len(hashes), len(other)):
-            gone |= shared
-    return sorted(gone)
+        shorter = min(len(hashes), len(other))
+        if len(shared) == shorter:
+            continue  # a copy, or a page without lines
+        if len(shared) < CLOSE_SHARE * shorter:
+            has_far = True
+            far |= shared
+        else:
+            close.append(shared)
+    if close and not has_far:
+        return sorted(set.intersection(*close))
+    return sorted(far)
 
 
 def has_main(lines: list[tuple[str, bool, bool]]) -> bool:
@@ -206,9 +220,10 @@ def has_main(lines: list[tuple[str, bool, bool]]) -> bool:
 
 
 def main_text(lines: list[tuple[str, bool, bool]], gone: list[int]) -> str:
-    """The page's text: inside its article or main element, or all but the deleted lines."""
+    """The page's text: inside its article or main element, or all but the deleted lines (positions among those not named by the markup)."""
     inside, gone = has_main(lines), set(gone)
-    return "\n".join(text for i, (text, main, away) in enumerate(lines) if not away and (main if inside else i not in gone))
+    kept = ((text, main) for text, main, away in lines if not away)
+    return "\n".join(text for i, (text, main) in enumerate(kept) if (main if inside else i not in gone))
 
 
 def _hash_batches(batches):
@@ -216,7 +231,7 @@ def _hash_batches(batches):
 
     for batch in batches:
         parsed = [page_lines(p) for p in batch.column("_html").to_pylist()]
-        hashes = pa.array([[xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) >> 1 for t, _, _ in own] for own in parsed], pa.list_(pa.int64()))
+        hashes = pa.array([[xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) >> 1 for t, _, away in own if not away] for own in parsed], pa.list_(pa.int64()))
         kept = [c for c in batch.schema.names if c != "_html"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), hashes, pa.array([has_main(own) for own in parsed])], names=[*kept, "hashes", "has_main"])
 

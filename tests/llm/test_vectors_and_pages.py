@@ -110,3 +110,17 @@ def test_quotes_and_brackets_in_attributes():
     assert texts("<p>a</p><p title=\"never closed>b</p><p>c</p>") == ["a", "b", "c"]
     for page in ("<a b='" * 50_000, "<a b=" * 50_000, "<a b=\"'>" * 50_000, "=" * 100_000 + "<a " + "=" * 100_000):
         page_lines(page)
+
+
+def test_much_in_common_around_few_lines(spark):
+    menu, footer = "".join(f"<div>Menu {k}</div>" for k in range(6)), "".join(f"<div>Footer {k}</div>" for k in range(4))
+    rows = [(i, f"https://rich.example/{i}", f"{menu}<p>Own words {i}</p><p>Further words {i}</p>{footer}") for i in range(6)]
+    # What the markup names doesn't count: ten lines in nav, one unnamed line in common, one of its own.
+    nav = "<nav>" + "".join(f"<div>Link {k}</div>" for k in range(10)) + "</nav>"
+    rows += [(10 + i, f"https://nav.example/{i}", f"{nav}<div>In common</div><p>Own words {i}</p><p>Further words {i}</p>") for i in range(3)]
+    # Nearly copies next to another page keep what they share with each other only.
+    body = "".join(f"<p>Text {k}</p>" for k in range(8))
+    rows += [(20, "https://near.example/a", f"<div>Top</div>{body}<p>on Monday</p>"), (21, "https://near.example/b", f"<div>Top</div>{body}<p>on Tuesday</p>"), (22, "https://near.example/c", "<div>Top</div><p>Else</p>")]
+    got = {r["page_id"]: r["text"] for r in extract_pages(pages(spark, rows)).collect()}
+    assert all(got[i] == f"Own words {i % 10}\nFurther words {i % 10}" for i in (*range(6), 10, 11, 12))
+    assert got[21] == "\n".join([*(f"Text {k}" for k in range(8)), "on Tuesday"])
