@@ -6,7 +6,7 @@ local_phone (ten digits in groups, with a context word). A score is the kind's o
 one of the kind's words stands in the CONTEXT characters before the span.
 
 A kind's matches and the gaps between them come from regexp_extract_all and split with one pattern; a fold over both gives
-positions in code points, without a copy of anything but confirmed spans. Patterns are possessive and
+positions in code points and carries the last CONTEXT characters, matches included, without a copy of anything else but confirmed spans. Patterns are possessive and
 start only where a run of their characters starts, so they take linear time on runs of any length. Null text is empty. Rows are judged one by one.
 """
 
@@ -50,6 +50,11 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def _last(text: Column) -> Column:
+    """The last CONTEXT characters."""
+    return F.substring(text, -CONTEXT, CONTEXT)
+
+
 def _luhn(digits: Column) -> Column:
     doubled = F.transform(
         F.split(F.reverse(digits), ""),
@@ -91,15 +96,16 @@ def spans_of(text: Column, kind: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["m"])
-        near = F.lower(F.substring(x["gap"], -CONTEXT, CONTEXT)).rlike(rf"(?<![a-z])(?:{CONTEXT_WORDS[kind]})")
+        before = _last(F.concat(acc["before"], _last(x["gap"])))
+        near = F.lower(before).rlike(rf"(?<![a-z])(?:{CONTEXT_WORDS[kind]})")
         score = F.lit(OWN_SCORE[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0)
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("text"), score.alias("score"))
         keep = _confirmed(kind, x["m"])
         if kind not in BASE_KINDS:
             keep = keep & (score >= THRESHOLD)
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["m"].isNotNull() & keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.coalesce(end, acc["at"]).alias("at"), _last(F.concat(before, _last(x["m"]))).alias("before"), F.when(x["m"].isNotNull() & keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), none.alias("out")), step, lambda acc: acc["out"])
     possible = F.size(matches) > 0
     if kind in NEEDS:
         possible = (F.instr(text, NEEDS[kind]) > 0) & possible

@@ -118,6 +118,17 @@ def test_pii_checksums_and_context(spark):
     assert pii.find_personal_data(frame(spark, [])).count() == 0
 
 
+def test_pii_context_reaches_over_earlier_matches(spark):
+    cards = "378282246310005, 371449635398431"
+    rows = [(1, "Phone: 555-123-4567, 555-987-6543"), (2, "cards " + cards), (3, cards), (4, "phone" + " " * 30 + "555-123-4567, 555-987-6543"), (5, "mail é𝒳 a@b.co, c@d.co"), (6, "555-123-4567 phone 555-987-6543")]
+    got = {r["_row"]["doc_id"]: [(s["kind"], s["text"], round(s["score"], 2)) for s in r["spans"]] for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    phones = [("local_phone", "555-123-4567", 0.55), ("local_phone", "555-987-6543", 0.55)]
+    assert got == {
+        1: phones, 2: [("short_card", "378282246310005", 0.55), ("short_card", "371449635398431", 0.55)], 3: [], 4: phones[:1],
+        5: [("email", "a@b.co", 0.9), ("email", "c@d.co", 0.9)], 6: phones[1:],
+    }
+
+
 # ---------------------------------------------------------------- decontamination
 
 
