@@ -1,11 +1,10 @@
 """Language identification by interpolated Kneser-Ney character language models, one per language.
 
 Texts are put in lower case; everything but letters becomes one blank. Counts of character 4-grams cover
-all learning documents; continuation counts of the lower orders follow from the distinct 4-grams. Each
-model keeps its most frequent 4-grams (MODEL_GRAMS in all languages together, fewer where a
-column for each language would make more than MODEL_CELLS cells: a stated capacity that bounds the broadcast).
-All models lie in common sorted arrays of packed gram keys, with one row of log-probabilities (a column
-per language) for each key, back-off already resolved where only some languages know a gram.
+all learning documents; continuation counts of the lower orders follow from the distinct 4-grams. The models are whole.
+Languages are scored in as many passes as it takes to keep a pass at PASS_CELLS cells (a language alone may have more); a text's bits
+in a language don't depend on the passes. The models of a pass lie in common sorted arrays of packed gram keys, with one row of
+log-probabilities (a column per language) for each key, back-off already resolved where only some languages know a gram.
 
 A text gets the language of the lowest cross-entropy per character (ties: the first name). It is rejected if it has no letter, or if
 that cross-entropy is above what learning documents of like length show (per power of two of the length: the
@@ -22,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, worker_cache
+from .common import materialize, release, ship, worker_cache
 
 ORDER = 4
-MODEL_GRAMS, MODEL_CELLS = 1_000_000, 32_000_000
+PASS_CELLS = 32_000_000
 SLICE = 1_000_000
 REJECT_QUANTILE, REJECT_MARGIN, REJECT_LEAST_DOCS = 0.999, 0.5, 200
 SCORE_CHARS = 60
@@ -196,27 +195,24 @@ def cross_entropies(model: dict, texts: list[str | None]) -> tuple[np.ndarray, n
     return bits / np.maximum(chars, 1)[:, None], chars, letters
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict | None:
-    """A model from all rows with a language; None if there is nothing to learn from."""
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, list[list[str]]]:
+    """(lang, gram, n) of all rows with a language, and the languages of each pass, in order of their names."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = materialize(rows.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    # How many grams have each count: the cut-off that keeps a language's share of MODEL_GRAMS.
-    kinds: dict[str, list] = {}
-    binned = counts.groupBy("lang", F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2), F.floor(F.log2("n")))).cast("long").alias("at_least"))
-    for lang, at_least, n in binned.agg(F.count("*")).collect():
-        kinds.setdefault(lang, []).append((at_least, n))
-    if not kinds:
-        return None
-    share, keep = min(MODEL_GRAMS, MODEL_CELLS // len(kinds)) // len(kinds), None
-    for lang, own in kinds.items():
-        total, cut = 0, None
-        for at_least, n in sorted(own, reverse=True):
-            if cut is not None and total + n > share:
-                break
-            total, cut = total + n, at_least
-        test = (F.col("lang") == lang) & (F.col("n") >= cut)
-        keep = test if keep is None else keep | test
-    found = counts.where(keep).toPandas()
+    passes: list[list[str]] = []
+    size = 0
+    for lang, n in sorted(counts.groupBy("lang").count().collect()):
+        if passes and (size + n) * (len(passes[-1]) + 1) <= PASS_CELLS:
+            passes[-1].append(lang)
+            size += n
+        else:
+            passes.append([lang])
+            size = n
+    return counts, passes
+
+
+def _model(counts: DataFrame, langs: list[str]) -> dict:
+    found = counts.where(F.col("lang").isin(langs)).toPandas()
     grams = {}
     for lang, own in found.groupby("lang"):
         keys = own["gram"].to_numpy(np.int64).view(np.uint64)
@@ -225,22 +221,40 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     return build_model(grams)
 
 
-def _predict(model):
+def _score(model):
+    """Adds the bits of one more pass's languages to _bits."""
+
+    def run(batches):
+        m = model.value
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            bits = cross_entropies(m, texts)[0]
+            before = batch.column("_bits").to_pylist()
+            cols = [batch.column(c) for c in batch.schema.names if c != "_bits"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([x + y for x, y in zip(before, bits.tolist())], pa.list_(pa.float64()))], names=[*(c for c in batch.schema.names if c != "_bits"), "_bits"])
+
+    return run
+
+
+def _predict(model, langs):
+    """langs: those of all passes; this is the last one."""
+
     def run(batches):
         m = model.value
-        langs = m["langs"]
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             bits, chars, letters = cross_entropies(m, texts)
+            if "_bits" in batch.schema.names:
+                bits = np.hstack([np.array(batch.column("_bits").to_pylist(), dtype=float).reshape(len(texts), -1), bits])
             best = bits.argmin(axis=1)
             least = bits[np.arange(len(texts)), best] if len(texts) else np.empty(0)
             size = np.minimum(chars, SCORE_CHARS)
             score = 1 / np.exp2(-np.minimum((bits - least[:, None]) * size[:, None], 500)).sum(axis=1)
             ok = letters > 0
-            cols = [batch.column(c) for c in batch.schema.names if c != "_text"]
+            kept = [c for c in batch.schema.names if c not in ("_text", "_bits")]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array([langs[b] if o else "und" for b, o in zip(best, ok)], pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, least, np.nan)), pa.array(chars.astype(np.int64))],
-                names=[*(c for c in batch.schema.names if c != "_text"), "lang_pred", "score", "bits", "n_scored"],
+                [*(batch.column(c) for c in kept), pa.array([langs[b] if o else "und" for b, o in zip(best, ok)], pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, least, np.nan)), pa.array(chars.astype(np.int64))],
+                names=[*kept, "lang_pred", "score", "bits", "n_scored"],
             )
 
     return run
@@ -249,24 +263,34 @@ def _predict(model):
 def identify(docs: DataFrame, learn_if: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """_row (the whole row), lang_pred, score, bits (per character), n_scored, rejected; learns from rows where learn_if holds."""
     spark = docs.sparkSession
-    model = learn(docs.where(learn_if), text_col, lang_col)
+    counts, passes = learn(docs.where(learn_if), text_col, lang_col)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    if model is None:
+    if not passes:
         return docs.select(row, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(0).cast("long").alias("n_scored"), F.lit(True).alias("rejected"))
-    shared = spark.sparkContext.broadcast(model)
     learned = F.coalesce(learn_if & F.col(lang_col).isNotNull(), F.lit(False)).alias("_learned")
-    scored = materialize(
-        docs.select(row, learned, F.col(text_col).cast("string").alias("_text")).mapInArrow(
-            _predict(shared), f"_row {docs.schema.simpleString()}, _learned boolean, lang_pred string, score double, bits double, n_scored long"
-        ),
-        "languages",
-    )
+    rows = docs.select(row, learned, F.col(text_col).cast("string").alias("_text"))
+    kept = f"_row {docs.schema.simpleString()}, _learned boolean"
+    uniform_bits, before = 0.0, None
+    if len(passes) > 1:
+        rows = rows.withColumn("_bits", F.array().cast("array<double>"))
+    for i, langs in enumerate(passes):
+        model = _model(counts, langs)
+        uniform_bits = max(uniform_bits, model["uniform_bits"])
+        shared = spark.sparkContext.broadcast(model)
+        if i < len(passes) - 1:
+            rows = materialize(rows.mapInArrow(_score(shared), f"{kept}, _text string, _bits array<double>"), "passes")
+        else:
+            scored = materialize(rows.mapInArrow(_predict(shared, [x for own in passes for x in own]), f"{kept}, lang_pred string, score double, bits double, n_scored long"), "languages")
+        if before is not None:
+            release(before)
+        before = rows if i < len(passes) - 1 else None
+        shared.unpersist()
     bucket = F.floor(F.log2(F.col("n_scored"))).cast("int")
     usual = (
         scored.where("_learned and lang_pred <> 'und'").groupBy(bucket.alias("bucket"))
         .agg(F.count("*").alias("n"), F.percentile_approx("bits", REJECT_QUANTILE, 10_000).alias("q")).collect()
     )
-    limit = F.lit(model["uniform_bits"])
+    limit = F.lit(uniform_bits)
     for b, n, q in usual:
         if n >= REJECT_LEAST_DOCS:
             limit = F.when(bucket == b, F.lit(q + REJECT_MARGIN)).otherwise(limit)

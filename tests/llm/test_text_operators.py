@@ -192,6 +192,21 @@ def test_language_on_held_out_texts(spark):
     assert identify(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_passes_of_languages_give_the_same_and_keep_all_grams(spark, monkeypatch):
+    from strandflow.llm import language_id
+
+    rng = random.Random(16)
+    rows = [(i, speech(rng, SOUNDS[lang], 20) + f" {chr(0x4E00 + i)}{chr(0x5E00 + i)}", lang) for i, lang in enumerate(["aa", "bb", "cc"] * 30)] + [(100, None, "aa"), (101, "12", None), (102, "the sher", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = lambda: {r["_row"]["doc_id"]: (r["lang_pred"], round(r["score"], 5), r["n_scored"], r["rejected"], r["bits"] and round(r["bits"], 4)) for r in identify(docs, F.lit(True)).collect() if r["_row"]["doc_id"] < 100 or r["_row"]["doc_id"] == 102}
+    one = told()
+    for cells, want in ((1000, [["aa", "bb"], ["cc"]]), (1, [["aa"], ["bb"], ["cc"]])):
+        monkeypatch.setattr(language_id, "PASS_CELLS", cells)
+        counts, passes = language_id.learn(docs)
+        assert passes == want and told() == one
+    assert sum(len(language_id._model(counts, own)["levels"][0]["keys"]) for own in passes) == counts.count()
+
+
 def test_model_is_a_distribution():
     import numpy as np
 
