@@ -8,7 +8,8 @@ log-probabilities (a column per language) for each key, back-off already resolve
 
 A text gets the language of the lowest cross-entropy per character (ties: the first name). It is rejected if it has no letter, or if
 that cross-entropy is above what learning documents of like length show (per power of two of the length: the
-REJECT_QUANTILE plus REJECT_MARGIN bits).
+REJECT_QUANTILE plus REJECT_MARGIN bits; a power with fewer than REJECT_LEAST_DOCS learning documents takes those of the
+powers around it, as far on both sides as it takes to have as many, or all there are).
 
 Null and empty texts, and texts without letters, are `und` with score 0 and rejected. Rows without a language are never learned from
 but are predicted. With nothing to learn from, every row is `und`. Rows are judged one by one, so repeated ids and rows don't matter.
@@ -28,6 +29,8 @@ PASS_CELLS = 32_000_000
 SLICE = 1_000_000
 REJECT_QUANTILE, REJECT_MARGIN, REJECT_LEAST_DOCS = 0.999, 0.5, 200
 SCORE_CHARS = 60
+#: Powers of two of a text's length.
+LONGEST = 40
 _BLANK = 32
 
 
@@ -260,6 +263,15 @@ def _predict(model, langs):
     return run
 
 
+def _neighbours(sizes: dict[int, int], bucket: int) -> list[int]:
+    """The buckets nearest to this one that have REJECT_LEAST_DOCS documents together, or all."""
+    for reach in range(LONGEST):
+        near = [b for b in sizes if abs(b - bucket) <= reach]
+        if sum(sizes[b] for b in near) >= REJECT_LEAST_DOCS:
+            return near
+    return list(sizes)
+
+
 def identify(docs: DataFrame, learn_if: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """_row (the whole row), lang_pred, score, bits (per character), n_scored, rejected; learns from rows where learn_if holds."""
     spark = docs.sparkSession
@@ -286,14 +298,14 @@ def identify(docs: DataFrame, learn_if: Column, text_col: str = "text", lang_col
         before = rows if i < len(passes) - 1 else None
         shared.unpersist()
     bucket = F.floor(F.log2(F.col("n_scored"))).cast("int")
-    usual = (
-        scored.where("_learned and lang_pred <> 'und'").groupBy(bucket.alias("bucket"))
-        .agg(F.count("*").alias("n"), F.percentile_approx("bits", REJECT_QUANTILE, 10_000).alias("q")).collect()
-    )
+    usual = scored.where("_learned and lang_pred <> 'und'").select(bucket.alias("bucket"), "bits")
+    sizes = dict(usual.groupBy("bucket").count().collect())
     limit = F.lit(uniform_bits)
-    for b, n, q in usual:
-        if n >= REJECT_LEAST_DOCS:
-            limit = F.when(bucket == b, F.lit(q + REJECT_MARGIN)).otherwise(limit)
+    if sizes:
+        around = [(b, x) for b in range(LONGEST) for x in _neighbours(sizes, b)]
+        pooled = usual.join(F.broadcast(spark.createDataFrame(around, "b int, bucket int")), "bucket").groupBy("b")
+        found = pooled.agg(F.percentile_approx("bits", REJECT_QUANTILE, 10_000).alias("q")).collect()
+        limit = F.element_at(F.create_map(*[F.lit(x) for b, q in found for x in (b, q + REJECT_MARGIN)]), bucket)
     return scored.select("_row", "lang_pred", "score", "bits", "n_scored", ((F.col("lang_pred") == "und") | (F.col("bits") > limit)).alias("rejected"))
 
 

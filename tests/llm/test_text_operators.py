@@ -207,6 +207,18 @@ def test_passes_of_languages_give_the_same_and_keep_all_grams(spark, monkeypatch
     assert sum(len(language_id._model(counts, own)["levels"][0]["keys"]) for own in passes) == counts.count()
 
 
+def test_every_length_has_a_calibrated_limit(spark):
+    rng = random.Random(17)
+    # Each text has rare letters of its own, so that the uniform limit is high.
+    rows = [(i, speech(rng, SOUNDS[lang], 40) + " " + "".join(chr(0x4E00 + 4 * i + k) for k in range(4)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 30)]
+    # Sounds of all three languages mixed, which is none of them: short, as long as the others, and very long.
+    mixed = [x for own in SOUNDS.values() for x in own]
+    rows += [(200 + i, speech(rng, mixed, n), None) for i, n in enumerate((4, 50, 9000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["_row"]["doc_id"]: r["rejected"] for r in identify(docs, F.lit(True)).collect()}
+    assert not any(got[i] for i in range(90)) and got[200] and got[201] and got[202]
+
+
 def test_model_is_a_distribution():
     import numpy as np
 
