@@ -11,6 +11,7 @@ import uuid
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(module: str) -> None:
@@ -82,6 +83,38 @@ def release(df: DataFrame) -> None:
     drop_table(df.sparkSession, df.scratch_path)
 
 
+#: The most bits of a key filter: 16 MB, whatever the number of keys.
+FILTER_BITS = 1 << 27
+_PAGE = 1 << 15
+
+
+def _filtered(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows and _hit: false only for keys that are not among `keys`.
+
+    The filter is a bitmap of hashed keys, sent to the rows in pages of 4 kB. It has 64 bits a key, up to FILTER_BITS in all: with very many
+    keys it says `maybe` more often, which costs time and changes nothing.
+    """
+    n = keys.count()
+    bits = min(FILTER_BITS, max(_PAGE, 1 << (64 * n).bit_length()))
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    place = at.bitwiseAND(_PAGE - 1)
+    pages = keys.select(F.shiftright(at, 15).alias("_page"), place.alias("_place")).groupBy("_page").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), place.bitwiseAND(7).cast("int"))) != 0, F.lit(False))
+    return rows.withColumn("_page", F.shiftright(at, 15)).join(F.broadcast(pages), "_page", "left").withColumn("_hit", hit).drop("_page", "_bits")
+
+
+def only_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among the (distinct) keys of the one-column table `keys`. Rows that the key filter excludes are not shuffled."""
+    return _filtered(rows, key, keys).where("_hit").drop("_hit").join(keys, key, "left_semi")
+
+
+def without_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is not among the (distinct) keys of the one-column table `keys`. Rows that the key filter excludes are not shuffled."""
+    marked = _filtered(rows, key, keys)
+    return marked.where("not _hit").drop("_hit").unionAll(marked.where("_hit").drop("_hit").join(keys, key, "left_anti"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,16 +6,19 @@ k smallest hashes. The steps:
 1. Documents with equal sets form one class; only its first row goes on.
 2. Inverted lists of retained values. The k = 64 smallest values of a union are a sample of it without return, so
    two sets with similarity of 0.75 share at least T(size) of their retained values, but for a probability under
-   MISS (a hypergeometric tail; 26 for very large sets, 43 for a set of 64, all common ones for smaller sets). So, with
-   values in one order, rarest first, some shared value is among the first k - T + 1 of each: only those
-   are kept, and values that one document alone holds use up that prefix, so documents without a partner drop out here.
-3. In every list, members meet a leader (a few rounds with other leaders follow where a list still holds
-   several components). Then what a list still holds from different components meets in
+   MISS (a hypergeometric tail; 26 for very large sets, 43 for a set of 64, all common ones for smaller sets). Documents
+   that share fewer of their retained values with any others drop out here.
+3. By the same argument one of the HEADS = 15 smallest values of a union is a shared one (0.25 ** 15 is under MISS), so the lists of
+   each document's 15 smallest values hold all pairs. In every list, members meet a leader (a few rounds with other
+   leaders follow where a list still holds several components). Then what a list still holds from different components meets in
    blocks of bounded size, so that no link is lost, whatever the length of a list.
 4. The union sketch estimates the similarity and drops pairs that are far below the threshold; the rest is
    confirmed on full sets, streamed by leader, in salted groups.
 5. Connected components of the confirmed links.
 
+What only some documents need (texts of possible partners, rows of copies) is picked by a key filter of bounded size, so that
+the others are never shuffled.
+
 Nulls and empty texts have the empty set: linked with nothing, each its own component. Rows that repeat a
 doc_id are rows of their own, in one component if their texts match. A null doc_id takes part; the
 component_id is the least non-null doc_id in its component, or null.
@@ -24,7 +27,7 @@ component_id is the least non-null doc_id in its component, or null.
 from __future__ import annotations
 
 from itertools import accumulate
-from math import exp, lgamma, log
+from math import ceil, exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, ascii_words, materialize, shingle_hashes, ship
+from .common import WordHasher, ascii_words, materialize, only_keys, release, shingle_hashes, ship, without_keys
 from .components import connected_components
 
 K = 64
@@ -40,6 +43,8 @@ K = 64
 MISS = 1.3e-9
 #: Sizes from which the bound of very large sets is used.
 TABLE = 3000
+#: So many smallest values of a document are in inverted lists.
+HEADS = ceil(log(MISS) / log(1 - 0.75))
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Members of one block in the exact rest; rounds of leaders before it; salts of a leader's group; columns at once in a block.
@@ -127,21 +132,20 @@ def _required(n):
     return F.element_at(F.lit(table), (F.least(n, F.lit(TABLE)) + 1).cast("int"))
 
 
-def _prefixes(reps: DataFrame) -> DataFrame:
-    """(_rid, n_shingles, prefix): the rarest retained values that others hold too."""
-    postings = reps.select("_rid", F.explode("sketch").alias("v"))
-    held = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = (
-        postings.join(held, "v").groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
-    )
-    size = F.size("sketch")
-    room = size - _required(F.col("n_shingles")) + 1 - (size - F.size("vs"))
-    return (
-        ranked.join(reps.select("_rid", "n_shingles", "sketch"), "_rid")
-        .withColumn("prefix", F.slice("vs", 1, F.greatest(room, F.lit(0)))["v"])
-        .where(F.size("prefix") > 0)
-        .select("_rid", "n_shingles", "sketch", "prefix")
+def _with_lists(reps: DataFrame) -> DataFrame:
+    """(_rid, n_shingles, sketch, heads): documents that share enough retained values with others, and those of their HEADS smallest that others hold too."""
+    need = _required(F.col("n_shingles"))
+    spread = reps.select("_rid", need.alias("need"), F.posexplode("sketch").alias("at", "v"))
+    # One small number besides the keys: the need, and whether the value is among the smallest.
+    postings = spread.select("v", "_rid", (F.col("need") * 2 + (F.col("at") < HEADS).cast("int")).cast("short").alias("mark"))
+    # A written table, so that the join with it can be split where a value is in very many documents.
+    held = materialize(postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "held")
+    shared = postings.join(held, "v").groupBy("_rid").agg(
+        F.count("*").alias("n"), F.first("mark").alias("mark"), F.collect_list(F.when(F.col("mark") % 2 == 1, F.col("v"))).alias("heads")
     )
+    chosen = materialize(shared.where((F.col("n") >= F.floor(F.col("mark") / 2)) & (F.size("heads") > 0)).select("_rid", "heads"), "heads")
+    release(held)
+    return only_keys(reps, "_rid", chosen.select("_rid")).join(chosen, "_rid")
 
 
 def _similar_enough(na, nb):
@@ -207,40 +211,58 @@ def _shared_counts(left: list, right: list) -> np.ndarray:
     return shared
 
 
+def _near_by_sketch(sketches: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """Whether the union sketch of each pair doesn't exclude the threshold; sketches are padded with -1."""
+    both = np.sort(np.concatenate([sketches[a], sketches[b]], axis=1).view(np.uint64), axis=1)  # -1 comes last
+    real = both != np.uint64(0xFFFFFFFFFFFFFFFF)
+    twice = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(np.concatenate([real[:, :1], real[:, 1:] & ~twice], axis=1), axis=1)
+    shared = (twice & (rank[:, 1:] <= K)).sum(axis=1)
+    union = np.minimum(rank[:, -1], K)
+    most = (n[a] + n[b]) * DENOMINATOR // (DENOMINATOR + NUMERATOR)  # the union at the threshold
+    return shared >= np.minimum(needed[np.minimum(most, TABLE)], -(-NUMERATOR * union // DENOMINATOR))
+
+
 def _candidates(rows: list, needed: np.ndarray, required: np.ndarray, v: int):
     """Pairs of one block whose union sketch doesn't exclude the threshold, and that share no value before v.
 
-    Rows: (side, _rid, comp, n_shingles, prefix size, values), the retained values with the prefix first.
+    Rows: (side, _rid, comp, n_shingles, sketch).
     """
     side, comp, n = (np.array([r[j] for r in rows]) for j in (0, 2, 3))
     if len(rows) < 2 or (comp == comp[0]).all() or side.any() and side.all():
         return
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if side.any() else left
-    need = required[np.minimum(n, TABLE)]
-    ok = _shared_counts([rows[i][5] for i in left], [rows[i][5] for i in right]) >= np.minimum(need[left][:, None], need[right][None, :])
+    place = np.array([np.searchsorted(r[4], v) for r in rows])
+    ok = place[left][:, None] + place[right][None, :] < HEADS  # the rank of v in the union
     ok &= comp[left][:, None] != comp[right][None, :]
     ok &= np.minimum(n[left][:, None], n[right][None, :]) * DENOMINATOR >= np.maximum(n[left][:, None], n[right][None, :]) * NUMERATOR
     if not side.any():
         ok &= np.triu(np.ones_like(ok), 1)
     if not ok.any():
         return
-    before = [r[5][: r[4]][r[5][: r[4]] < v] for r in rows]
+    need = required[np.minimum(n, TABLE)]
+    ok &= _shared_counts([rows[i][4] for i in left], [rows[i][4] for i in right]) >= np.minimum(need[left][:, None], need[right][None, :])
+    if not ok.any():
+        return
+    before = [r[4][:p] for r, p in zip(rows, place)]
     ok &= _shared_counts([before[i] for i in left], [before[i] for i in right]) == 0  # else found in that value's list
-    for x, y in zip(*np.nonzero(ok)):
-        a, b = left[x], right[y]
-        union = np.union1d(rows[a][5], rows[b][5])[:K]
-        common = np.intersect1d(rows[a][5], rows[b][5], assume_unique=True)
-        most = int((n[a] + n[b]) * DENOMINATOR // (DENOMINATOR + NUMERATOR))
-        if np.searchsorted(common, union[-1], "right") >= min(needed[min(most, TABLE)], -(-NUMERATOR * len(union) // DENOMINATOR)):
-            yield a, b
+    x, y = np.nonzero(ok)
+    a, b = left[x], right[y]
+    sketches = np.full((len(rows), K), -1, dtype=np.int64)
+    for i, r in enumerate(rows):
+        sketches[i, : len(r[4])] = r[4]
+    for at in range(0, len(a), 4 * CHUNK):
+        some = slice(at, at + 4 * CHUNK)
+        near = _near_by_sketch(sketches, n, a[some], b[some], needed)
+        yield from zip(a[some][near].tolist(), b[some][near].tolist())
 
 
 def _streamed(batches, columns, make, finish):
     """Runs make(key, rows) on every group of rows sorted by v, i, j; hands on what finish makes of its results, batch by batch."""
     key, rows, out = None, [], []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_numpy(zero_copy_only=False) if c == "ordered" else batch.column(c).to_pylist() for c in ("v", "i", "j", *columns))):
+        for row in zip(*(batch.column(c).to_numpy(zero_copy_only=False) if c == "sketch" else batch.column(c).to_pylist() for c in ("v", "i", "j", *columns))):
             if row[:3] != key:
                 if rows:
                     out += make(key, rows)
@@ -254,7 +276,7 @@ def _streamed(batches, columns, make, finish):
 
 
 def _block_batches(batches):
-    """Rows (v, i, j, side, _rid, comp, n_shingles, n_prefix, ordered): every document with candidates, and its partners."""
+    """Rows (v, i, j, side, _rid, comp, n_shingles, sketch): every document with candidates, and its partners."""
     needed, required = np.array(sample_table()), np.array(required_table())
 
     def make(key, rows):
@@ -269,7 +291,7 @@ def _block_batches(batches):
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["v", "i", "j", "_rid", "partners"])
 
-    return _streamed(batches, ("side", "_rid", "comp", "n_shingles", "n_prefix", "ordered"), make, finish)
+    return _streamed(batches, ("side", "_rid", "comp", "n_shingles", "sketch"), make, finish)
 
 
 def _confirm_batches(batches):
@@ -304,31 +326,31 @@ def _confirm_batches(batches):
     return _streamed(batches, ("_rid", "partners", "_body"), make, finish)
 
 
-def _with_components(prefixes: DataFrame, components: DataFrame) -> DataFrame:
-    return prefixes.join(components, prefixes["_rid"] == components["node"], "left").select(
-        "_rid", "n_shingles", "sketch", "prefix", F.coalesce("component", "_rid").alias("comp")
+def _with_components(lists: DataFrame, components: DataFrame) -> DataFrame:
+    return lists.join(components, lists["_rid"] == components["node"], "left").select(
+        "_rid", "n_shingles", "sketch", "heads", F.coalesce("component", "_rid").alias("comp")
     )
 
 
-def _open_lists(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings of lists that hold more than one component, and those lists with their sizes."""
-    postings = prefixes.select(F.explode("prefix").alias("v"), "_rid", "comp")
-    lists = postings.groupBy("v").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
-    return postings, lists
+def _open_lists(postings: DataFrame, turn: int) -> DataFrame:
+    """(v, m, lead, lead_comp): lists that hold more than one component, their sizes and leaders; written, so that joins with it can be split."""
+    order = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("_rid", F.lit(turn)), F.col("_rid"), F.col("comp"))
+    found = postings.groupBy("v").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("lead")).where("lo < hi")
+    return materialize(found.select("v", "m", F.col("lead._rid").alias("lead"), F.col("lead.comp").alias("lead_comp")), "lists")
 
 
-def _rest_in_blocks(prefixes: DataFrame, table: DataFrame) -> DataFrame:
+def _rest_in_blocks(state: DataFrame, table: DataFrame) -> DataFrame:
     """Links (a, b, n_shared, n_union) that join components, from all lists that still hold several, in bounded blocks.
 
     Sketches meet first; texts follow only for documents with candidates, once for each block, however many partners they have there.
     """
-    _, lists = _open_lists(prefixes)
-    ordered = F.concat("prefix", F.array_except("sketch", "prefix"))
-    rows = prefixes.select(F.explode("prefix").alias("v"), "_rid", "comp", "n_shingles", F.size("prefix").alias("n_prefix"), ordered.alias("ordered")).join(lists, "v")
+    rows = state.select(F.explode("heads").alias("v"), "_rid", "comp", "n_shingles", "sketch")
+    lists = _open_lists(rows.select("v", "_rid", "comp"), 0)
+    rows = rows.join(lists.select("v", "m"), "v")
     rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("_rid"), F.col("blocks")).cast("int"))
     meets = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "_rid", "comp", "n_shingles", "n_prefix", "ordered",
+        "_rid", "comp", "n_shingles", "sketch",
     )
     dealt = meets.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
     found = materialize(dealt.mapInArrow(_block_batches, "v long, i int, j int, _rid long, partners array<long>"), "rest")
@@ -336,30 +358,50 @@ def _rest_in_blocks(prefixes: DataFrame, table: DataFrame) -> DataFrame:
     return with_text.mapInArrow(_confirm_batches, "a long, b long, n_shared long, n_union long")
 
 
+def _first():
+    """The row that comes first: the least (doc_id, row), null ids last."""
+    return F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id"), F.col("_rid")))["_rid"]
+
+
 def link_documents(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From sketch_documents(): (classes: digest, rep), (links between representatives: a, b, n_shared, n_union)."""
-    first = F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id"), F.col("_rid")))["_rid"]
-    classes = materialize(table.where("n_shingles > 0").groupBy("digest").agg(first.alias("rep")), "classes")
-    reps = table.select("_rid", "n_shingles", "sketch").join(classes.select(F.col("rep").alias("_rid")), "_rid", "left_semi")
-    prefixes = materialize(_prefixes(reps), "prefixes")
+    """From sketch_documents(): (copies: _rid, rep), (links between representatives: a, b, n_shared, n_union)."""
+    slim = table.where("n_shingles > 0").select("_rid", "_id", "digest")
+    classes = materialize(slim.groupBy("digest").agg(F.count("*").alias("n"), _first().alias("rep")).where("n > 1").drop("n"), "classes")
+    copies = materialize(slim.join(classes, "digest").where("_rid <> rep").select("_rid", "rep"), "copies")
+    reps = without_keys(table.where("n_shingles > 0").select("_rid", "n_shingles", "sketch"), "_rid", copies.select("_rid"))
+    lists = materialize(_with_lists(reps), "heads")
     # From here on only documents with a possible partner count: their texts are set apart once, so that no later join moves all texts.
-    table = materialize(table.select("_rid", "_body").join(prefixes.select("_rid"), "_rid", "left_semi"), "texts")
+    table = materialize(only_keys(table.select("_rid", "_body"), "_rid", lists.select("_rid")), "texts")
     spark = table.sparkSession
     links = spark.createDataFrame([], "a long, b long, n_shared long, n_union long")
     components = spark.createDataFrame([], "node long, component long")
     for turn in range(LEADER_ROUNDS):
-        state = _with_components(prefixes, components)
-        postings, lists = _open_lists(state)
-        order = F.struct(F.lit(0) if turn == 0 else F.xxhash64("_rid", F.lit(turn)), F.col("_rid"), F.col("comp"))
-        leaders = postings.join(lists, "v").groupBy("v").agg(F.min(order).alias("lead")).select("v", F.col("lead._rid").alias("lead"), F.col("lead.comp").alias("lead_comp"))
-        pairs = postings.join(leaders, "v").where("comp <> lead_comp").select(F.least("_rid", "lead").alias("a"), F.greatest("_rid", "lead").alias("b")).distinct()
-        found = materialize(_verified(_estimated(pairs, prefixes), table), "links")
+        state = _with_components(lists, components)
+        postings = state.select(F.explode("heads").alias("v"), "_rid", "comp")
+        leaders = _open_lists(postings, turn)
+        pairs = postings.join(leaders.drop("m"), "v").where("comp <> lead_comp").select(F.least("_rid", "lead").alias("a"), F.greatest("_rid", "lead").alias("b")).distinct()
+        found = materialize(_verified(_estimated(pairs, lists), table), "links")
+        release(leaders)
         if found.isEmpty():
             break
         links = links.unionAll(found)
         components = materialize(connected_components(links), "components")
-    found = materialize(_rest_in_blocks(_with_components(prefixes, components), table), "links")
-    return classes, materialize(links.unionAll(found).distinct(), "links")
+    found = materialize(_rest_in_blocks(_with_components(lists, components), table), "links")
+    links = materialize(links.unionAll(found).distinct(), "links")
+    release(table)
+    release(lists)
+    return copies, links
+
+
+def _groups(table: DataFrame) -> DataFrame:
+    """(_rid, component_id, first): the rows of every component with more than one row."""
+    copies, links = link_documents(table)
+    components = materialize(connected_components(links), "components")
+    members = copies.unionAll(copies.select(F.col("rep").alias("_rid"), "rep")).unionAll(components.select(F.col("node").alias("_rid"), F.col("node").alias("rep"))).distinct()
+    comps = members.join(components, members["rep"] == components["node"], "left").select("_rid", F.coalesce("component", "rep").alias("comp"))
+    held = materialize(only_keys(table.select("_rid", "_id"), "_rid", members.select("_rid").distinct()).join(comps, "_rid"), "members")
+    ids = materialize(held.groupBy("comp").agg(F.min("_id").alias("component_id"), _first().alias("first")), "ids")
+    return materialize(held.join(ids, "comp").select("_rid", "component_id", "first"), "groups")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False) -> DataFrame:
@@ -368,20 +410,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is_first marks the one row of each component that a corpus keeps: the least (doc_id, row).
     """
     table = sketch_documents(docs, id_col, text_col, keep_rows)
-    classes, links = link_documents(table)
-    components = connected_components(links)
-    of_class = classes.join(components, classes["rep"] == components["node"], "left").select("digest", F.coalesce("component", "rep").alias("comp"))
-    slim = table.select("_rid", "_id", "n_shingles", "digest")
-    held = slim.where("n_shingles > 0").join(of_class, "digest")
-    ids = held.groupBy("comp").agg(
-        F.min("_id").alias("component_id"), F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id"), F.col("_rid")))["_rid"].alias("first")
+    groups = _groups(table)
+    out = table.select("_rid", "_id", "n_shingles", *(["_row"] if keep_rows else [])).join(groups, "_rid", "left")
+    grouped = F.col("first").isNotNull()
+    return out.withColumns({"component_id": F.when(grouped, F.col("component_id")).otherwise(F.col("_id")), "is_first": ~grouped | (F.col("_rid") == F.col("first"))}).select(
+        "_rid", "_id", "n_shingles", "component_id", "is_first", *(["_row"] if keep_rows else [])
     )
-    linked = held.join(ids, "comp").select("_rid", "_id", "n_shingles", "component_id", (F.col("_rid") == F.col("first")).alias("is_first"))
-    alone = slim.where("n_shingles = 0").select("_rid", "_id", "n_shingles", F.col("_id").alias("component_id"), F.lit(True).alias("is_first"))
-    out = linked.unionAll(alone)
-    if keep_rows:
-        out = materialize(out, "near").join(table.select("_rid", "_row"), "_rid")
-    return out
+
+
+def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_row (the whole row) of the one row of each component that a corpus keeps. Only rows that may go are shuffled."""
+    table = sketch_documents(docs, id_col, text_col, keep_rows=True)
+    gone = materialize(_groups(table).where("_rid <> first").select("_rid"), "gone")
+    return without_keys(table.select("_rid", "_row"), "_rid", gone).select("_row")
 
 
 ship(__name__)
