@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandflow.llm.common import drop_table, materialize, read_table, recorded
 from strandflow.llm.decontaminate import find_overlaps
 from strandflow.llm.language_id import identify
-from strandflow.llm.near_dedup import near_duplicates
+from strandflow.llm.near_dedup import first_documents
 from strandflow.llm.packing import pack
 from strandflow.llm.secrets import find_secrets
 
@@ -50,7 +50,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of every group of near duplicates."""
-    return _as_documents(near_duplicates(docs, keep_rows=True).where("is_first"), docs)
+    return _as_documents(first_documents(docs), docs)
 
 
 @_stage
