@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from .frontend.corpus import close_over, parse_corpus
 from .frontend.lines import MARGIN
+from .functions import text as text_functions
 from .operators import lexing, manifest
 from .plans.binding import bind_files, dependents_of, provides
 from .plans.lineage import Lineage
 from .sources.bindings import JobDocuments
 
 VIEW_VERSION = 3
+# Suffixes of macro members.
+MEMBER_SUFFIXES = ("mac", "ezm", "ezt", "ezy", "eas")
 
 
 @dataclass
@@ -54,6 +57,17 @@ class Analysis:
             return None
         return dependents_of(provides(self.lineage, self.bound_artifacts()), self.dependents, self.covered)
 
+    def summary_lines(self) -> DataFrame:
+        """(program_id, rank, line): counts, then every flow between files, then every flag; text for a human reader."""
+        n = self.summary()
+        traced = self.lineage.field_flow.groupBy("program_id").agg(F.sum((F.size("origins") > 0).cast("int")).alias("traced"))
+        counts = n.join(traced, "program_id", "left").select("program_id", F.lit(0).alias("rank"), F.concat_ws(
+            ", ", *[F.concat_ws(" ", F.col(c).cast("string"), F.lit(c)) for c in n.columns if c != "program_id"], F.concat_ws(" ", F.coalesce("traced", F.lit(0)).cast("string"), F.lit("flows with an input")),
+        ).alias("line"))
+        flows = self.lineage.file_flow.select("program_id", F.lit(1).alias("rank"), F.concat(F.lit("FLOW "), "from_file", F.lit(" -> "), "to_file", F.lit(" ("), F.col("fields").cast("string"), F.lit(")")).alias("line"))
+        flags = self.lineage.flags.select("program_id", F.lit(2).alias("rank"), F.concat(F.lit("FLAG "), "message").alias("line"))
+        return counts.unionByName(flows).unionByName(flags)
+
     def summary(self) -> DataFrame:
         """Counts per program, as a reader wants them first."""
         n = {
@@ -81,6 +95,25 @@ def gather(programs: DataFrame, members: DataFrame, path: str, margin: int = MAR
     return programs.sparkSession.read.parquet(path)
 
 
+def read_members(spark: SparkSession, folders: list[str], more_suffixes: tuple[str, ...] = (), estate: DataFrame | None = None) -> DataFrame:
+    """(name, status, text) of macro members: of the first folder that has one, else what the estate's table answers."""
+    suffixes = [s.lower().lstrip(".") for s in (*more_suffixes, *MEMBER_SUFFIXES)]
+    found = None
+    for rank, folder in enumerate(folders):
+        files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        suffix = F.array_position(F.lit(suffixes), F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)))
+        part = files.select(text_functions.program_name(F.col("path")).alias("name"), F.struct(F.lit(rank).alias("rank"), suffix.alias("suffix"), "path").alias("place"), "text").where("place.suffix > 0")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return estate if estate is not None else spark.createDataFrame([], "name string, status string, text string")
+    best = found.groupBy("name").agg(F.min("place").alias("place"))
+    local = found.join(best, ["name", "place"]).select("name", F.lit("found").alias("status"), "text")
+    if estate is None:
+        return local
+    rest = estate.select(F.upper("name").alias("name"), "status", "text").join(local.select("name"), "name", "left_anti")
+    return local.unionByName(rest)
+
+
 def looks_like_program(texts: DataFrame, key: str = "program_id", text_col: str = "text", name_col: str | None = None, suffixes: tuple[str, ...] = lexing.SUFFIXES) -> DataFrame:
     """(key, is_program, why) by the file name's suffix where there is a known one, else by the text's statements."""
     told = lexing.detected_languages(lexing.physical_lines(texts, key, text_col), key)
@@ -102,17 +135,20 @@ def lineage_view(analysis: Analysis, program_id: str) -> dict:
         "formatVersion": VIEW_VERSION, "program": program_id, "files": at(lin._table("file").join(lin.file_io, ["program_id", "file"]).orderBy("file")), "fields": at(lin.fields.orderBy("ord")),
         "activities": at(lin.activities.orderBy("ord")), "fieldLineage": at(lin.edges.orderBy("edge_ord")), "fieldFlow": at(lin.field_flow.orderBy("sink")), "fileFlow": at(lin.file_flow.orderBy("from_file", "to_file")),
         "fileAccess": at(lin.access.orderBy("at").drop("at")), "reports": at(lin._table("report").orderBy("ord")), "calls": at(lin.calls.orderBy("st")), "sql": at(lin.sql.orderBy("st")),
-        "unresolved": at(lin.unresolved.orderBy("st", "pos")), "flags": at(lin.flags),
+        "unresolved": at(lin.unresolved.orderBy("st", "pos")), "flags": at(lin.flags.orderBy("place").drop("place")),
     }
 
 
-def write_views(analysis: Analysis, path: str) -> None:
-    """The corpus' views as JSON lines, one folder each, written by the executors."""
+def write_views(analysis: Analysis, path: str, only: set[str] | None = None) -> None:
+    """The corpus' views (or some of them) as JSON lines, one folder each, written by the executors."""
     lin = analysis.lineage
-    for name, df in {
-        "lineage": lin.edges, "flow": lin.field_flow, "file-flow": lin.file_flow, "access": lin.access, "artifacts": analysis.artifacts(), "excluded": lin.excluded, "unresolved": lin.unresolved, "flags": lin.flags,
-    }.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+    views = {
+        "lineage": lambda: lin.edges, "flow": lambda: lin.field_flow, "file-flow": lambda: lin.file_flow, "access": lambda: lin.access, "artifacts": analysis.artifacts, "excluded": lambda: lin.excluded,
+        "unresolved": lambda: lin.unresolved, "flags": lambda: lin.flags.drop("place"),
+    }
+    for name, made in views.items():
+        if only is None or name in only:
+            made().write.mode("overwrite").json(f"{path}/{name}")
 
 
 def text_digest(document: dict) -> str:
@@ -120,42 +156,3 @@ def text_digest(document: dict) -> str:
     import hashlib
 
     return hashlib.sha256((json.dumps(document, indent=2, ensure_ascii=False) + "\n").encode()).hexdigest()
-
-
-def main(argv: list[str] | None = None) -> int:
-    """spark-submit strandflow/api.py SOURCES OUT [-I MEMBERS] [--bind FILE] [--right-margin N] [--max-rounds N]; 0 done, 1 wrong input, 2 unreadable."""
-    import argparse
-
-    from .frontend.corpus import read_programs
-    from .sources.bindings import WrongFormat, read_jobs
-
-    parser = argparse.ArgumentParser(description=main.__doc__)
-    parser.add_argument("sources")
-    parser.add_argument("out")
-    parser.add_argument("-I", "--members")
-    parser.add_argument("--bind")
-    parser.add_argument("--right-margin", type=int, default=MARGIN)
-    parser.add_argument("--max-rounds", type=int, default=12)
-    args = parser.parse_args(argv)
-    spark = SparkSession.builder.getOrCreate()
-    from pyspark.errors import AnalysisException
-
-    try:
-        programs = read_programs(spark, args.sources)
-        members = read_programs(spark, args.members).select(F.col("program_id").alias("name"), F.lit("found").alias("status"), "text") if args.members else None
-        analysis = analyze(programs, members, margin=args.right_margin, max_rounds=args.max_rounds, jobs=read_jobs(spark, args.bind) if args.bind else None)
-        if args.bind:
-            analysis.bound_artifacts().write.mode("overwrite").json(f"{args.out}/bound")
-        write_views(analysis, args.out)
-        analysis.summary().show(truncate=False)
-    except WrongFormat as e:
-        print(e)
-        return 1
-    except AnalysisException as e:
-        print(f"cannot read: {e}")
-        return 2
-    return 0
-
-
-if __name__ == "__main__":
-    raise SystemExit(main())

@@ -8,7 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -35,13 +35,28 @@ SCHEMAS = {
     "statement": f"activity_ord int, activity string, verb string, operands array<string>, text string, line int, origin string, proc string, conditions {CONDITIONS}",
     "flag": "code string, line int, message string",
 }
+#: Between a member's name and its path, where the name alone is not enough.
+PLACE = "@/"
 _MEMBERS = "array<struct<name:string,status:string,text:string>>"
 
 
 def read_programs(spark: SparkSession, path: str) -> DataFrame:
-    """(program_id, source_name, text) of every member under a path, in one distributed read."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_name"), F.col("value").alias("text"))
-    return rows.select(T.program_name(F.col("source_name")).alias("program_id"), "source_name", "text")
+    """(program_id, source_name, text) of every member under a path, in one distributed read.
+
+    The id is the member's name; members of one name in several libraries have their path added (NAME@path), so that no two are ever one program.
+    """
+    files = spark.read.text(path, wholetext=True)
+    place = F.col("_metadata.file_path").alias("source_name")
+    names = files.select(place).select(T.program_name(F.col("source_name")).alias("_name"))
+    twice = names.groupBy("_name").agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = files.select(place, F.col("value").alias("text")).withColumn("_name", T.program_name(F.col("source_name"))).join(twice, "_name", "left")
+    own = F.when(F.col("_n").isNull(), F.col("_name")).otherwise(F.concat_ws(PLACE, "_name", "source_name"))
+    return rows.select(own.alias("program_id"), "source_name", "text")
+
+
+def member_name(program_id: Column) -> Column:
+    """The name that job control knows a program by."""
+    return F.substring_index(program_id, PLACE, 1)
 
 
 def _invoked(margin: int):

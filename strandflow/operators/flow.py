@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
@@ -61,14 +61,15 @@ def influence_origins(gates: DataFrame, ends: DataFrame, by: list[str]) -> DataF
     return traced.groupBy(*by, "sink", "gate").agg(F.array_sort(F.collect_set(F.when(F.col("node") != F.col("gate"), F.col("node")))).alias("traces_to"))
 
 
-def no_origin_reason(rows: DataFrame, by: list[str]) -> DataFrame:
+def no_origin_reason(bad: Column, gated: Column) -> Column:
     """Why a sink has no origin: something isn't modelled, else conditions alone decide it, else constants."""
-    return rows.groupBy(*by).agg(
-        F.when(F.max(F.col("bad").cast("int")) == 1, "unmodelled").when(F.max(F.col("gated").cast("int")) == 1, "conditions").otherwise("constants").alias("reason")
-    )
+    return F.when(bad, "unmodelled").when(gated, "conditions").otherwise("constants")
 
 
 def between_files(paths: DataFrame, by: list[str]) -> DataFrame:
-    """(from_file, to_file): how many paths run between two files, and the activities on them; no file with itself."""
+    """(from_file, to_file): how many paths run between two files, and the activities on them; no file with itself.
+
+    paths: by, from_file, to_file, n (paths that a row stands for), activities (those on them).
+    """
     rows = paths.where("from_file is not null and to_file is not null and from_file <> to_file")
-    return rows.groupBy(*by, "from_file", "to_file").agg(F.count("*").alias("fields"), F.array_sort(F.collect_set("activity")).alias("activities"))
+    return rows.groupBy(*by, "from_file", "to_file").agg(F.sum("n").alias("fields"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("activities")))).alias("activities"))

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 def artifacts(classes: dict[str, DataFrame], by: list[str]) -> DataFrame:
     """One row per artifact: rank and class, name, uses and where it is used; classes come in the order given.
 
-    Each part has the columns by, name, used_at.
+    Each part has the columns by, name, used_at (null: used, but nowhere in particular), and status and role if its class has them.
     """
     out = None
     for rank, (kind, df) in enumerate(classes.items()):
-        part = df.groupBy(*by, "name").agg(F.count("*").alias("uses"), F.array_sort(F.collect_set("used_at")).alias("touched_by")).select(
-            *by, F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), "name", "uses", "touched_by"
+        more = [c for c in ("status", "role") if c in df.columns]
+        part = df.groupBy(*by, "name").agg(F.count("*").alias("uses"), F.array_sort(F.collect_set("used_at")).alias("touched_by"), *[F.min(c).alias(c) for c in more]).select(
+            *by, F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), "name", "uses", "touched_by", *more
         )
-        out = part if out is None else out.unionByName(part)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
@@ -36,18 +37,24 @@ def with_base_tables(tables: DataFrame, supplied: DataFrame, answered: DataFrame
     )
 
 
+def _of_job(df: DataFrame) -> list[str]:
+    """What tells a step: its job too, where the table has it."""
+    return ["job", "step"] if "job" in df.columns else ["step"]
+
+
 def steps_running(allocations: DataFrame, programs: DataFrame) -> DataFrame:
-    """(program, step) for steps whose control input names the program: its member, else the last part of the data set's name."""
+    """(program, job if given, step) for steps whose control input names the program: its member, else the last part of the data set's name."""
     member = F.upper(F.coalesce(F.col("member"), F.substring_index("dataset", ".", -1)))
-    named = allocations.where("upper(ddname) = 'SYSIN'").select(F.upper("step").alias("step"), member.alias("program"), "ord")
-    return named.join(programs.select("program"), "program").groupBy("program", "step").agg(F.min("ord").alias("ord"))
+    of = _of_job(allocations)
+    named = allocations.where("upper(ddname) = 'SYSIN'").select(*of[:-1], F.upper("step").alias("step"), member.alias("program"), "ord")
+    return named.join(programs.select("program"), "program").groupBy("program", *of).agg(F.min("ord").alias("ord"))
 
 
 def chosen_steps(requested: DataFrame, executed: DataFrame, by_member: DataFrame, program: str = "program") -> DataFrame:
-    """(program, step, route): the caller's steps, else steps that execute the program, else those whose input names it."""
+    """(program, job if given, step, route): the caller's steps, else steps that execute the program, else those whose input names it."""
     routes = None
     for rank, (route, df) in enumerate((("caller", requested), ("program", executed), ("member", by_member))):
-        part = df.select(program, "step", F.lit(rank).alias("rank"), F.lit(route).alias("route")).distinct()
+        part = df.select(program, *_of_job(df), F.lit(rank).alias("rank"), F.lit(route).alias("route")).distinct()
         routes = part if routes is None else routes.unionByName(part)
     best = routes.groupBy(program).agg(F.min("rank").alias("rank"))
     return routes.join(best, [program, "rank"]).drop("rank")
@@ -56,25 +63,34 @@ def chosen_steps(requested: DataFrame, executed: DataFrame, by_member: DataFrame
 def bound_files(files: DataFrame, bindings: DataFrame, steps: DataFrame, program: str = "program") -> DataFrame:
     """Each file with the data sets its name is bound to.
 
-    files: program, ddname. bindings: step, ddname, dataset, ord. Without any step for a program, the name alone binds (route name-alone).
-    Per step the data sets are read in order (a concatenation); equal readings of several steps are one. One reading: dataset or datasets;
-    several: candidates, sorted.
+    files: program, ddname. bindings: job (optional), step, ddname, dataset, ord, and generation and concatIndex if known. Without any step for a
+    program, the name alone binds (route name-alone). Per step the data sets are read in order (a concatenation); equal readings of several steps are one.
+    One reading: dataset; several: candidates, sorted. Where bindings have generations, `readings` lists every reading's data sets in order.
+
+    What a step reads by a name doesn't depend on the program, so readings are made before programs meet them.
     """
+    of = _of_job(bindings)
+    detail = [c for c in ("generation", "concatIndex") if c in bindings.columns]
+    b = bindings.select(*of, F.upper("ddname").alias("_dd"), "dataset", "ord", *detail)
+    item = F.array_sort(F.collect_list(F.struct("ord", "dataset", *detail)))
+    listed = b.groupBy(*of, "_dd").agg(item.alias("items"), F.count("dataset").alias("n")).where("n > 0")
+    of_item = lambda s: F.struct(*[s[c].alias(c) for c in ("dataset", *detail)])
+    reading = F.struct(F.array_join(F.transform("items", lambda s: s["dataset"]), "+").alias("name"), *([F.transform("items", of_item).alias("items")] if detail else []))
+    listed = listed.select(*of, "_dd", reading.alias("reading"))
+    named = F.upper("ddname").alias("_dd")
     have = steps.select(program).distinct().withColumn("_has", F.lit(True))
-    wanted = files.join(have, program, "left")
-    b = bindings.select(F.upper("ddname").alias("ddname"), F.col("step").alias("_step"), "dataset", "ord")
-    by_step = wanted.where("_has").join(steps, program).join(b, (F.upper(wanted["ddname"]) == b["ddname"]) & (F.col("step") == F.col("_step"))).select(program, wanted["ddname"], "_step", "dataset", "ord", "route")
-    alone = wanted.where("_has is null").join(b, F.upper(wanted["ddname"]) == b["ddname"]).select(program, wanted["ddname"], "_step", "dataset", "ord", F.lit("name-alone").alias("route"))
-    matched = by_step.unionByName(alone)
-    listed = matched.groupBy(program, "ddname", "_step", "route").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dataset"))), lambda s: s["dataset"]), "+").alias("reading"), F.count("dataset").alias("n")
-    ).where("n > 0")
-    readings = listed.groupBy(program, "ddname").agg(F.array_sort(F.collect_set("reading")).alias("readings"), F.min("route").alias("route"))
-    out = files.join(readings, [program, "ddname"], "left")
+    wanted = files.select(program, "ddname", named).join(have, program, "left")
+    by_step = wanted.where("_has").drop("_has").join(steps.select(program, *of, "route"), program).join(listed, [*of, "_dd"]).groupBy(program, "ddname").agg(
+        F.array_sort(F.collect_set("reading")).alias("readings"), F.min("route").alias("route")
+    )
+    by_name = listed.groupBy("_dd").agg(F.array_sort(F.collect_set("reading")).alias("readings"))
+    alone = wanted.where("_has is null").join(by_name, "_dd").select(program, "ddname", "readings", F.lit("name-alone").alias("route"))
+    out = files.join(by_step.unionByName(alone), [program, "ddname"], "left")
     n = F.coalesce(F.size("readings"), F.lit(0))
+    names = F.transform("readings", lambda r: r["name"])
     return out.select(
-        program, "ddname", F.when(n == 1, F.get("readings", F.lit(0))).alias("dataset"), F.when(n > 1, F.array_join("readings", "|")).alias("candidates"), "route",
-        F.when(n == 1, "global").when(n > 1, "candidates").otherwise("program-local").alias("identity"),
+        *files.columns, F.when(n == 1, F.get(names, F.lit(0))).alias("dataset"), F.when(n > 1, F.array_join(names, "|")).alias("candidates"), "route",
+        F.when(n == 1, "global").when(n > 1, "candidates").otherwise("program-local").alias("identity"), *([F.transform("readings", lambda r: r["items"]).alias("readings")] if detail else []),
     )
 
 

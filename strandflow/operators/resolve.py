@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# The reasons of an unresolved reference.
-NO_FIELD = "no field of this name is declared"
-AMBIGUOUS = (
-    "the name is declared in more than one place, this reference is not qualified, and no single file in scope for this activity declares it"
-)
+#: Why a reference stays unresolved.
+NO_FIELD = "no definition of this name in the program"
+AMBIGUOUS = "the definitions are several, and neither a qualifier nor a file of the activity picks one"
 
 
 def symbol_index(fields: DataFrame, scope: list[str], name: str, value: str) -> DataFrame:

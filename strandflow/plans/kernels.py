@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -86,11 +86,15 @@ def literal_values(spark, d):
     return _tokens(spark, d).groupBy("token", T.literal_value(t).alias("value"), T.owner_part(t).alias("owner")).agg(F.count("*").alias("n"))
 
 
-@query("WITH" + _TOKENS + r"""SELECT doc_id, line FROM (SELECT doc_id, line, list(token ORDER BY pos) AS t FROM tokens GROUP BY doc_id, line)
-WHERE len(t) >= 3 AND regexp_matches(t[1], '^[A-Za-z@#$][A-Za-z0-9@#$_-]*(:[A-Za-z@#$][A-Za-z0-9@#$_-]*)?$') AND regexp_matches(t[3], '^[+-]?[0-9]+(\.[0-9]+)?$')
+@query(r"""WITH c AS (SELECT p_partkey, string_split(p_brand || ' ' || CASE p_size % 4 WHEN 0 THEN '*' WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN split_part(p_type, ' ', 1) ELSE '(' || p_size END || ' ' || CASE WHEN p_partkey % 5 = 0 THEN 'A' ELSE (p_partkey % 90)::VARCHAR END || ' N', ' ') AS t FROM part)
+SELECT p_partkey, t[1] AS name FROM c WHERE regexp_matches(t[1], '^[A-Za-z@#$][A-Za-z0-9@#$_-]*(:[A-Za-z@#$][A-Za-z0-9@#$_-]*)?$') AND regexp_matches(t[3], '^[+-]?[0-9]+(\.[0-9]+)?$')
 AND (t[2] = '*' OR regexp_matches(t[2], '^[+-]?[0-9]+(\.[0-9]+)?$') OR regexp_matches(t[2], '^[A-Za-z@#$][A-Za-z0-9@#$_-]*(:[A-Za-z@#$][A-Za-z0-9@#$_-]*)?$'))""")
 def declaration_shape(spark, d):
-    return lexing.code_lines(_lines(spark, d)).where(T.is_field_declaration(T.tokens(F.col("code")))).select("doc_id", "line")
+    size = F.col("p_size").cast("string")
+    place = F.when(F.col("p_size") % 4 == 0, "*").when(F.col("p_size") % 4 == 1, size).when(F.col("p_size") % 4 == 2, F.substring_index("p_type", " ", 1)).otherwise(F.concat(F.lit("("), size))
+    length = F.when(F.col("p_partkey") % 5 == 0, "A").otherwise((F.col("p_partkey") % 90).cast("string"))
+    lines = read_table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", place, length, F.lit("N")).alias("code"))
+    return lines.where(T.is_field_declaration(T.tokens(F.col("code")))).select("p_partkey", F.get(T.tokens(F.col("code")), F.lit(0)).alias("name"))
 
 
 @query("WITH" + _LINES + r""", m AS (SELECT *, regexp_matches(code, '[-+]$') AND (length(code) - length(replace(code, '''', ''))) % 2 = 0 AND length(trim(code)) > 1 AS goes FROM code),
@@ -181,8 +185,6 @@ row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER_SQL}, l_quantity, l_
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_orderkey").orderBy(*_ORDER, "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")
     rows = read_table(spark, d, "lineitem").withColumn("start", (F.col("l_partkey") % 200).cast("int")).withColumn("length", F.floor("l_quantity").cast("int"))
     return rows.withColumn("stop", F.col("start") + F.col("length") - 1).withColumn("ord", F.row_number().over(w))
@@ -207,8 +209,6 @@ def overlap_flag_top8(spark, d):
 @query("""WITH f AS (SELECT n_regionkey, n_name, n_nationkey AS ord, lag(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS redefines FROM nation)
 SELECT n_regionkey, n_name AS target, redefines AS source FROM f WHERE redefines IS NOT NULL UNION ALL SELECT n_regionkey, redefines, n_name FROM f WHERE redefines IS NOT NULL""")
 def alias_both_ways(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
     f = read_table(spark, d, "nation").withColumn("redefines", F.lag("n_name").over(w)).withColumnRenamed("n_nationkey", "ord")
     return layout.aliases(f, ["n_regionkey"], "n_name", "redefines").select("n_regionkey", "target", "source")
@@ -314,10 +314,25 @@ def condition_depth(spark, d):
 
 _GRAPH_SQL = """e AS MATERIALIZED (SELECT DISTINCT c_nationkey AS target, s_nationkey AS source FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
 stop AS (SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 0)"""
-_WALK_SQL = f"""{_GRAPH_SQL},
+# Walks run on each user's events, up to the operator's own limit of hops: an event comes from the one before it, a purchase from the purchase before it too, and
+# some clicks from the event after them, which makes cycles. Errors are where a walk stops.
+_EVENTS_SQL = """v AS (SELECT user_id, event_id, event_type, lag(event_id) OVER u AS before, lead(event_id) OVER u AS after, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS alike FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+e AS MATERIALIZED (SELECT event_id AS target, before AS source FROM v WHERE before IS NOT NULL UNION SELECT event_id, alike FROM v WHERE event_type = 'purchase' AND alike IS NOT NULL UNION SELECT event_id, after FROM v WHERE event_type = 'click' AND event_id % 7 = 0 AND after IS NOT NULL),
+stop AS (SELECT event_id AS node FROM events WHERE event_type = 'error')"""
+_WALK_SQL = f"""{_EVENTS_SQL},
+s AS MATERIALIZED (SELECT target, source, source IN (SELECT node FROM stop) OR source NOT IN (SELECT target FROM e) AS ends FROM e),
 w AS (SELECT target AS sink, target AS node, [target] AS on_path, 0 AS hops, CAST(NULL AS VARCHAR) AS kind FROM (SELECT DISTINCT target FROM e)
-  UNION ALL SELECT sink, source, list_append(on_path, source), hops + 1, CASE WHEN list_contains(on_path, source) THEN 'cyclic' WHEN source IN (SELECT node FROM stop) OR source NOT IN (SELECT target FROM e) THEN 'origin' WHEN hops + 1 = 3 THEN 'truncated' END
-  FROM w JOIN e ON node = target WHERE kind IS NULL)"""
+  UNION ALL SELECT sink, source, list_append(on_path, source), hops + 1, CASE WHEN list_contains(on_path, source) THEN 'cyclic' WHEN ends THEN 'origin' WHEN hops + 1 = {flow.MAX_DEPTH} THEN 'truncated' END
+  FROM w JOIN s ON node = target WHERE kind IS NULL)"""
+
+
+def _event_links(spark, d):
+    """program_id (the user), event_id, event_type and its neighbours: before, after, alike (the one before of its type)."""
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return read_table(spark, d, "events").select(
+        F.col("user_id").alias("program_id"), "event_id", "event_type", F.lag("event_id").over(by_user).alias("before"), F.lead("event_id").over(by_user).alias("after"),
+        F.lag("event_id").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).alias("alike"),
+    )
 
 
 def _graph(spark, d):
@@ -335,8 +350,12 @@ def _stops(spark, d):
 
 
 def _walked(spark, d):
-    e = materialize(_graph(spark, d), "graph")
-    return flow.walk_levels(e, e.select("program_id", F.col("target").alias("node")).distinct(), _stops(spark, d), ["program_id"], 3)
+    v = materialize(_event_links(spark, d), "events")
+    to = lambda c: F.col(c).alias("source")
+    e = v.select("program_id", F.col("event_id").alias("target"), to("before")).unionAll(v.where("event_type = 'purchase'").select("program_id", "event_id", "alike"))
+    e = materialize(e.unionAll(v.where("event_type = 'click' and event_id % 7 = 0").select("program_id", "event_id", "after")).where("source is not null").distinct(), "graph")
+    stops = v.where("event_type = 'error'").select("program_id", F.col("event_id").alias("node"))
+    return flow.walk_levels(e, e.select("program_id", F.col("target").alias("node")).distinct(), stops, ["program_id"], flow.MAX_DEPTH)
 
 
 @query(f"WITH {_GRAPH_SQL} SELECT target, string_agg(source, ',' ORDER BY source) AS incoming FROM e GROUP BY 1")
@@ -374,17 +393,17 @@ def flow_rollup(spark, d):
     return flow.rolled_up(_walked(spark, d), ["program_id"]).select("sink", _joined("origins").alias("origins"), "paths", "cyclic", "truncated")
 
 
-@query(f"""WITH RECURSIVE {_WALK_SQL}, g AS (SELECT DISTINCT target AS sink, (target + 1) % 25 AS gate FROM e)
+@query(f"""WITH RECURSIVE {_WALK_SQL}, g AS (SELECT event_id AS sink, before AS gate FROM v WHERE event_type = 'signup' AND before IS NOT NULL)
 SELECT g.sink, gate, coalesce(string_agg(DISTINCT node, ',' ORDER BY node) FILTER (node <> gate), '') AS traces_to FROM g LEFT JOIN (SELECT sink, node FROM w WHERE kind IS NOT NULL) x ON x.sink = gate GROUP BY 1, 2""")
 def influence_trace(spark, d):
-    gates = _graph(spark, d).select("program_id", F.col("target").alias("sink"), ((F.col("target") + 1) % 25).alias("gate")).distinct()
+    gates = _event_links(spark, d).where("event_type = 'signup' and before is not null").select("program_id", F.col("event_id").alias("sink"), F.col("before").alias("gate"))
     return flow.influence_origins(gates, _walked(spark, d), ["program_id"]).select("sink", "gate", _joined("traces_to").alias("traces_to"))
 
 
 @query("""SELECT l_orderkey, CASE WHEN bool_or(l_discount > 0.09) THEN 'unmodelled' WHEN bool_or(l_tax > 0.07) THEN 'conditions' ELSE 'constants' END AS reason FROM lineitem GROUP BY 1""")
 def no_origin_reason(spark, d):
     rows = read_table(spark, d, "lineitem").select("l_orderkey", (F.col("l_discount") > 0.09).alias("bad"), (F.col("l_tax") > 0.07).alias("gated"))
-    return flow.no_origin_reason(rows, ["l_orderkey"])
+    return rows.groupBy("l_orderkey").agg(F.max("bad").alias("bad"), F.max("gated").alias("gated")).select("l_orderkey", flow.no_origin_reason(F.col("bad"), F.col("gated")).alias("reason"))
 
 
 @query("""SELECT user_id, event_type, string_agg(r, ',' ORDER BY first_at, r) AS refs FROM (SELECT user_id, event_type, props AS r, min({'t': ts, 'e': event_id}) AS first_at FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2""")
@@ -405,8 +424,7 @@ def file_flow(spark, d):
     )
     named = rows.join(names.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("from_file")), "c_nationkey").join(names.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("to_file")), "s_nationkey")
     # Paths are counted before the names are joined: fields is the sum of those counts.
-    found = named.where("from_file <> to_file").groupBy("from_file", "to_file").agg(F.sum("n").alias("fields"), F.array_sort(F.collect_set("activity")).alias("activities"))
-    return found.select("from_file", "to_file", "fields", F.array_join("activities", ",").alias("activities"))
+    return flow.between_files(named.withColumn("activities", F.array("activity")), []).select("from_file", "to_file", "fields", F.array_join("activities", ",").alias("activities"))
 
 
 # ---------------------------------------------------------------- manifest, bindings, dependents

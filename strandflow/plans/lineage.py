@@ -14,7 +14,7 @@ from ..frontend.corpus import CONDITIONS, Facts
 from ..functions import text as T
 from ..operators import edges as E
 from ..operators import layout, manifest, resolve
-from ..operators.flow import MAX_DEPTH, MAX_PATHS
+from ..operators.flow import MAX_DEPTH, MAX_PATHS, between_files, no_origin_reason
 from ..sources.tables import materialize
 
 P = ["program_id"]
@@ -345,7 +345,7 @@ class Lineage:
             F.count("origin").alias("n_paths"), listed("constants").alias("constants"), listed("influenced_by").alias("influenced_by"), F.max(F.col("cyclic")).alias("cyclic"), F.max(F.col("truncated")).alias("truncated"), F.max("cut").alias("cut"),
             F.max(F.when(F.col("origin").isNull(), F.coalesce("dropped", F.lit(False)) | (F.size("constants") == 0)).otherwise(F.lit(False))).alias("bad"),
         )
-        reason = F.when(F.size("origins") > 0, F.lit(None)).when(F.col("bad") | F.col("cut"), "unmodelled").when(F.size("influenced_by") > 0, "conditions").otherwise("constants")
+        reason = F.when(F.size("origins") == 0, no_origin_reason(F.col("bad") | F.col("cut"), F.size("influenced_by") > 0))
         return flow.withColumn("no_origin_reason", reason).withColumn("path_limit", F.when((F.size("origins") == 0) & F.col("cut"), MAX_PATHS)).drop("bad")
 
     @cached_property
@@ -359,26 +359,34 @@ class Lineage:
         """(program_id, from_file, to_file, fields, activities): paths between files; a file with itself isn't one."""
         owners = self.fields.where("owner is not null").select("program_id", "key", "owner").distinct()
         own = self.paths.where("is_sink and origin is not null")
-        rows = own.join(owners.select("program_id", F.col("key").alias("sink"), F.col("owner").alias("to_file")), [*P, "sink"]).join(owners.select("program_id", F.col("key").alias("origin"), F.col("owner").alias("from_file")), [*P, "origin"]).where("from_file <> to_file")
-        return rows.groupBy("program_id", "from_file", "to_file").agg(F.count("*").alias("fields"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.col("hops")["activity"], lambda a: a != ""))))).alias("activities"))
+        rows = own.join(owners.select("program_id", F.col("key").alias("sink"), F.col("owner").alias("to_file")), [*P, "sink"]).join(owners.select("program_id", F.col("key").alias("origin"), F.col("owner").alias("from_file")), [*P, "origin"])
+        return between_files(rows.select("program_id", "from_file", "to_file", F.lit(1).alias("n"), F.filter(F.col("hops")["activity"], lambda a: a != "").alias("activities")), P)
 
     # ---------------------------------------------------------------- manifest
 
     @cached_property
     def artifacts(self) -> DataFrame:
-        """program_id, rank, kind, name, status, role, uses: files, tables, programs and macros that a program needs."""
-        files = self._table("file").where("not is_virtual and not instream").join(self.file_io, [*P, "file"])
-        by_file = files.select("program_id", F.lit(0).alias("rank"), F.lit("file").alias("kind"), F.col("file").alias("name"), F.col("io").alias("status"), F.lit("ddname").alias("role"))
+        """program_id, rank, kind, name, uses, touched_by, status, role: files, tables, programs and macros that a program needs.
+
+        touched_by says where: the activities that read or write a file, run a table's SQL or call a program, the files that a program is the exit of,
+        the macros that a macro is used in (its lines where it is used by the program itself).
+        """
+        own = self._table("file")
+        kept = own.where("not is_virtual and not instream").select("program_id", "file").join(self.file_io, [*P, "file"])
+        touches = self.access.select("program_id", "file", F.col("activity").alias("used_at"))
+        files = kept.join(touches, [*P, "file"], "left").select("program_id", F.col("file").alias("name"), "used_at", F.col("io").alias("status"), F.lit("ddname").alias("role"))
         words = F.split(F.trim(F.regexp_replace("sql_text", "[,()]", " ")), r"\s+")
         pairs = F.arrays_zip(words.alias("k"), F.slice(words, F.lit(2), F.size(words)).alias("t"))
-        sql_files = self._table("file").where("organization = 'SQL' and sql_text is not null").select("program_id", F.explode(F.filter(pairs, lambda p: F.upper(p["k"]).isin("FROM", "JOIN") & p["t"].isNotNull())).alias("p")).select("program_id", F.upper("p.t").alias("name"))
-        tables = self.sql.select("program_id", F.explode("tables").alias("name")).unionByName(sql_files).distinct()
-        by_table = tables.select("program_id", F.lit(1).alias("rank"), F.lit("db2-table").alias("kind"), "name", F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("role"))
-        called = self.calls.select("program_id", F.col("called").alias("name"), F.lit(1).alias("c")).unionByName(self._table("file").where("exit_program is not null").select("program_id", F.col("exit_program").alias("name"), F.lit(0).alias("c")))
-        by_program = called.groupBy("program_id", "name").agg(F.max("c").alias("c")).select("program_id", F.lit(2).alias("rank"), F.lit("program").alias("kind"), "name", F.lit(None).cast("string").alias("status"), F.when(F.col("c") == 1, "called").otherwise("file exit").alias("role"))
-        macros = self._table("macro_use").groupBy("program_id", "name").agg(F.min(F.col("resolved").cast("int")).alias("ok"))
-        by_macro = macros.select("program_id", F.lit(3).alias("rank"), F.lit("macro").alias("kind"), "name", F.when(F.col("ok") == 1, "expanded").otherwise("unresolved").alias("status"), F.lit("compile-time").alias("role"))
-        return by_file.unionByName(by_table).unionByName(by_program).unionByName(by_macro)
+        sql_files = own.where("organization = 'SQL' and sql_text is not null").select("program_id", "file", F.explode(F.filter(pairs, lambda p: F.upper(p["k"]).isin("FROM", "JOIN") & p["t"].isNotNull())).alias("p"))
+        tables = self.sql.select("program_id", F.explode("tables").alias("name"), F.col("activity").alias("used_at")).unionByName(sql_files.select("program_id", F.upper("p.t").alias("name"), F.col("file").alias("used_at")))
+        called = self.calls.select("program_id", F.col("called").alias("name"), F.col("activity").alias("used_at"), F.lit("called").alias("role"))
+        exits = own.where("exit_program is not null").select("program_id", F.col("exit_program").alias("name"), F.col("file").alias("used_at"), F.lit("file exit").alias("role"))
+        macros = self._table("macro_use").select(
+            "program_id", "name", F.coalesce("in_macro", F.col("line").cast("string")).alias("used_at"), F.when(F.col("resolved"), "expanded").otherwise("unresolved").alias("status"), F.lit("compile-time").alias("role")
+        )
+        # The least role and status of a name's uses: called before file exit, expanded only if no use is unresolved.
+        macros = macros.withColumn("status", F.when(F.min((F.col("status") == "expanded").cast("int")).over(Window.partitionBy("program_id", "name")) == 1, "expanded").otherwise("unresolved"))
+        return manifest.artifacts({"file": files, "db2-table": tables, "program": called.unionByName(exits), "macro": macros}, P)
 
     @cached_property
     def excluded(self) -> DataFrame:
@@ -387,17 +395,25 @@ class Lineage:
 
     @cached_property
     def flags(self) -> DataFrame:
-        """Parser flags, then those of the lineage: program_id, code, line, message."""
-        parsed = self._table("flag").select("program_id", "code", "line", "message")
-        scoped = self.references.where("outcome = 'scoped'").select("program_id", F.lit("scoped").alias("code"), F.lit(None).cast("int").alias("line"), F.concat(F.lit("reference "), F.upper("token"), F.lit(" is declared in several files; read as "), "scoped", F.lit("'s, whose record the activity works on")).alias("message")).distinct()
-        bare = self.statements.where("bare_move").select("program_id", F.lit("move-without-to").alias("code"), "line", F.lit("MOVE without TO: the last operand is taken as the target").alias("message"))
-        sql = self.statements.where("verb = 'SQL'").select("program_id", F.lit("sql").alias("code"), "line", F.lit("SQL statement: tables are recorded, columns are not modelled").alias("message"))
-        copied = self.statements.where("from_record is not null").select("program_id", F.lit("record-copy").alias("code"), "line", F.lit("a record is written from another's bytes; only fields at identical positions are paired").alias("message"))
-        shared = layout.overlap_report(self.fields.where("owner is not null"), ["program_id", "owner"], "ord", "name", "redefines").select("program_id", F.lit("overlap").alias("code"), F.lit(None).cast("int").alias("line"), F.concat(F.lit("file "), "owner", F.lit(": fields "), F.array_join("names", ", "), F.lit(" share bytes with others of the record; overlaps are no lineage")).alias("message"))
-        out = parsed
-        for part in (scoped, bare, sql, copied, shared):
-            out = out.unionByName(part.distinct())
-        return out
+        """program_id, code, line, message and place: parser flags in their order, then those of the lineage by sort and statement, each once."""
+        line = F.lit(None).cast("int").alias("line")
+        parts = [
+            self._table("flag").select("program_id", "code", "line", "message", F.col("ord").alias("at")),
+            self.references.where("outcome = 'scoped'").select("program_id", F.lit("scoped").alias("code"), line, F.concat(F.upper("token"), F.lit(": several files define it, taken from "), "scoped", F.lit(", a file of the activity")).alias("message"), F.col("st").alias("at")),
+            self.statements.where("bare_move").select("program_id", F.lit("move-without-to").alias("code"), "line", F.lit("MOVE without TO: the last operand is the target").alias("message"), F.col("st").alias("at")),
+            self.statements.where("verb = 'SQL'").select("program_id", F.lit("sql").alias("code"), "line", F.lit("SQL: its tables are listed, its columns have no edges").alias("message"), F.col("st").alias("at")),
+            self.statements.where("from_record is not null").select("program_id", F.lit("record-copy").alias("code"), "line", F.lit("record written from another record: fields at equal positions are paired").alias("message"), F.col("st").alias("at")),
+            layout.overlap_report(self.fields.where("owner is not null"), ["program_id", "owner"], "ord", "name", "redefines").select(
+                "program_id", F.lit("overlap").alias("code"), line, F.concat("owner", F.lit(": bytes in common with other fields, which makes no edge: "), F.array_join("names", ", ")).alias("message"), F.lit(0).alias("at")
+            ),
+        ]
+        parts = [df.withColumn("sort", F.lit(i)) for i, df in enumerate(parts)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        # Parser flags stay as often as they were raised.
+        again = F.when(F.col("sort") == 0, F.col("at"))
+        return out.groupBy("program_id", "code", "line", "message", again.alias("_again")).agg(F.min(F.struct("sort", "at")).alias("place")).drop("_again")
 
 
 def _by_statement(fields: DataFrame, copies: DataFrame) -> DataFrame:

@@ -13,11 +13,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set."""
+    """The cluster's checkpoint folder. Where none is set: a temporary one if all runs on this machine, else one in the warehouse, which is shared too."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="strandflow-")
+        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            base = tempfile.mkdtemp(prefix="strandflow-")
+        else:
+            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{sc.applicationId}"
         sc.setCheckpointDir(base)
     return base
 
