@@ -11,13 +11,18 @@ lie within GAP characters:
 * an endpoint counts only with both kinds.
 
 Parts are sorted by position, and each weak part looks only at the nearest part of each kind to its left and right: the work is in
-proportion to the spans, however many one scope holds. Null text is empty and has no spans. Offsets are code points, the end exclusive.
+proportion to the spans, however many one scope holds. Weak parts that overlap a strong span are left out. GAP is the width of the interval join, not a
+bound on work: parts further apart are taken for unrelated. Offsets are code points, the end exclusive.
+
+Null text is empty and has no spans; texts of any length are scanned whole. Rows are judged one by one, so repeated rows and ids don't matter. Spans that
+start together come in the order of KINDS. The whole row travels as _row, so its columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +35,7 @@ GAP = 300
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-IDENTIFIER = r"""(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,64})"""
+IDENTIFIER = r"""(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})"""
 VALUE = r"[A-Za-z0-9+/_-]{20,}"
 ENDPOINT = r"""(?:[a-z][a-z0-9+]{1,9}://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+)"""
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -58,10 +63,11 @@ def _looks_random(value: str) -> bool:
 def _weak(patterns: dict, text: str, strong: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     taken = sorted((s, e) for s, _, e in strong)
     starts = [s for s, _ in taken]
+    reach = list(accumulate((e for _, e in taken), max))  # how far the strong spans up to each one go
 
     def free(a: int, b: int) -> bool:
         i = bisect_left(starts, b)
-        return all(e <= a for _, e in taken[max(0, i - 3) : i])
+        return i == 0 or reach[i - 1] <= a
 
     found = [(m.start(), "identifier", m.end()) for m in patterns["identifier"].finditer(text)]
     found += [(m.start(), "endpoint", m.end()) for m in patterns["endpoint"].finditer(text)]
