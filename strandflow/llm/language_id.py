@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character language models, one per language.
 
-Texts are put in lower case; everything but letters becomes one blank. Counts of character 4-grams cover
+Texts are put in lower case; everything but letters and the marks that combine with them becomes one blank. Counts of character 4-grams cover
 all learning documents; continuation counts of the lower orders follow from the distinct 4-grams. The models are whole.
 Languages are scored in as many passes as it takes to keep a pass at PASS_CELLS cells (a language alone may have more); a text's bits
 in a language don't depend on the passes. The models of a pass lie in common sorted arrays of packed gram keys, with one row of
@@ -12,11 +12,14 @@ REJECT_QUANTILE plus REJECT_MARGIN bits; a power with fewer than REJECT_LEAST_DO
 powers around it, as far on both sides as it takes to have as many, or all there are).
 
 Null and empty texts, and texts without letters, are `und` with score 0 and rejected. Rows without a language are never learned from
-but are predicted. With nothing to learn from, every row is `und`. Rows are judged one by one, so repeated ids and rows don't matter.
+but are predicted. With nothing to learn from, every row is `und`. Rows are judged one by one, so repeated ids and rows don't matter. Texts of any
+length are read whole, a slice at a time. The whole row travels as _row, so its columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,20 +38,40 @@ _BLANK = 32
 
 
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+    """Which characters words are made of: letters, and the marks that combine with them."""
+    return np.fromiter((chr(i).isalpha() or i < 0x10000 and unicodedata.category(chr(i))[0] == "M" for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def _marks() -> np.ndarray:
+    return np.fromiter((unicodedata.category(chr(i))[0] == "M" for i in range(0x10000)), dtype=bool, count=0x10000)
+
+
+def _kept_before(text: str, at: int) -> str:
+    """The last ORDER - 1 characters that _grams keeps of text[:at], blanks before them if there are fewer."""
+    letters = worker_cache("letters", _letters)
+    out, gap = "", False
+    while at > 0 and len(out) < ORDER - 1:
+        at -= 1
+        if not letters[ord(text[at])]:
+            gap = True
+            continue
+        out = text[at] + " " * gap + out
+        gap = False
+    return out.lower()[-(ORDER - 1) :].rjust(ORDER - 1)
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 4-gram keys of all texts, and the index of each one's text."""
+def _grams(texts: list[str], before: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Packed 4-gram keys of all texts, and the index of each one's text; before: the last characters kept of what comes before each."""
     letters = worker_cache("letters", _letters)
     pad = " " * (ORDER - 1)
-    low = [pad + t.lower() for t in texts]
+    low = [(p or pad) + t.lower() for p, t in zip(before or [pad] * len(texts), texts)]
     lengths = np.array([len(t) for t in low], dtype=np.int64)
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     owner = np.repeat(np.arange(len(low)), lengths)
     within = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     is_letter = letters[codes]
-    chars = np.where(is_letter, np.minimum(codes, 0xFFFF), _BLANK).astype(np.uint64)
+    packed = np.where(codes > 0xFFFF, 0xD800 + (codes - np.uint32(0x10000)) % 8448, codes)  # codes that no letter has
+    chars = np.where(is_letter, packed, _BLANK).astype(np.uint64)
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # the first blank after a letter
     keep |= within < ORDER - 1
@@ -61,7 +84,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slices(texts: list[str | None]):
-    """Groups of (index, piece) with a bounded number of characters in all; a very long text comes in pieces."""
+    """Groups of (index, piece, characters before it) with a bounded number of characters in all; a very long text comes in pieces, which give the grams of the whole."""
     group, size = [], 0
     for i, t in enumerate(texts):
         for at in range(0, len(t or ""), SLICE):
@@ -69,7 +92,7 @@ def _slices(texts: list[str | None]):
             if group and size + len(piece) > SLICE:
                 yield group
                 group, size = [], 0
-            group.append((i, piece))
+            group.append((i, piece, _kept_before(t, at) if at else ""))
             size += len(piece)
     if group:
         yield group
@@ -89,11 +112,13 @@ def _count_batches(batches):
     for batch in batches:
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         for group in _slices(texts):
-            by_lang: dict[str, list[str]] = {}
-            for i, piece in group:
-                by_lang.setdefault(langs[i], []).append(piece)
+            by_lang: dict[str, tuple[list[str], list[str]]] = {}
+            for i, piece, before in group:
+                own = by_lang.setdefault(langs[i], ([], []))
+                own[0].append(piece)
+                own[1].append(before)
             for lang, own in by_lang.items():
-                keys, _ = _grams(own)
+                keys, _ = _grams(*own)
                 if len(keys):
                     parts = held.setdefault(lang, [])
                     parts.append(np.unique(keys, return_counts=True))
@@ -186,15 +211,16 @@ def cross_entropies(model: dict, texts: list[str | None]) -> tuple[np.ndarray, n
     n_langs = len(model["langs"])
     bits, chars, letters = np.zeros((len(texts), n_langs)), np.zeros(len(texts)), np.zeros(len(texts))
     for group in _slices(texts):
-        keys, owner = _grams([piece for _, piece in group])
+        keys, owner = _grams([piece for _, piece, _ in group], [before for _, _, before in group])
         if not len(keys):
             continue
-        index = np.array([i for i, _ in group])
+        index = np.array([i for i, _, _ in group])
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         who = index[owner[starts]]
         np.add.at(bits, who, -np.add.reduceat(_log_probabilities(model, keys), starts, axis=0).astype(float))
         np.add.at(chars, who, np.diff(np.r_[starts, len(owner)]))
-        np.add.at(letters, who, np.add.reduceat(((keys & np.uint64(0xFFFF)) != _BLANK).astype(float), starts))
+        last = (keys & np.uint64(0xFFFF)).astype(np.int64)
+        np.add.at(letters, who, np.add.reduceat(((last != _BLANK) & ~worker_cache("marks", _marks)[last]).astype(float), starts))
     return bits / np.maximum(chars, 1)[:, None], chars, letters
 
 
