@@ -4,10 +4,11 @@ Features of a text: its distinct words (lower case, bare of punctuation), pairs
 between them, hashed to 2**BITS coordinates. Every coordinate has its own learning rate, and the L1 term keeps most
 weights at zero; what is left is a short list of (coordinate, weight), broadcast to score every text.
 
-The classifier learns from at most TRAIN_ROWS labelled rows (a stated bound; which ones follows from a hash of the
-doc_id), a few times over, in one executor task. Several labels of one document: the largest counts. Rows without
-a label or id are not learned from. Null and empty texts have no features: they get the score of the bias. With no
-labels at all, every score is 0. Repeated rows are scored each.
+The classifier learns from a bounded sample of the labelled documents (TRAIN_ROWS, TRAIN_FEATURES; which ones follows from a hash of the
+doc_id), a few times over, in one executor task. Several labels of one document: the largest counts. Several rows with one
+doc_id: the least text is learned from. Rows without a label or id are not learned from. Null and empty texts have no features: they get the
+score of the bias. With no labels at all, every score is 0. Every row is scored, repeated ones and very long texts too. The whole row
+travels as _row, so its columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import mix64, ship
 
 BITS = 20
-TRAIN_ROWS = 15_000
+#: The sample that is learned from: so many documents at most, and of them, in the order of their hash, as many as have this many features in all.
+TRAIN_ROWS, TRAIN_FEATURES = 15_000, 32_000_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1e-3
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -39,14 +41,13 @@ class Features:
         known = self.known
         if len(known) > 300_000:
             known.clear()
-        try:
-            h = np.array([known[w] for w in words], dtype=np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    bare = w.strip(PUNCTUATION)
-                    known[w] = xxh3_64_intdigest(bare) | 1 if bare else 0
-            h = np.array([known[w] for w in words], dtype=np.uint64)
+        found = [*map(known.get, words)]
+        if None in found:
+            for w in set(words).difference(known):
+                bare = w.strip(PUNCTUATION)
+                known[w] = xxh3_64_intdigest(bare) | 1 if bare else 0
+            found = [*map(known.get, words)]
+        h = np.array(found, dtype=np.uint64)
         h = h[h != 0]
         if not len(h):
             return np.empty(0, dtype=np.int64)
@@ -87,7 +88,12 @@ def _feature_batches(batches):
 
 
 def _train_batches(batches):
-    rows = [(np.asarray(f, dtype=np.int32), y) for b in batches for f, y in zip(b.column("features").to_numpy(zero_copy_only=False), b.column("label").to_pylist())]
+    rows, room = [], TRAIN_FEATURES
+    for b in batches:
+        for f, y in zip(b.column("features").to_numpy(zero_copy_only=False) if room > 0 else (), b.column("label").to_pylist()):
+            room -= len(f)
+            if room >= 0:
+                rows.append((np.asarray(f, dtype=np.int32), y))
     model = Ftrl()
     for _ in range(EPOCHS if rows else 0):
         for features, label in rows:
@@ -106,6 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_if: Column, id_col: str = "d
         .withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(TRAIN_ROWS)
     )
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most TRAIN_ROWS ids
+    rows = rows.groupBy("id", "place", "label").agg(F.min("text").alias("text"))
     made = rows.select("place", "label", "text").mapInArrow(_feature_batches, "place long, label int, features array<long>")
     one = made.repartition(1).sortWithinPartitions("place", "label", F.hash("features"))
     got = one.mapInArrow(_train_batches, "at long, weight double").toPandas()  # weights that are not zero
