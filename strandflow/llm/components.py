@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialize, release, ship
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge list (a, b) of longs; component is its least node.
 
     Every round replaces edges by edges towards the least neighbour seen, with pre-aggregated
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = materialize(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "cc")
     state = None
-    for _ in range(max_rounds):
+    while True:  # ends: the least node of a component comes nearer to all others in every round
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(e.select(F.col("hi"), F.col("lo")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
@@ -34,8 +34,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
 
 

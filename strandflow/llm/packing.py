@@ -7,7 +7,8 @@
 Every sequence but the last is full. A null text counts as empty: just the separator. No rows give no
 pieces. Rows that repeat a doc_id are packed each. Ids are those of the `tokenizers` file; texts
 of Latin letters, ASCII and Latin-1 signs take the same vocabulary through its faster rank table (the tests hold both
-against each other). Strings of special tokens count as ordinary text.
+against each other). Strings of special tokens count as ordinary text. Texts of any length are packed whole. A null doc_id stays null. Documents come in the
+order in which they are read, so there are no ties. Further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -7,7 +7,10 @@ one of the kind's words stands in the CONTEXT characters before the span.
 
 A kind's matches and the gaps between them come from regexp_extract_all and split with one pattern; a fold over both gives
 positions in code points and carries the last CONTEXT characters, matches included, without a copy of anything else but confirmed spans. Patterns are possessive and
-start only where a run of their characters starts, so they take linear time on runs of any length. Null text is empty. Rows are judged one by one.
+start only where a run of their characters starts, so they take linear time on runs of any length.
+
+Null text is empty and has no spans; texts of any length are read whole. Rows are judged one by one, so repeated rows and ids don't matter. Spans of several kinds may
+overlap and are all reported, by kind and start. The whole row travels as _row, so its columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
