@@ -35,11 +35,14 @@ def recorded(paths: list[str]):
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; one of our own only where none is set."""
+    """The folder that the cluster shares for checkpoints. Where none is set: a temporary one if all runs on this machine, else one in the warehouse, which is shared too."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="strandflow-")
+        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            base = tempfile.mkdtemp(prefix="strandflow-")
+        else:
+            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{sc.applicationId}"
         sc.setCheckpointDir(base)
     return base
 
@@ -85,7 +88,8 @@ def release(df: DataFrame) -> None:
 
 #: The most bits of a key filter: 16 MB, whatever the number of keys.
 FILTER_BITS = 1 << 27
-_PAGE = 1 << 15
+#: Words of 64 bits in a page of it.
+_PAGE = 512
 
 
 def _filtered(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -94,14 +98,19 @@ def _filtered(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     The filter is a bitmap of hashed keys, sent to the rows in pages of 4 kB. It has 64 bits a key, up to FILTER_BITS in all: with very many
     keys it says `maybe` more often, which costs time and changes nothing.
     """
-    n = keys.count()
-    bits = min(FILTER_BITS, max(_PAGE, 1 << (64 * n).bit_length()))
+
+    def shifted(name: str, x, n):
+        return F.call_function(name, x, n.cast("int"))
+
+    bits = min(FILTER_BITS, max(64 * _PAGE, 1 << (64 * keys.count()).bit_length()))
     at = F.pmod(F.xxhash64(key), F.lit(bits))
-    place = at.bitwiseAND(_PAGE - 1)
-    pages = keys.select(F.shiftright(at, 15).alias("_page"), place.alias("_place")).groupBy("_page").agg(F.bitmap_construct_agg("_place").alias("_bits"))
-    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), place.bitwiseAND(7).cast("int"))) != 0, F.lit(False))
-    return rows.withColumn("_page", F.shiftright(at, 15)).join(F.broadcast(pages), "_page", "left").withColumn("_hit", hit).drop("_page", "_bits")
+    page, slot, place = F.shiftright(at, 15), F.shiftright(at, 6).bitwiseAND(_PAGE - 1).cast("int"), at.bitwiseAND(63)
+    one = F.lit(1).cast("long")
+    words = keys.select(page.alias("_page"), slot.alias("_slot"), place.alias("_place")).groupBy("_page", "_slot").agg(F.bit_or(shifted("shiftleft", one, F.col("_place"))).alias("_word"))
+    held = words.groupBy("_page").agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_word"))).alias("_held"))
+    pages = held.select("_page", F.transform(F.sequence(F.lit(0), F.lit(_PAGE - 1)), lambda i: F.coalesce(F.col("_held")[i], F.lit(0).cast("long"))).alias("_bits"))
+    hit = F.coalesce(shifted("shiftright", F.get("_bits", slot), place).bitwiseAND(one) != 0, F.lit(False))
+    return rows.withColumn("_page", page).join(F.broadcast(pages), "_page", "left").withColumn("_hit", hit).drop("_page", "_bits")
 
 
 def only_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -125,10 +134,11 @@ MASK63 = np.uint64(0x7FFFFFFFFFFFFFFF)
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), vectorised."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def worker_cache(key, make):
@@ -139,44 +149,88 @@ def worker_cache(key, make):
     return held[key]
 
 
-class WordHasher:
-    """64-bit hashes of words, remembered up to a bounded number of distinct words."""
-
-    def __init__(self, most: int = 300_000):
-        self.seen: dict[bytes, int] = {}
-        self.most = most
+def _hash_tables() -> dict:
+    with np.errstate(over="ignore"):
+        numbers = np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return {"byte": mix64(numbers[:256]) | np.uint64(1), "place": mix64(numbers + np.uint64(1)), "blank": np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest
 
-        seen = self.seen
-        if len(seen) > self.most:
-            seen.clear()
-        try:
-            return np.array([seen[w] for w in words], dtype=np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in seen:
-                    seen[w] = xxh3_64_intdigest(w)
-            return np.array([seen[w] for w in words], dtype=np.uint64)
+def word_bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words between ASCII white space, in bytes."""
+    blank = np.ones(len(codes) + 2, dtype=bool)
+    blank[1:-1] = worker_cache("hash-tables", _hash_tables)["blank"][codes]
+    turns = np.flatnonzero(blank[1:] != blank[:-1])
+    return turns[::2], turns[1::2]
 
 
-def shingle_hashes(word_hashes: np.ndarray, width: int = 5) -> np.ndarray:
-    """Distinct 63-bit hashes of all word n-grams of this width, ascending; one for fewer words."""
-    n = len(word_hashes)
-    if n == 0:
+def hash_words(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of bytes, all at once: the sum of each byte's number times its place's number, mixed with the length."""
+    if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    w = min(width, n)
-    total = np.full(n - w + 1, np.uint64(w), dtype=np.uint64)
+    tables = worker_cache("hash-tables", _hash_tables)
+    length = ends - starts
+    first = np.cumsum(length) - length
+    place = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
+    inside = codes[place + np.repeat(starts, length)]
+    numbers = tables["place"]
     with np.errstate(over="ignore"):
-        for j in range(w):
-            total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + word_hashes[j : n - w + 1 + j])
-    return np.unique(total & MASK63)
+        if (most := int(length.max())) > len(numbers):
+            numbers = mix64(np.arange(1, most + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        return mix64(np.add.reduceat(tables["byte"][inside] * numbers[place], first) + length.astype(np.uint64))
+
+
+#: Bytes of texts that are hashed together.
+TOGETHER = 1 << 20
 
 
-def ascii_words(text: bytes | None) -> list[bytes]:
-    """Words between ASCII white space with A-Z in lower case; bytes.lower and bytes.split do exactly this."""
-    return text.lower().split() if text else []
+def together(texts: list[bytes]):
+    """Runs (first, last + 1) of texts with about TOGETHER bytes in all; a longer text alone."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t) > TOGETHER:
+            yield first, i
+            first, size = i, 0
+        size += len(t) + 1
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, hashes, counts): the words of several texts one after the other, A-Z in lower case, and how many each text has."""
+    codes = np.frombuffer(b"\n".join(texts).lower(), dtype=np.uint8)
+    starts, ends = word_bounds(codes)
+    bounds = np.cumsum(np.array([len(t) + 1 for t in texts]))
+    counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
+    return codes, starts, ends, hash_words(codes, starts, ends), counts
+
+
+def _shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    n = len(hashes) - width + 1
+    total = np.full(n, np.uint64(width))
+    with np.errstate(over="ignore"):
+        for j in range(width):
+            total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n])
+    return total & MASK63
+
+
+def shingle_sets(texts: list[bytes | None], width: int = 5) -> list[np.ndarray]:
+    """For each text, the distinct 63-bit hashes of all word n-grams of this width, ascending; one for fewer words, none for none."""
+    texts = [t or b"" for t in texts]
+    out = []
+    for low, high in together(texts):
+        _, _, _, hashes, counts = words_of(texts[low:high])
+        whole = _shingles(hashes, width) if len(hashes) >= width else None
+        at = 0
+        for n in counts.tolist():
+            if n >= width:
+                own = np.sort(whole[at : at + n - width + 1])
+                keep = np.ones(len(own), dtype=bool)
+                np.not_equal(own[1:], own[:-1], out=keep[1:])
+                out.append(own[keep])
+            else:
+                out.append(_shingles(hashes[at : at + n], n) if n else np.empty(0, dtype=np.uint64))
+            at += n
+    return out
 
 
 ship(__name__)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, ascii_words, materialize, only_keys, release, shingle_hashes, ship, without_keys
+from .common import materialize, only_keys, release, shingle_sets, ship, without_keys
 from .components import connected_components
 
 K = 64
@@ -48,17 +48,15 @@ HEADS = ceil(log(MISS) / log(1 - 0.75))
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Members of one block in the exact rest; rounds of leaders before it; salts of a leader's group; columns at once in a block.
-BLOCK, LEADER_ROUNDS, SALTS, CHUNK = 1024, 3, 32, 2048
+BLOCK, LEADER_ROUNDS, SALTS, CHUNK = 512, 3, 32, 2048
 
 _SKETCH_FIELDS = "n_shingles long, digest binary, sketch array<long>"
 
 
 def _sketch_batches(batches):
-    hasher = WordHasher()
     for batch in batches:
         n, digests, sketches = [], [], []
-        for text in batch.column("_text").cast(pa.binary()).to_pylist():
-            s = shingle_hashes(hasher(ascii_words(text)), WIDTH)
+        for s in shingle_sets(batch.column("_text").cast(pa.binary()).to_pylist(), WIDTH):
             n.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
             sketches.append(s[:K].astype(np.int64))
@@ -166,11 +164,11 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def _verify_batches(batches):
     """Rows (a, salt, b, text) sorted by a, salt, b, the leader's own row (b = -1) first: links with exact similarity."""
-    hasher, of, own = WordHasher(), None, None
+    of, own = None, None
     for batch in batches:
         a_out, b_out, inter_out, union_out = [], [], [], []
-        for a, salt, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b")), batch.column("_body").cast(pa.binary()).to_pylist()):
-            s = shingle_hashes(hasher(ascii_words(text)), WIDTH)
+        sets = shingle_sets(batch.column("_body").cast(pa.binary()).to_pylist(), WIDTH)
+        for a, salt, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b")), sets):
             if b < 0:
                 of, own = (a, salt), s
                 continue
@@ -296,10 +294,9 @@ def _block_batches(batches):
 
 def _confirm_batches(batches):
     """Rows (v, i, j, _rid, partners, text): a spanning forest of each block's links, confirmed on full sets."""
-    hasher = WordHasher()
 
     def make(key, rows):
-        sets = {rid: shingle_hashes(hasher(ascii_words(text.encode())), WIDTH) for rid, _, text in rows}
+        sets = dict(zip((r[0] for r in rows), shingle_sets([r[2].encode() for r in rows], WIDTH)))
         root = {rid: rid for rid in sets}
 
         def find(x):

@@ -47,7 +47,7 @@ def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return repeated_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
 
 
 def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, ascii_words, materialize, mix64, release, shingle_hashes, ship
+from .common import together, materialize, mix64, only_keys, release, shingle_sets, ship, without_keys, words_of
 from .components import connected_components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -37,6 +37,8 @@ MIN_WORDS, LONG, CUT, RUN_WORDS = 8, 60, 16, 30
 SEED, SEED_WINDOW = 16, 36
 RECALL = 0.995
 BLOCK = 512
+#: Documents in a group of those that hold a very frequent seed.
+CROWD = 4096
 
 
 def bands(recall: float = RECALL, similarity: float = NUMERATOR / DENOMINATOR, rows: int = 1) -> int:
@@ -44,24 +46,28 @@ def bands(recall: float = RECALL, similarity: float = NUMERATOR / DENOMINATOR, r
     return ceil(log(1 - recall) / log(1 - similarity**rows))
 
 
-def _word_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, is a unit's last word) of all words, in code points: a word with . ! or ? at its end, or before a line break."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    blank = np.ones(len(codes) + 2, dtype=bool)
-    blank[1:-1] = (codes == 32) | ((codes >= 9) & (codes <= 13))
-    turns = np.flatnonzero(blank[1:] != blank[:-1])
-    starts, ends = turns[::2], turns[1::2]
-    final = np.isin(codes[ends - 1], (46, 33, 63))
-    breaks = np.concatenate([[0], np.cumsum(codes == 10)])
-    final[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
+def _code_points(codes: np.ndarray) -> np.ndarray:
+    """How many characters begin before each byte, and in all."""
+    return np.concatenate([[0], np.cumsum((codes & 0xC0) != 0x80)])
+
+
+def text_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, is a unit's last word, hashes) of all words; offsets in code points. A word with . ! or ? at its end, or before a line break, is a unit's last."""
+    codes, starts, ends, hashes, _ = words_of([text.encode("utf-8", "replace")])
+    end = codes[ends - 1]
+    final = (end == 46) | (end == 33) | (end == 63)
+    breaks = np.cumsum(codes == 10, dtype=np.int32)
+    final[:-1] |= breaks[starts[1:]] > breaks[ends[:-1] - 1]
     final[-1:] = True
-    return starts, ends, final
+    if len(codes) > len(text):
+        place = _code_points(codes)
+        starts, ends = place[starts], place[ends]
+    return starts, ends, final, hashes
 
 
-def units(text: str, hasher: WordHasher) -> tuple[np.ndarray, ...]:
-    """(first word, last word, start, end, word hashes): the units of at least MIN_WORDS words, offsets in code points, the end exclusive."""
-    starts, ends, final = _word_spans(text)
-    hashes = hasher(ascii_words(text.encode("utf-8", "replace")))
+def units(text: str) -> tuple[np.ndarray, ...]:
+    """(first word, last word, start, end, word hashes, span of all words): the units of at least MIN_WORDS words, offsets in code points, the end exclusive."""
+    starts, ends, final, hashes = text_words(text)
     last = np.flatnonzero(final)
     first = np.concatenate([[0], last[:-1] + 1])
     size = last - first + 1
@@ -76,7 +82,7 @@ def units(text: str, hasher: WordHasher) -> tuple[np.ndarray, ...]:
         first = np.concatenate([[0], last[:-1] + 1])
     keep = last - first + 1 >= MIN_WORDS
     first, last = first[keep], last[keep]
-    return first, last, starts[first], ends[last], hashes
+    return first, last, starts[first], ends[last], hashes, (int(starts[0]), int(ends[-1]))
 
 
 def _min_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
@@ -89,7 +95,9 @@ def _min_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, n: int)
         # Every other segment is a unit's shingles; the ones between are looked at and left out.
         bounds = np.stack([first, last - WIDTH + 2], axis=1).ravel()
         bounds = bounds[:-1] if bounds[-1] >= size else bounds
-        out = [mix64(np.minimum.reduceat(mix64(whole ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), bounds)[::2] + np.uint64(k)) for k in range(n)]
+        # An odd factor orders the mixed hashes anew for each band.
+        order = mix64(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out = [mix64(np.minimum.reduceat((whole ^ order[2 * k]) * (order[2 * k + 1] | np.uint64(1)), bounds)[::2] + np.uint64(k)) for k in range(n)]
     return (np.stack(out, axis=1) >> np.uint64(1)).astype(np.int64)
 
 
@@ -124,111 +132,147 @@ def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (whole[at] >> np.uint64(1)).astype(np.int64)
 
 
+_UNIT_FIELDS = "_rid long, _id long, _key long, whole binary, unit int, start int, end int, first_word int, last_word int, text_hash long, bands array<long>, text string"
+_UNIT_KINDS = {
+    "_rid": pa.int64(), "_id": pa.int64(), "_key": pa.int64(), "whole": pa.binary(), "unit": pa.int32(), "start": pa.int32(), "end": pa.int32(), "first_word": pa.int32(), "last_word": pa.int32(),
+    "text_hash": pa.int64(), "bands": pa.list_(pa.int64()), "text": pa.string(),
+}
+
+
+def _rows_of(n: int, **columns) -> pa.RecordBatch:
+    """A batch of n rows with all fields; those not given are null."""
+    made = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in _UNIT_KINDS.items()]
+    return pa.RecordBatch.from_arrays(made, names=list(_UNIT_KINDS))
+
+
 def _unit_batches(batches):
-    hasher, most, seen = WordHasher(), bands(), set()
-    names = ("_rid", "_id", "_key", "unit", "start", "end", "first_word", "last_word", "text_hash", "bands", "text")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string())
+    """Three sorts of rows: documents (with whole: a 128-bit hash of all words), units (with unit), and seeds (with text_hash alone)."""
+    from xxhash import xxh3_128_digest
+
+    most, seen = bands(), set()
     for batch in batches:
-        out: list[list] = [[] for _ in names]
+        docs: dict[str, list] = {c: [] for c in ("_rid", "_id", "_key", "whole", "start", "end", "last_word")}
+        out: dict[str, list] = {c: [] for c in ("_rid", "unit", "start", "end", "first_word", "last_word", "text_hash", "bands", "text")}
         holders, found = [], []
-        for i, (rid, doc, key, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_rid", "_id", "_key", "_text")))):
+        for rid, doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("_rid", "_id", "_key", "_text"))):
             if not text or text.isspace():
                 continue
-            first, last, start, end, hashes = units(text, hasher)
+            first, last, start, end, hashes, span = units(text)
+            for col, x in zip(docs.values(), (rid, doc, key, xxh3_128_digest(hashes.tobytes()), *span, len(hashes) - 1)):
+                col.append(x)
             found.append(seeds(hashes))
-            holders.append(np.full(len(found[-1][0]), i))
+            holders.append(np.full(len(found[-1][0]), rid))
             if not len(first):
                 continue
             texts = _text_hashes(hashes, first, last).tolist()
             keys = _min_hashes(hashes, first, last, most).tolist()
-            shown = []
-            for h, own in zip(texts, keys):
-                # A text that this task has banded already needs no more rows.
-                shown.append([] if h in seen else own)
+            shown, shown_text = [], []
+            spans = list(zip(start.tolist(), end.tolist()))
+            for h, own, (x, y) in zip(texts, keys, spans):
+                # A text that this task has banded already needs no more.
+                new = h not in seen
+                shown.append(own if new else [])
+                shown_text.append(text[x:y] if new else None)
                 seen.add(h)
             if len(seen) > 500_000:
                 seen.clear()
-            spans = list(zip(start.tolist(), end.tolist()))
-            row = ([rid] * len(first), [doc] * len(first), [key] * len(first), range(len(first)), start.tolist(), end.tolist(), first.tolist(), last.tolist(), texts, shown, [text[a:b] for a, b in spans])
-            for col, x in zip(out, row):
+            row = ([rid] * len(first), range(len(first)), start.tolist(), end.tolist(), first.tolist(), last.tolist(), texts, shown, shown_text)
+            for col, x in zip(out.values(), row):
                 col.extend(x)
-        yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(out, kinds)], names=list(names))
+        yield _rows_of(len(docs["_rid"]), **docs)
+        yield _rows_of(len(out["_rid"]), **out)
         if found:
-            # Seeds are rows without a unit.
-            whose = pa.array(np.concatenate(holders))
-            held = {c: batch.column(c).take(whose) for c in ("_rid", "_id", "_key")}
-            held["first_word"] = pa.array(np.concatenate([at for at, _ in found]), pa.int32())
-            held["text_hash"] = pa.array(np.concatenate([h for _, h in found]))
-            yield pa.RecordBatch.from_arrays([held[c] if c in held else pa.nulls(len(whose), kind) for c, kind in zip(names, kinds)], names=list(names))
+            whose = np.concatenate(holders)
+            yield _rows_of(len(whose), _rid=pa.array(whose), first_word=pa.array(np.concatenate([at for at, _ in found]), pa.int32()), text_hash=pa.array(np.concatenate([h for _, h in found])))
 
 
 class _Words:
     """(starts, ends, word hashes) of texts, remembered by key up to a bounded number of words."""
 
     def __init__(self):
-        self.hasher, self.seen, self.size = WordHasher(), {}, 0
+        self.seen, self.size = {}, 0
 
     def __call__(self, key: int, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if key not in self.seen:
             if self.size > 500_000:
                 self.seen.clear()
                 self.size = 0
-            self.seen[key] = (*_word_spans(text)[:2], self.hasher(ascii_words(text.encode("utf-8", "replace"))))
+            starts, ends, _, hashes = text_words(text)
+            self.seen[key] = (starts, ends, hashes)
             self.size += len(self.seen[key][0])
         return self.seen[key]
 
 
+_ASK = "_rid long, _id long, other_id long, other_rid long, other_key long, apart int, text_hash long"
+
+
 def _slice_batches(batches):
-    """A stretch's words and SEED_WINDOW - 1 more on either side, as far as the text goes."""
-    words = _Words()
+    """For each stretch that a document (_text) is asked for: its words and SEED_WINDOW - 1 more on either side, as far as the text goes."""
+    kept = [x.split()[0] for x in _ASK.split(", ")]
     for batch in batches:
-        kept = [c for c in batch.schema.names if c != "_text"]
-        first, offset, slices = [], [], []
-        for key, low, high, text in zip(*(batch.column(c).to_pylist() for c in ("_key", "low", "high", "_text"))):
-            starts, ends, _ = words(key, text)
-            low, high = max(0, low - SEED_WINDOW + 1), min(len(starts), high + SEED + SEED_WINDOW - 1)
-            first.append(low)
-            offset.append(int(starts[low]))
-            slices.append(text[starts[low] : ends[high - 1]])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(first, pa.int32()), pa.array(offset, pa.int32()), pa.array(slices, pa.string())], names=[*kept, "first", "offset", "slice"])
+        out: dict[str, list] = {c: [] for c in (*kept, "first", "offset", "slice")}
+        for asks, text in zip(batch.column("asks").to_pylist(), batch.column("_text").to_pylist()):
+            starts, ends, _, _ = text_words(text)
+            for ask in asks:
+                low, high = max(0, ask["low"] - SEED_WINDOW + 1), min(len(starts), ask["high"] + SEED + SEED_WINDOW - 1)
+                at = int(starts[low])
+                for c in kept:
+                    out[c].append(ask[c])
+                out["first"].append(low)
+                out["offset"].append(at)
+                out["slice"].append(text[at : int(ends[high - 1])])
+        kinds = [pa.int32() if c in ("apart", "first", "offset") else pa.string() if c == "slice" else pa.int64() for c in out]
+        yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(out.values(), kinds)], names=list(out))
 
 
 def _stretch_batches(batches):
     """The stretches of at least SEED words in which a slice equals the other document, word by word."""
-    words, hasher = _Words(), WordHasher()
+    words = _Words()
     for batch in batches:
-        whose, cols = [], ([], [], [], [], [])
-        rows = zip(*(batch.column(c).to_pylist() for c in ("other_key", "apart", "first", "offset", "slice", "_text")))
-        for i, (key, apart, first, offset, own, text) in enumerate(rows):
-            other = words(key, text)[2]
-            starts, ends, _ = _word_spans(own)
-            hashes = hasher(ascii_words(own.encode("utf-8", "replace")))
-            begin = first - apart
-            low, high = max(0, -begin), min(len(hashes), len(other) - begin)
-            equal = np.zeros(len(hashes) + 2, dtype=bool)
-            if low < high:
-                equal[low + 1 : high + 1] = hashes[low:high] == other[begin + low : begin + high]
-            turns = np.flatnonzero(equal[1:] != equal[:-1]).tolist()
-            for a, b in zip(turns[::2], turns[1::2]):
-                if b - a >= SEED:
-                    whose.append(i)
-                    for col, x in zip(cols, (first + a, first + b - 1, offset + int(starts[a]), offset + int(ends[b - 1]), own[starts[a] : ends[b - 1]])):
-                        col.append(x)
+        whose, cols = [], ([], [], [], [])
+        slices = [x.encode("utf-8", "replace") for x in batch.column("slice").to_pylist()]
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("other_key", "apart", "first", "offset", "_text"))))
+        for begin, end in together(slices):
+            codes, starts, ends, hashes, counts = words_of(slices[begin:end])
+            place = _code_points(codes)
+            base = place[np.cumsum([0, *(len(x) + 1 for x in slices[begin : end - 1])])].tolist()
+            starts, ends = place[starts], place[ends]
+            at = 0
+            for i, n, zero in zip(range(begin, end), counts.tolist(), base):
+                key, apart, first, offset, text = rows[i]
+                other = words(key, text)[2]
+                shift = first - apart
+                low, high = max(0, -shift), min(n, len(other) - shift)
+                equal = np.zeros(n + 2, dtype=bool)
+                if low < high:
+                    equal[low + 1 : high + 1] = hashes[at + low : at + high] == other[shift + low : shift + high]
+                turns = np.flatnonzero(equal[1:] != equal[:-1]).tolist()
+                for a, b in zip(turns[::2], turns[1::2]):
+                    if b - a >= SEED:
+                        whose.append(i)
+                        for col, x in zip(cols, (first + a, first + b - 1, offset + int(starts[at + a]) - zero, offset + int(ends[at + b - 1]) - zero)):
+                            col.append(x)
+                at += n
         kept = ("_rid", "_id", "other_id", "other_rid", "text_hash")
-        at = pa.array(whose, pa.int64())
+        taken = pa.array(whose, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c).take(at) for c in kept), *(pa.array(col, pa.int32()) for col in cols[:4]), pa.array(cols[4], pa.string())],
-            names=[*kept, "first_word", "last_word", "start", "end", "text"],
+            [*(batch.column(c).take(taken) for c in kept), *(pa.array(col, pa.int32()) for col in cols)],
+            names=[*kept, "first_word", "last_word", "start", "end"],
         )
 
 
-def _forest(rows: list, hasher: WordHasher):
-    """Links that join all units of a block that exact Jaccard similarity connects; rows: (side, text_hash, text)."""
-    side = np.array([r[0] for r in rows])
-    if len(rows) < 2 or side.any() and side.all():
+def _forest(rows: list):
+    """Links that join all units of a block that exact Jaccard similarity connects; rows: (side, text_hash, shingles)."""
+    side = [r[0] for r in rows]
+    if len(rows) < 2 or any(side) and all(side):
+        return
+    sets = [r[2] for r in rows]
+    if len(rows) == 2:
+        a, b = (set(s.tolist()) for s in sets)
+        if len(a & b) * DENOMINATOR >= NUMERATOR * len(a | b):
+            yield tuple(sorted((rows[0][1], rows[1][1])))
         return
-    sets = [shingle_hashes(hasher(ascii_words(r[2].encode("utf-8", "replace"))), WIDTH) for r in rows]
-    sizes = np.array([len(s) for s in sets])
+    side, sizes = np.array(side), np.array([len(s) for s in sets])
     _, at = np.unique(np.concatenate(sets), return_inverse=True)
     m = np.zeros((len(rows), at.max() + 1), dtype=np.float32)
     m[np.repeat(np.arange(len(rows)), sizes), at] = 1
@@ -244,7 +288,7 @@ def _forest(rows: list, hasher: WordHasher):
             x = root[x]
         return x
 
-    for x, y in zip(*np.nonzero(ok)):
+    for x, y in zip(*(i.tolist() for i in np.nonzero(ok))):
         a, b = find(int(left[x])), find(int(right[y]))
         if a != b:
             root[max(a, b)] = min(a, b)
@@ -252,7 +296,7 @@ def _forest(rows: list, hasher: WordHasher):
 
 
 def _block_batches(batches):
-    hasher, key, rows, out = WordHasher(), None, [], []
+    key, rows, out = None, [], []
 
     def flush():
         a, b = [p[0] for p in out], [p[1] for p in out]
@@ -260,15 +304,18 @@ def _block_batches(batches):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "text_hash", "text"))):
+        hashes = batch.column("text_hash").to_pylist()
+        texts = dict(zip(hashes, batch.column("text").to_pylist()))
+        sets = dict(zip(texts, shingle_sets([t.encode("utf-8", "replace") for t in texts.values()], WIDTH)))
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "side")), hashes, (sets[h] for h in hashes)):
             if row[:3] != key:
                 if rows:
-                    out += _forest(rows, hasher)
+                    out += _forest(rows)
                 key, rows = row[:3], []
             rows.append(row[3:])
         yield flush()
     if rows:
-        out += _forest(rows, hasher)
+        out += _forest(rows)
     yield flush()
 
 
@@ -283,26 +330,52 @@ def _links(colliding: DataFrame, texts: DataFrame) -> DataFrame:
     return meets.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_block_batches, "a long, b long").distinct()
 
 
-def _stretches(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Stretches of words that a document shares with the first one that holds a seed of them, and with the one before it in the order of documents."""
-    in_order = Window.partitionBy("text_hash").orderBy(F.col("_id").isNull(), "_id", "_rid", "first_word")
-    at = F.struct("_rid", "_id", "_key", "first_word")
-    found = table.where("unit is null").select("text_hash", "_rid", "_id", "_key", "first_word")
-    found = found.withColumn("one", F.first(at).over(in_order)).withColumn("two", F.lag(at).over(in_order)).where("one._rid <> _rid")
+def _first(*more: str):
+    """The document that comes first: the least (doc_id, row), null ids last."""
+    return F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id"), F.col("_rid"), *more))
+
+
+_STRETCH = "_rid long, _id long, other_id long, other_rid long, text_hash long, first_word int, last_word int, start int, end int"
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """Documents of the same words as one before them, as stretches over their whole length."""
+    classes = materialize(docs.groupBy("whole").agg(F.count("*").alias("n"), _first().alias("other")).where("n > 1").drop("n"), "classes")
+    same = docs.join(classes, "whole").where(F.col("_rid") != F.col("other._rid"))
+    return materialize(same.select(
+        "_rid", "_id", F.col("other._id").alias("other_id"), F.col("other._rid").alias("other_rid"), F.xxhash64("whole").alias("text_hash"), F.lit(0).alias("first_word"), "last_word", "start", "end"
+    ), "copies")
+
+
+def _stretches(rows: DataFrame, docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Stretches of words that a document shares with the first one that holds a seed of them, and with the one before it in the order of documents.
+
+    marks: the seeds (text_hash, _rid, first_word). Of seeds in very many documents, the ones before are looked for in groups of at most about CROWD.
+    """
+    held = marks.groupBy("text_hash").agg(F.count("*").alias("n"), F.min("_rid").alias("lo"), F.max("_rid").alias("hi")).where("lo < hi").select("text_hash", F.ceil(F.col("n") / CROWD).cast("int").alias("groups"))
+    held = materialize(held, "held")
+    found = only_keys(marks, "text_hash", held.select("text_hash")).join(docs.select("_rid", "_id", "_key"), "_rid")
+    placed = materialize(found.join(held, "text_hash").withColumn("crowd", F.pmod(F.xxhash64("_rid"), "groups")).drop("groups"), "seeds")
+    firsts = materialize(placed.groupBy("text_hash").agg(_first("first_word", "_key").alias("one")), "firsts")
+    in_order = Window.partitionBy("text_hash", "crowd").orderBy(F.col("_id").isNull(), "_id", "_rid", "first_word")
+    at = F.struct("_id", "_rid", "first_word", "_key")
+    found = placed.withColumn("two", F.lag(at).over(in_order)).join(firsts.select("text_hash", F.struct("one._id", "one._rid", "one.first_word", "one._key").alias("one")), "text_hash").where("one._rid <> _rid")
     before = F.when(F.col("two._rid").isin(F.col("_rid"), F.col("one._rid")), None).otherwise(F.col("two"))
     pairs = found.select("text_hash", "_rid", "_id", "_key", "first_word", F.explode(F.array_compact(F.array("one", before))).alias("other"))
     # Seeds of one pair of documents that lie equally far apart belong together.
     together = ["_rid", "_id", "_key", F.col("other._id").alias("other_id"), F.col("other._rid").alias("other_rid"), F.col("other._key").alias("other_key"), (F.col("first_word") - F.col("other.first_word")).alias("apart")]
     asked = pairs.groupBy(*together).agg(F.min("first_word").alias("low"), F.max("first_word").alias("high"), F.min_by("text_hash", "first_word").alias("text_hash"))
     asked = materialize(asked, "asked")
-    keys = asked.select("_key").unionAll(asked.select("other_key")).distinct()
-    texts = materialize(rows.select("_key", "_text").join(F.broadcast(keys), "_key", "left_semi").groupBy("_key").agg(F.min("_text").alias("_text")), "texts")
-    kept = "_rid long, _id long, other_id long, other_rid long, other_key long, apart int, text_hash long"
-    own = asked.join(texts, "_key").select(*[x.split()[0] for x in kept.split(", ")], "_key", "low", "high", "_text")
-    slices = own.mapInArrow(_slice_batches, f"{kept}, _key long, low int, high int, first int, offset int, slice string").drop("_key", "low", "high")
+    keys = materialize(asked.select("_key").unionAll(asked.select("other_key")).distinct(), "keys")
+    texts = materialize(only_keys(rows.select("_key", "_text"), "_key", keys).dropDuplicates(["_key"]), "texts")
+    # A document's asks are as many as its seeds at most, so they fit beside its text.
+    asks = F.collect_list(F.struct(*[x.split()[0] for x in _ASK.split(", ")], "low", "high")).alias("asks")
+    slices = asked.groupBy("_key").agg(asks).join(texts, "_key").select("asks", "_text").mapInArrow(_slice_batches, f"{_ASK}, first int, offset int, slice string")
     both = slices.join(texts.withColumnRenamed("_key", "other_key"), "other_key")
-    schema = "_rid long, _id long, other_id long, other_rid long, text_hash long, first_word int, last_word int, start int, end int, text string"
-    return materialize(both.mapInArrow(_stretch_batches, schema), "stretches")
+    out = materialize(both.mapInArrow(_stretch_batches, _STRETCH), "stretches")
+    for table in (held, placed, firsts, asked, keys, texts):
+        release(table)
+    return out
 
 
 def _further_batches(batches):
@@ -332,69 +405,65 @@ def _merged(pieces: DataFrame) -> DataFrame:
     by_doc = Window.partitionBy("_rid").orderBy("first_word", "last_word", "component_id")
     before = F.max("last_word").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     dealt = pieces.withColumn("apart", F.when(F.col("first_word") <= before + 1, 0).otherwise(1)).withColumn("island", F.sum("apart").over(by_doc))
-    parts = F.array_sort(F.collect_list(F.struct("start", "end", "text")))
-    made = dealt.groupBy("_rid", "island").agg(
+    return dealt.groupBy("_rid", "island").agg(
         F.first("_id").alias("_id"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_units").alias("n_units"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_doc_ids")))).alias("kept_doc_ids"), F.min_by("component_id", F.struct("first_word", "component_id")).alias("component_id"), parts.alias("parts"),
-    )
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_doc_ids")))).alias("kept_doc_ids"), F.min_by("component_id", F.struct("first_word", "component_id")).alias("component_id"),
+    ).drop("island")
 
-    def longer(acc, x):
-        rest = F.substring(x["text"], F.greatest(acc["at"] - x["start"], F.lit(0)) + 1, F.length(x["text"]))
-        return F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(acc["at"] >= x["end"], acc["text"]).when(acc["at"] >= x["start"], F.concat(acc["text"], rest)).otherwise(F.concat_ws("\n", acc["text"], x["text"])).alias("text"),
-        )
 
-    text = F.aggregate("parts", F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("text")), longer, lambda acc: acc["text"])
-    return made.withColumn("text", text).drop("parts", "island")
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per removed run: doc_id, start, end (code points), n_words, n_units, kept_doc_ids (where its units stay), component_id (of its first unit), text."""
-    own = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    # Unlike a row number, the key is the same in every scan.
-    rows = docs.select(own[0].alias("_id"), own[1].alias("_text"), F.xxhash64(*own).alias("_key"))
-    schema = "_rid long, _id long, _key long, unit int, start int, end int, first_word int, last_word int, text_hash long, bands array<long>, text string"
-    written = materialize(rows.withColumn("_rid", F.monotonically_increasing_id()).mapInArrow(_unit_batches, schema), "units")
+def _unit_runs(written: DataFrame, docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Runs of neighbouring units whose component has its first unit in another document."""
     table = written.where("unit is not null")
     postings = table.select("text_hash", F.explode("bands").alias("key"))
-    # A key holds several texts where neighbours in the order of texts differ: one shuffle, no list of a key's rows.
-    by_key = Window.partitionBy("key").orderBy("text_hash")
-    beside = postings.select("key", "text_hash", F.lag("text_hash").over(by_key).alias("before"), F.lead("text_hash").over(by_key).alias("after"))
-    colliding = materialize(beside.where("before <> text_hash or after <> text_hash").select("key", "text_hash").distinct(), "colliding")
-    repeated = table.groupBy("text_hash").agg(F.count("*").alias("n")).where("n > 1").select("text_hash")
-    wanted = repeated.unionAll(colliding.select("text_hash")).distinct()
-    some = materialize(table.drop("bands", "_key").join(wanted, "text_hash"), "repeated")
-    stretches = _stretches(rows, written)
-    release(written)
-    texts = some.join(colliding.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text"))
+    crowded = materialize(postings.groupBy("key").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo < hi").select("key"), "crowded")
+    colliding = materialize(only_keys(postings, "key", crowded).select("key", "text_hash").distinct(), "colliding")
+    banded = materialize(colliding.select("text_hash").distinct(), "banded")
+    texts = materialize(only_keys(table.where("text is not null").select("text_hash", "text"), "text_hash", banded).groupBy("text_hash").agg(F.min("text").alias("text")), "texts")
     links = materialize(_links(colliding, texts), "links")
-    release(colliding)
-    components = connected_components(links)
-    place = F.struct(F.col("_id").isNull().alias("x"), F.col("_id"), F.col("_rid"), F.col("unit"))
-    held = some.join(components, some["text_hash"] == components["node"], "left").withColumn("component_id", F.coalesce("component", "text_hash")).drop("component", "node")
-    firsts = held.groupBy("component_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    for done in (crowded, colliding, texts, banded):
+        release(done)
+    components = materialize(connected_components(links), "components")
+    # A document of the same words as one before goes as a whole; its units have no part in what follows.
+    own = without_keys(table.select("_rid", "unit", "start", "end", "first_word", "last_word", "text_hash"), "_rid", copies.select("_rid"))
+    repeated = own.groupBy("text_hash").agg(F.count("*").alias("n")).where("n > 1").select("text_hash")
+    wanted = materialize(repeated.unionAll(components.select(F.col("node").alias("text_hash"))).distinct(), "wanted")
+    some = only_keys(own, "text_hash", wanted).join(docs.select("_rid", "_id"), "_rid")
+    held = materialize(some.join(components.withColumnRenamed("node", "text_hash"), "text_hash", "left").withColumn("component_id", F.coalesce("component", "text_hash")).drop("component", "text_hash"), "repeated")
+    firsts = materialize(held.groupBy("component_id").agg(_first("unit").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     gone = held.join(firsts, "component_id").where(F.col("_rid") != F.col("first._rid"))
     by_doc = Window.partitionBy("_rid").orderBy("unit")
-    runs = (
-        gone.withColumn("island", F.col("unit") - F.row_number().over(by_doc))
-        .groupBy("_rid", "island")
-        .agg(
-            F.first("_id").alias("_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.count("*").alias("n_units"),
-            F.array_sort(F.collect_set("first._id")).alias("kept_doc_ids"), F.min_by("component_id", "unit").alias("component_id"), F.array_join(F.array_sort(F.collect_list(F.struct("unit", "text")))["text"], "\n").alias("text"),
-        )
-        .drop("island")
-    )
+    return gone.withColumn("island", F.col("unit") - F.row_number().over(by_doc)).groupBy("_rid", "island").agg(
+        F.first("_id").alias("_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.count("*").alias("n_units"),
+        F.array_sort(F.collect_set("first._id")).alias("kept_doc_ids"), F.min_by("component_id", "unit").alias("component_id"),
+    ).drop("island")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """One row per removed run: doc_id, start, end (code points), n_words, n_units, kept_doc_ids (where its units stay), component_id (of its first unit), and text if asked for."""
+    own = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    # Unlike a row number, the key is the same in every scan.
+    rows = docs.select(own[0].alias("_id"), own[1].alias("_text"), F.xxhash64(*own).alias("_key"))
+    written = materialize(rows.withColumn("_rid", F.monotonically_increasing_id()).mapInArrow(_unit_batches, _UNIT_FIELDS), "units")
+    table = materialize(written.where("whole is not null").select("_rid", "_id", "_key", "whole", "start", "end", "last_word"), "docs")
+    copies = _copies(table)
+    marks = without_keys(written.where("unit is null and text_hash is not null").select("text_hash", "_rid", "first_word"), "_rid", copies.select("_rid"))
+    stretches = copies.unionAll(_stretches(rows, table, marks))
+    runs = _unit_runs(written, table, copies)
     alike = stretches.select(
         "_rid", "_id", "start", "end", "first_word", "last_word", F.lit(0).cast("long").alias("n_units"), F.array_compact(F.array("other_id")).alias("kept_doc_ids"),
-        F.col("text_hash").alias("component_id"), "text", F.struct(F.lit(1).alias("rank"), F.col("other_id").isNull().alias("x"), "other_id", "other_rid").alias("place"),
+        F.col("text_hash").alias("component_id"), F.struct(F.lit(1).alias("rank"), F.col("other_id").isNull().alias("x"), "other_id", "other_rid").alias("place"),
     )
     # Of stretches that cover the same words, the one shared with the first document says where they stay.
     pieces = runs.withColumn("place", F.lit(None).cast(alike.schema["place"].dataType)).unionByName(alike)
     pieces = pieces.repartition("_rid").sortWithinPartitions("_rid", "place", "first_word", "last_word").drop("place")
     pieces = pieces.mapInArrow(_further_batches, pieces.schema)
     whole = _merged(pieces).withColumn("n_words", F.col("last_word") - F.col("first_word") + 1).where(F.col("n_words") >= RUN_WORDS)
-    return whole.select(F.col("_id").alias("doc_id"), "start", "end", "n_words", "n_units", "kept_doc_ids", "component_id", "text")
+    out = [F.col("_id").alias("doc_id"), "start", "end", "n_words", "n_units", "kept_doc_ids", "component_id"]
+    if not with_text:
+        return whole.select(*out)
+    whole = materialize(whole.join(table.select("_rid", "_key"), "_rid"), "runs")
+    texts = only_keys(rows.select("_key", "_text"), "_key", whole.select("_key").distinct()).dropDuplicates(["_key"])
+    return whole.join(texts, "_key").select(*out, F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
 
 
 ship(__name__)
