@@ -114,7 +114,7 @@ def test_pii_base_equals_brute_force(spark):
 def test_pii_checksums_and_context(spark):
     rows = [(1, "iban GB82 WEST 1234 5698 7654 32 x"), (2, "iban GB82WEST12345698765431"), (3, "my card 378282246310005"), (4, "number 378282246310005"), (5, "call (988) 555-2485"), (6, "row (988) 555-2485"), (7, "mail me a@b.co")]
     got = {r["_row"]["doc_id"]: [(s["kind"], round(s["score"], 2)) for s in r["spans"]] for r in pii.find_personal_data(frame(spark, rows)).collect()}
-    assert got == {1: [("iban", 1.1)], 2: [], 3: [("short_card", 0.55)], 4: [], 5: [("local_phone", 0.55)], 6: [], 7: [("email", 0.9)]} or got[1][0][0] == "iban"
+    assert got == {1: [("iban", 1.1)], 2: [], 3: [("short_card", 0.55)], 4: [], 5: [("local_phone", 0.55)], 6: [], 7: [("email", 0.9)]}
     assert pii.find_personal_data(frame(spark, [])).count() == 0
 
 
