@@ -20,6 +20,20 @@ NOISE_WORDS = (
 FORMATS = {"A": "alphanumeric", "N": "zoned decimal", "P": "packed decimal", "U": "unsigned packed", "B": "binary", "K": "double-byte", "M": "mixed"}
 
 
+def format_meaning(fmt: Column) -> Column:
+    """What a field's format letter means; null for none that is known."""
+    return F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])[fmt]
+
+
+def field_descriptor(name: Column, owner: Column, storage: Column, start: Column, stop: Column, length: Column, fmt: Column, decimals: Column) -> Column:
+    """A field for a reader: its name, its file or else its storage, its bytes and its format."""
+    place = F.when(start.isNotNull() & stop.isNotNull(), F.concat_ws("-", start.cast("string"), stop.cast("string")))
+    return F.struct(
+        name.alias("field"), owner.alias("file"), F.when(owner.isNull(), storage).alias("storage"), place.alias("bytes"), length.alias("length"), fmt.alias("format"), format_meaning(fmt).alias("meaning"),
+        decimals.alias("decimals"),
+    )
+
+
 def right_trim(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+$", "")
 

@@ -86,6 +86,19 @@ def literal_values(spark, d):
     return _tokens(spark, d).groupBy("token", T.literal_value(t).alias("value"), T.owner_part(t).alias("owner")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH f AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 3 > 0 THEN p_type END AS owner, CASE WHEN p_size % 5 > 0 THEN p_size END AS start, p_partkey % 30 + 1 AS length, substr('ANPUBKMX', p_size % 8 + 1, 1) AS fmt FROM part)
+SELECT p_partkey, p_brand AS field, owner AS file, CASE WHEN owner IS NULL THEN 'W' END AS storage, start || '-' || (start + length - 1) AS bytes, fmt AS format,
+CASE fmt WHEN 'A' THEN 'alphanumeric' WHEN 'N' THEN 'zoned decimal' WHEN 'P' THEN 'packed decimal' WHEN 'U' THEN 'unsigned packed' WHEN 'B' THEN 'binary' WHEN 'K' THEN 'double-byte' WHEN 'M' THEN 'mixed' END AS meaning FROM f""")
+def field_descriptor(spark, d):
+    size, c = F.col("p_size"), F.col
+    f = read_table(spark, d, "part").select(
+        "p_partkey", "p_brand", F.when(size % 3 > 0, c("p_type")).alias("owner"), F.when(size % 5 > 0, size).alias("start"), (c("p_partkey") % 30 + 1).alias("length"), F.expr("substr('ANPUBKMX', p_size % 8 + 1, 1)").alias("fmt")
+    )
+    stop = c("start") + c("length") - 1
+    one = T.field_descriptor(c("p_brand"), c("owner"), F.lit("W"), c("start"), stop, c("length"), c("fmt"), F.lit(None).cast("int"))
+    return f.select("p_partkey", one.alias("x")).select("p_partkey", "x.field", "x.file", "x.storage", "x.bytes", "x.format", "x.meaning")
+
+
 @query(r"""WITH c AS (SELECT p_partkey, string_split(p_brand || ' ' || CASE p_size % 4 WHEN 0 THEN '*' WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN split_part(p_type, ' ', 1) ELSE '(' || p_size END || ' ' || CASE WHEN p_partkey % 5 = 0 THEN 'A' ELSE (p_partkey % 90)::VARCHAR END || ' N', ' ') AS t FROM part)
 SELECT p_partkey, t[1] AS name FROM c WHERE regexp_matches(t[1], '^[A-Za-z@#$][A-Za-z0-9@#$_-]*(:[A-Za-z@#$][A-Za-z0-9@#$_-]*)?$') AND regexp_matches(t[3], '^[+-]?[0-9]+(\.[0-9]+)?$')
 AND (t[2] = '*' OR regexp_matches(t[2], '^[+-]?[0-9]+(\.[0-9]+)?$') OR regexp_matches(t[2], '^[A-Za-z@#$][A-Za-z0-9@#$_-]*(:[A-Za-z@#$][A-Za-z0-9@#$_-]*)?$'))""")

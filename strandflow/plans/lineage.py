@@ -38,6 +38,12 @@ class Lineage:
     def fields(self) -> DataFrame:
         return materialize(self._table("field"), "fields")
 
+    @cached_property
+    def described(self) -> DataFrame:
+        """(program_id, key, field): every field as a reader wants it."""
+        c = F.col
+        return self.fields.select("program_id", "key", T.field_descriptor(c("name"), c("owner"), c("storage"), c("start"), c("stop"), c("length"), c("fmt"), c("decimals")).alias("field"))
+
     @cached_property
     def statements(self) -> DataFrame:
         """Every statement with its parts by role: what it writes, reads and tests, as tokens in order."""
