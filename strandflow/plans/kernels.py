@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import edges, flow, layout, lexing, manifest, resolve
+from ..operators import edges, flow, layout, lexing, manifest, records, resolve
 from ..sources.tables import materialize, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,3 +538,63 @@ def dependents_three_way(spark, d):
 def golden_digest(spark, d):
     text = F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", F.col("c_nationkey").cast("string"), "c_mktsegment")
     return read_table(spark, d, "customer").select("c_custkey", F.sha2(text, 256).alias("digest"))
+
+
+# ---------------------------------------------------------------- what programs do to records (an extension)
+
+
+@query("""SELECT l_returnflag, l_linestatus, (2 - bit_count(grouping(l_returnflag, l_linestatus)::INT))::INT AS level, count(*)::BIGINT AS tally, sum(l_quantity::BIGINT)::BIGINT AS quantity, sum(l_linenumber)::BIGINT AS number
+FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+def report_rollup(spark, d):
+    rows = read_table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").alias("quantity"), F.col("l_linenumber").cast("long").alias("number"))
+    return records.report(rows, ["l_returnflag", "l_linestatus"], ["quantity", "number"])
+
+
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey)::INT AS place FROM orders QUALIFY place <= 1000")
+def sort_keys(spark, d):
+    first = records.sorted_records(read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), [("o_orderpriority", False), ("o_totalprice", True), ("o_orderkey", False)]).limit(1000)
+    w = Window.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey")  # over the thousand first only
+    return first.select("o_orderkey", "o_orderpriority", F.row_number().over(w).alias("place"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, count(*)::BIGINT AS n FROM orders WHERE o_custkey % 3 > 0 GROUP BY 1), b AS (SELECT c_custkey AS k, c_mktsegment AS segment FROM customer WHERE c_custkey % 2 = 0)
+SELECT k, a.n AS orders_n, coalesce(a.n > 0, FALSE) AS in_orders, segment AS customers_segment, segment IS NOT NULL AS in_customers FROM a FULL JOIN b USING (k)""")
+def match_merge(spark, d):
+    a = read_table(spark, d, "orders").where("o_custkey % 3 > 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    b = read_table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"))
+    return records.matched({"orders": a, "customers": b}, ["k"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_retailprice > 1500 THEN 'dear' ELSE 'plain' END AS grade, CASE WHEN p_size > 40 THEN p_size * 2 END AS room FROM part")
+def case_assign(spark, d):
+    size = F.col("p_size")
+    return read_table(spark, d, "part").select(
+        "p_partkey", records.chosen([(size < 10, F.lit("small")), (F.col("p_retailprice") > 1500, F.lit("dear"))], F.lit("plain")).alias("grade"), records.chosen([(size > 40, size * 2)]).alias("room")
+    )
+
+
+@query("SELECT o_orderkey, c_mktsegment, c_custkey IS NOT NULL AS found FROM orders LEFT JOIN (SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
+def point_get(spark, d):
+    file = read_table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+    return records.positioned(read_table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k")), file, ["k"]).select("o_orderkey", "c_mktsegment", "found")
+
+
+@query("""WITH ch AS (SELECT o_custkey AS c_custkey, 'NEW' || o_orderpriority AS c_mktsegment, CASE o_orderkey % 3 WHEN 0 THEN 'ADD' WHEN 1 THEN 'UPDATE' ELSE 'DELETE' END AS operation FROM orders WHERE o_orderkey % 7 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
+SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM ch) UNION ALL SELECT c_custkey, c_mktsegment FROM ch WHERE operation <> 'DELETE'""")
+def write_file(spark, d):
+    key = F.col("o_orderkey")
+    changes = read_table(spark, d, "orders").where("o_orderkey % 7 = 0").select(
+        F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("NEW"), "o_orderpriority").alias("c_mktsegment"), records.chosen([(key % 3 == 0, F.lit("ADD")), (key % 3 == 1, F.lit("UPDATE"))], F.lit("DELETE")).alias("operation"), key.alias("ord")
+    )
+    return records.written(read_table(spark, d, "customer").select("c_custkey", "c_mktsegment"), changes, ["c_custkey"])
+
+
+@query("SELECT count(*)::BIGINT AS seen, sum((o_orderstatus = 'F')::INT)::BIGINT AS closed FROM orders")
+def accumulators(spark, d):
+    return records.accumulated(read_table(spark, d, "orders"), {"seen": F.lit(1), "closed": (F.col("o_orderstatus") == "F").cast("int")})
+
+
+@query("SELECT c_custkey, c_name AS name, c_nationkey::VARCHAR AS nation, NULL::VARCHAR AS remark FROM customer")
+def move_like(spark, d):
+    source = records.copied_layout(read_table(spark, d, "customer").withColumn("nation", F.col("c_nationkey").cast("string")), {"c_name": "name"})
+    return records.moved_like(source, ["c_custkey", "name", "nation", "remark"]).withColumn("remark", F.col("remark").cast("string"))
