@@ -106,9 +106,10 @@ def _filtered(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     at = F.pmod(F.xxhash64(key), F.lit(bits))
     page, slot, place = F.shiftright(at, 15), F.shiftright(at, 6).bitwiseAND(_PAGE - 1).cast("int"), at.bitwiseAND(63)
     one = F.lit(1).cast("long")
-    words = keys.select(page.alias("_page"), slot.alias("_slot"), place.alias("_place")).groupBy("_page", "_slot").agg(F.bit_or(shifted("shiftleft", one, F.col("_place"))).alias("_word"))
-    held = words.groupBy("_page").agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_word"))).alias("_held"))
-    pages = held.select("_page", F.transform(F.sequence(F.lit(0), F.lit(_PAGE - 1)), lambda i: F.coalesce(F.col("_held")[i], F.lit(0).cast("long"))).alias("_bits"))
+    # Every word of the bitmap has a row, most of them zero, so that a page is its words in order.
+    words = keys.select(F.shiftright(at, 6).alias("_at"), place.alias("_place")).select("_at", shifted("shiftleft", one, F.col("_place")).alias("_word"))
+    words = words.unionAll(keys.sparkSession.range(bits // 64).select("id", F.lit(0).cast("long"))).groupBy("_at").agg(F.bit_or("_word").alias("_word"))
+    pages = words.groupBy(F.shiftright("_at", 9).alias("_page")).agg(F.array_sort(F.collect_list(F.struct("_at", "_word")))["_word"].alias("_bits"))
     hit = F.coalesce(shifted("shiftright", F.get("_bits", slot), place).bitwiseAND(one) != 0, F.lit(False))
     return rows.withColumn("_page", page).join(F.broadcast(pages), "_page", "left").withColumn("_hit", hit).drop("_page", "_bits")
 
@@ -209,8 +210,9 @@ def _shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     total = np.full(n, np.uint64(width))
     with np.errstate(over="ignore"):
         for j in range(width):
-            total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n])
-    return total & MASK63
+            total *= np.uint64(0x9E3779B97F4A7C15)
+            total += hashes[j : j + n]
+    return mix64(total) & MASK63
 
 
 def shingle_sets(texts: list[bytes | None], width: int = 5) -> list[np.ndarray]:

@@ -21,7 +21,8 @@ the others are never shuffled.
 
 Nulls and empty texts have the empty set: linked with nothing, each its own component. Rows that repeat a
 doc_id are rows of their own, in one component if their texts match. A null doc_id takes part; the
-component_id is the least non-null doc_id in its component, or null.
+component_id is the least non-null doc_id in its component, or null. Of rows that tie in doc_id, the one read first is the first. Texts of any length are
+hashed whole. With keep_rows, the whole row travels as _row, so its columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations

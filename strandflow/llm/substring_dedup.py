@@ -3,20 +3,23 @@
 Passages are pasted into the middle of other text, so line breaks alone don't bound them. The units compared are
 paragraphs in a narrow sense: lines cut at sentence ends. Sentences of more than LONG words, and runs of sentences under MIN_WORDS words
 taken together, are cut after words whose hash is 0 modulo CUT (the same words are cut alike wherever they stand). Units under
-MIN_WORDS words are not compared.
+MIN_WORDS words are not compared by bands; an exact repeat that they belong to is found by step 5.
 
-1. Equal units (words, A-Z in lower case) form one class each, by a 64-bit hash.
-2. MinHash bands over five-word shingles, as many as RECALL at similarity 0.75 asks for (single-row bands: 4). Units that collide in a band meet in blocks of bounded size; exact Jaccard similarity
-   of at least 0.75 confirms; each block hands on a spanning forest of its links, so a hot band never makes all its pairs.
+1. Documents of the same words as one before them (least doc_id, row) go as a whole. Equal units (words, A-Z in lower case) form one class each, by a 63-bit hash.
+2. MinHash bands over five-word shingles, as many as RECALL at similarity 0.75 asks for (single-row bands: 4). Units that collide in a band meet in blocks of
+   bounded size; exact Jaccard similarity of at least 0.75 confirms; each block hands on a spanning forest of its links, so a hot band never makes all its pairs.
 3. Components over classes. The document of each one's first unit (least doc_id, row) keeps its units, those of other documents are
-   removable; what one document alone repeats stays.
+   removable; what one document alone repeats stays, since it is no duplicate across documents.
 4. Neighbouring removable units of a document make a run.
 5. Units depend on the sentences around a passage, so exact repeats are also found without them: of every SEED_WINDOW neighbouring
    sequences of SEED words the one of least hash is a seed, so that any SEED + SEED_WINDOW - 1 (51) words that two documents
    share hold a common one. A seed is compared with its first document and with the one before, word by word to both sides.
 6. Runs of units and shared stretches that overlap or touch are one run; runs of at least RUN_WORDS words are removed.
 
-One row per removed run. Null and empty texts have no units. Rows that repeat a doc_id are documents of their own.
+One row per removed run. Texts, units and seeds that nothing else shares are never shuffled: bounded key filters pick the others.
+
+Null and empty texts have no units. Rows that repeat a doc_id are documents of their own; ties between them go by row, and a null doc_id comes last. Texts of any
+length are compared whole. Further columns, whatever their names, are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ SEED, SEED_WINDOW = 16, 36
 RECALL = 0.995
 BLOCK = 512
 #: Documents in a group of those that hold a very frequent seed.
-CROWD = 4096
+CROWD = 512
 
 
 def bands(recall: float = RECALL, similarity: float = NUMERATOR / DENOMINATOR, rows: int = 1) -> int:
@@ -91,7 +94,9 @@ def _min_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, n: int)
     whole = np.zeros(size, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(WIDTH):
-            whole = mix64(whole * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + size])
+            whole *= np.uint64(0x9E3779B97F4A7C15)
+            whole += hashes[j : j + size]
+        whole = mix64(whole)
         # Every other segment is a unit's shingles; the ones between are looked at and left out.
         bounds = np.stack([first, last - WIDTH + 2], axis=1).ravel()
         bounds = bounds[:-1] if bounds[-1] >= size else bounds
@@ -119,7 +124,8 @@ def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     whole = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(SEED):
-            whole = whole * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
+            whole *= np.uint64(0x9E3779B97F4A7C15)
+            whole += hashes[j : j + n]
     whole = mix64(whole)
     # The place in the low bits tells equal values apart and says where a window's least one stands.
     low, mask = whole & np.uint64(0xFFFFFFFFFFF00000) | np.arange(n, dtype=np.uint64) & np.uint64(0xFFFFF), 0xFFFFF
@@ -132,58 +138,54 @@ def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (whole[at] >> np.uint64(1)).astype(np.int64)
 
 
-_UNIT_FIELDS = "_rid long, _id long, _key long, whole binary, unit int, start int, end int, first_word int, last_word int, text_hash long, bands array<long>, text string"
-_UNIT_KINDS = {
-    "_rid": pa.int64(), "_id": pa.int64(), "_key": pa.int64(), "whole": pa.binary(), "unit": pa.int32(), "start": pa.int32(), "end": pa.int32(), "first_word": pa.int32(), "last_word": pa.int32(),
-    "text_hash": pa.int64(), "bands": pa.list_(pa.int64()), "text": pa.string(),
+#: One row for each document with words: its span, a 128-bit hash of all words, its units, the texts and bands of those that its task saw first, and its seeds.
+_UNIT_FIELDS = (
+    "_rid long, _id long, _key long, whole binary, start int, end int, last_word int, unit_start array<int>, unit_end array<int>, unit_first array<int>, unit_last array<int>, unit_hash array<long>, "
+    "new_hash array<long>, texts array<string>, bands array<long>, seed_at array<int>, seed_hash array<long>"
+)
+_LISTS = {
+    "unit_start": pa.int32(), "unit_end": pa.int32(), "unit_first": pa.int32(), "unit_last": pa.int32(), "unit_hash": pa.int64(), "new_hash": pa.int64(), "texts": pa.string(), "bands": pa.int64(),
+    "seed_at": pa.int32(), "seed_hash": pa.int64(),
 }
 
 
-def _rows_of(n: int, **columns) -> pa.RecordBatch:
-    """A batch of n rows with all fields; those not given are null."""
-    made = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in _UNIT_KINDS.items()]
-    return pa.RecordBatch.from_arrays(made, names=list(_UNIT_KINDS))
+def _listed(parts: list, kind) -> pa.Array:
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32())
+    if kind == pa.string():
+        flat = pa.array([x for own in parts for x in own], kind)
+    else:
+        flat = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)).cast(kind)
+    return pa.ListArray.from_arrays(offsets, flat)
 
 
 def _unit_batches(batches):
-    """Three sorts of rows: documents (with whole: a 128-bit hash of all words), units (with unit), and seeds (with text_hash alone)."""
     from xxhash import xxh3_128_digest
 
     most, seen = bands(), set()
     for batch in batches:
-        docs: dict[str, list] = {c: [] for c in ("_rid", "_id", "_key", "whole", "start", "end", "last_word")}
-        out: dict[str, list] = {c: [] for c in ("_rid", "unit", "start", "end", "first_word", "last_word", "text_hash", "bands", "text")}
-        holders, found = [], []
+        heads: dict[str, list] = {c: [] for c in ("_rid", "_id", "_key", "whole", "start", "end", "last_word")}
+        lists: dict[str, list] = {c: [] for c in _LISTS}
         for rid, doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("_rid", "_id", "_key", "_text"))):
             if not text or text.isspace():
                 continue
             first, last, start, end, hashes, span = units(text)
-            for col, x in zip(docs.values(), (rid, doc, key, xxh3_128_digest(hashes.tobytes()), *span, len(hashes) - 1)):
+            for col, x in zip(heads.values(), (rid, doc, key, xxh3_128_digest(hashes.tobytes()), *span, len(hashes) - 1)):
                 col.append(x)
-            found.append(seeds(hashes))
-            holders.append(np.full(len(found[-1][0]), rid))
-            if not len(first):
-                continue
-            texts = _text_hashes(hashes, first, last).tolist()
-            keys = _min_hashes(hashes, first, last, most).tolist()
-            shown, shown_text = [], []
-            spans = list(zip(start.tolist(), end.tolist()))
-            for h, own, (x, y) in zip(texts, keys, spans):
-                # A text that this task has banded already needs no more.
-                new = h not in seen
-                shown.append(own if new else [])
-                shown_text.append(text[x:y] if new else None)
-                seen.add(h)
+            whole = _text_hashes(hashes, first, last) if len(first) else np.empty(0, np.int64)
+            # A text that this task has banded already needs no more.
+            new = []
+            for i, h in enumerate(whole.tolist()):
+                if h not in seen:
+                    seen.add(h)
+                    new.append(i)
             if len(seen) > 500_000:
                 seen.clear()
-            row = ([rid] * len(first), range(len(first)), start.tolist(), end.tolist(), first.tolist(), last.tolist(), texts, shown, shown_text)
-            for col, x in zip(out.values(), row):
-                col.extend(x)
-        yield _rows_of(len(docs["_rid"]), **docs)
-        yield _rows_of(len(out["_rid"]), **out)
-        if found:
-            whose = np.concatenate(holders)
-            yield _rows_of(len(whose), _rid=pa.array(whose), first_word=pa.array(np.concatenate([at for at, _ in found]), pa.int32()), text_hash=pa.array(np.concatenate([h for _, h in found])))
+            own = _min_hashes(hashes, first[new], last[new], most).ravel() if new else np.empty(0, np.int64)
+            texts = [text[x:y] for x, y in zip(start[new].tolist(), end[new].tolist())]
+            for col, x in zip(lists.values(), (start, end, first, last, whole, whole[new], texts, own, *seeds(hashes))):
+                col.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([*(pa.array(col, kind) for col, kind in zip(heads.values(), kinds)), *(_listed(lists[c], kind) for c, kind in _LISTS.items())], names=[*heads, *lists])
 
 
 class _Words:
@@ -229,30 +231,35 @@ def _stretch_batches(batches):
     """The stretches of at least SEED words in which a slice equals the other document, word by word."""
     words = _Words()
     for batch in batches:
-        whose, cols = [], ([], [], [], [])
-        slices = [x.encode("utf-8", "replace") for x in batch.column("slice").to_pylist()]
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("other_key", "apart", "first", "offset", "_text"))))
+        key, apart, first, offset, text, own = (batch.column(c).to_pylist() for c in ("other_key", "apart", "first", "offset", "_text", "slice"))
+        # A line that repeats brings the same slice against the same place again and again.
+        distinct: dict[tuple, int] = {}
+        which = [distinct.setdefault((k, f - x, t), len(distinct)) for k, f, x, t in zip(key, first, apart, own)]
+        texts = dict(zip(key, text))
+        slices = [t.encode("utf-8", "replace") for _, _, t in distinct]
+        asked = list(distinct)
+        runs: list[list] = []
         for begin, end in together(slices):
             codes, starts, ends, hashes, counts = words_of(slices[begin:end])
             place = _code_points(codes)
             base = place[np.cumsum([0, *(len(x) + 1 for x in slices[begin : end - 1])])].tolist()
             starts, ends = place[starts], place[ends]
             at = 0
-            for i, n, zero in zip(range(begin, end), counts.tolist(), base):
-                key, apart, first, offset, text = rows[i]
-                other = words(key, text)[2]
-                shift = first - apart
+            for (other_key, shift, _), n, zero in zip(asked[begin:end], counts.tolist(), base):
+                other = words(other_key, texts[other_key])[2]
                 low, high = max(0, -shift), min(n, len(other) - shift)
                 equal = np.zeros(n + 2, dtype=bool)
                 if low < high:
                     equal[low + 1 : high + 1] = hashes[at + low : at + high] == other[shift + low : shift + high]
                 turns = np.flatnonzero(equal[1:] != equal[:-1]).tolist()
-                for a, b in zip(turns[::2], turns[1::2]):
-                    if b - a >= SEED:
-                        whose.append(i)
-                        for col, x in zip(cols, (first + a, first + b - 1, offset + int(starts[at + a]) - zero, offset + int(ends[at + b - 1]) - zero)):
-                            col.append(x)
+                runs.append([(x, y - 1, int(starts[at + x]) - zero, int(ends[at + y - 1]) - zero) for x, y in zip(turns[::2], turns[1::2]) if y - x >= SEED])
                 at += n
+        whose, cols = [], ([], [], [], [])
+        for i, (u, f, o) in enumerate(zip(which, first, offset)):
+            for x, y, start, end in runs[u]:
+                whose.append(i)
+                for col, v in zip(cols, (f + x, f + y, o + start, o + end)):
+                    col.append(v)
         kept = ("_rid", "_id", "other_id", "other_rid", "text_hash")
         taken = pa.array(whose, pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -413,18 +420,20 @@ def _merged(pieces: DataFrame) -> DataFrame:
 
 def _unit_runs(written: DataFrame, docs: DataFrame, copies: DataFrame) -> DataFrame:
     """Runs of neighbouring units whose component has its first unit in another document."""
-    table = written.where("unit is not null")
-    postings = table.select("text_hash", F.explode("bands").alias("key"))
+    postings = written.select("new_hash", F.posexplode("bands").alias("at", "key")).select("key", F.get("new_hash", F.floor(F.col("at") / bands()).cast("int")).alias("text_hash"))
     crowded = materialize(postings.groupBy("key").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo < hi").select("key"), "crowded")
     colliding = materialize(only_keys(postings, "key", crowded).select("key", "text_hash").distinct(), "colliding")
     banded = materialize(colliding.select("text_hash").distinct(), "banded")
-    texts = materialize(only_keys(table.where("text is not null").select("text_hash", "text"), "text_hash", banded).groupBy("text_hash").agg(F.min("text").alias("text")), "texts")
+    shown = written.select("texts", F.posexplode("new_hash").alias("at", "text_hash")).select("text_hash", F.get("texts", F.col("at")).alias("text"))
+    texts = materialize(only_keys(shown, "text_hash", banded).groupBy("text_hash").agg(F.min("text").alias("text")), "texts")
     links = materialize(_links(colliding, texts), "links")
     for done in (crowded, colliding, texts, banded):
         release(done)
     components = materialize(connected_components(links), "components")
     # A document of the same words as one before goes as a whole; its units have no part in what follows.
-    own = without_keys(table.select("_rid", "unit", "start", "end", "first_word", "last_word", "text_hash"), "_rid", copies.select("_rid"))
+    parts = {"start": "unit_start", "end": "unit_end", "first_word": "unit_first", "last_word": "unit_last"}
+    own = without_keys(written.select("_rid", *parts.values(), "unit_hash"), "_rid", copies.select("_rid")).select("_rid", *parts.values(), F.posexplode("unit_hash").alias("unit", "text_hash"))
+    own = own.select("_rid", "unit", "text_hash", *[F.get(x, F.col("unit")).alias(c) for c, x in parts.items()])
     repeated = own.groupBy("text_hash").agg(F.count("*").alias("n")).where("n > 1").select("text_hash")
     wanted = materialize(repeated.unionAll(components.select(F.col("node").alias("text_hash"))).distinct(), "wanted")
     some = only_keys(own, "text_hash", wanted).join(docs.select("_rid", "_id"), "_rid")
@@ -444,9 +453,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Unlike a row number, the key is the same in every scan.
     rows = docs.select(own[0].alias("_id"), own[1].alias("_text"), F.xxhash64(*own).alias("_key"))
     written = materialize(rows.withColumn("_rid", F.monotonically_increasing_id()).mapInArrow(_unit_batches, _UNIT_FIELDS), "units")
-    table = materialize(written.where("whole is not null").select("_rid", "_id", "_key", "whole", "start", "end", "last_word"), "docs")
+    table = written.select("_rid", "_id", "_key", "whole", "start", "end", "last_word")
     copies = _copies(table)
-    marks = without_keys(written.where("unit is null and text_hash is not null").select("text_hash", "_rid", "first_word"), "_rid", copies.select("_rid"))
+    marks = without_keys(written.select("_rid", "seed_at", "seed_hash"), "_rid", copies.select("_rid")).select("_rid", "seed_at", F.posexplode("seed_hash").alias("at", "text_hash"))
+    marks = marks.select("text_hash", "_rid", F.get("seed_at", F.col("at")).alias("first_word"))
     stretches = copies.unionAll(_stretches(rows, table, marks))
     runs = _unit_runs(written, table, copies)
     alike = stretches.select(
