@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ship
 
-SAMPLE, PART_ROWS, LEAST_PARTS, HIDDEN, STEPS, NEIGHBOURS = 8192, 1024, 16, 64, 400, 20
+SAMPLE, PART_ROWS, LEAST_PARTS, HIDDEN, STEPS, NEIGHBOURS = 8192, 4096, 16, 64, 400, 20
 #: Every HELD-th row of the sample is held back from the classifier, to count the parts that a query visits.
 TARGET, HELD = 0.93, 4
 BLOCK, QUERY_BLOCK = 8192, 4096
