@@ -13,7 +13,7 @@ from .frontend.lines import MARGIN
 from .functions import text as text_functions
 from .operators import lexing, manifest
 from .plans.binding import bind_files, dependents_of, provides
-from .plans.lineage import Lineage
+from .plans.lineage import Lineage, described_field
 from .sources.bindings import JobDocuments
 
 VIEW_VERSION = 3
@@ -132,7 +132,7 @@ def lineage_view(analysis: Analysis, program_id: str) -> dict:
     """One program's lineage as a nested document; a single program is small, so this is the one place where rows come to the driver."""
     lin, at = analysis.lineage, lambda df: view_rows(df, program_id)
     return {
-        "formatVersion": VIEW_VERSION, "program": program_id, "files": at(lin._table("file").join(lin.file_io, ["program_id", "file"]).orderBy("file")), "fields": at(lin.fields.join(lin.described, ["program_id", "key"]).orderBy("ord")), "workingStorage": at(lin.fields.where("owner is null").orderBy("ord")),
+        "formatVersion": VIEW_VERSION, "program": program_id, "files": at(lin._table("file").join(lin.file_io, ["program_id", "file"]).orderBy("file")), "fields": at(lin.fields.withColumn("field", described_field()).orderBy("ord")), "workingStorage": at(lin.fields.where("owner is null").orderBy("ord")),
         "activities": at(lin.activities.orderBy("ord")), "fieldLineage": at(lin.edges.orderBy("edge_ord")), "fieldFlow": at(lin.field_flow.join(lin.described.withColumnRenamed("key", "sink"), ["program_id", "sink"], "left").orderBy("sink")), "fileFlow": at(lin.file_flow.orderBy("from_file", "to_file")),
         "fileAccess": at(lin.access.orderBy("at").drop("at")), "reports": at(lin._table("report").orderBy("ord")), "calls": at(lin.calls.orderBy("st")), "sql": at(lin.sql.orderBy("st")),
         "unresolved": at(lin.unresolved.orderBy("st", "pos")), "flags": at(lin.flags.orderBy("place").drop("place")),

@@ -25,6 +25,11 @@ def _strings(*cols) -> Column:
     return F.array(*cols).cast("array<string>")
 
 
+def described_field() -> Column:
+    """A row of fields as a reader wants it."""
+    return T.field_descriptor(*[F.col(c) for c in ("name", "owner", "storage", "start", "stop", "length", "fmt", "decimals")])
+
+
 class Lineage:
     """All tables are lazy; those that several others use are written once."""
 
@@ -40,9 +45,8 @@ class Lineage:
 
     @cached_property
     def described(self) -> DataFrame:
-        """(program_id, key, field): every field as a reader wants it."""
-        c = F.col
-        return self.fields.select("program_id", "key", T.field_descriptor(c("name"), c("owner"), c("storage"), c("start"), c("stop"), c("length"), c("fmt"), c("decimals")).alias("field"))
+        """(program_id, key, field): every key's field (the first one of several) as a reader wants it."""
+        return self.fields.groupBy("program_id", "key").agg(F.min_by(described_field(), "ord").alias("field"))
 
     @cached_property
     def statements(self) -> DataFrame:
