@@ -114,9 +114,14 @@ def _filtered(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return rows.withColumn("_page", page).join(F.broadcast(pages), "_page", "left").withColumn("_hit", hit).drop("_page", "_bits")
 
 
+def likely_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among the (distinct) keys of the one-column table `keys`, and a few more; nothing is shuffled."""
+    return _filtered(rows, key, keys).where("_hit").drop("_hit")
+
+
 def only_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows whose key is among the (distinct) keys of the one-column table `keys`. Rows that the key filter excludes are not shuffled."""
-    return _filtered(rows, key, keys).where("_hit").drop("_hit").join(keys, key, "left_semi")
+    return likely_keys(rows, key, keys).join(keys, key, "left_semi")
 
 
 def without_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:

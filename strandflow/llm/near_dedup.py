@@ -11,7 +11,7 @@ k smallest hashes. The steps:
 3. By the same argument one of the HEADS = 15 smallest values of a union is a shared one (0.25 ** 15 is under MISS), so the lists of
    each document's 15 smallest values hold all pairs. In every list, members meet a leader (a few rounds with other
    leaders follow where a list still holds several components). Then what a list still holds from different components meets in
-   blocks of bounded size, so that no link is lost, whatever the length of a list.
+   blocks of bounded size, so that no link is lost, whatever the length of a list. What shares an earlier long list meets there only.
 4. The union sketch estimates the similarity and drops pairs that are far below the threshold; the rest is
    confirmed on full sets, streamed by leader, in salted groups.
 5. Connected components of the confirmed links.
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only_keys, release, shingle_sets, ship, without_keys
+from .common import likely_keys, materialize, only_keys, release, shingle_sets, ship, without_keys
 from .components import connected_components
 
 K = 64
@@ -337,20 +337,52 @@ def _open_lists(postings: DataFrame, turn: int) -> DataFrame:
     return materialize(found.select("v", "m", F.col("lead._rid").alias("lead"), F.col("lead.comp").alias("lead_comp")), "lists")
 
 
-def _rest_in_blocks(state: DataFrame, table: DataFrame) -> DataFrame:
-    """Links (a, b, n_shared, n_union) that join components, from all lists that still hold several, in bounded blocks.
+def _dealt(state: DataFrame) -> DataFrame:
+    """(v, _rid, own, partners): the open lists' members, the block that each is in, and how many blocks, from 0 on, it meets (its own among them, if it meets that).
 
-    Sketches meet first; texts follow only for documents with candidates, once for each block, however many partners they have there.
+    In a list v that needs several blocks, two members have nothing to find if they are of one component, or if they share a value before v, in whose list they
+    meet. So each has a label: its first value in a long list if that comes before v, else its component. Members of the commonest label, who are
+    in the last blocks, meet only the others, who are in the first ones and meet all.
     """
-    rows = state.select(F.explode("heads").alias("v"), "_rid", "comp", "n_shingles", "sketch")
-    lists = _open_lists(rows.select("v", "_rid", "comp"), 0)
-    rows = rows.join(lists.select("v", "m"), "v")
-    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("_rid"), F.col("blocks")).cast("int"))
-    meets = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    rows = state.select(F.explode("heads").alias("v"), "_rid", "comp")
+    lists = _open_lists(rows, 0)
+    held = materialize(rows.join(lists.select("v", "m"), "v"), "open")
+    release(lists)
+    short = held.where(F.col("m") <= BLOCK).select("v", "_rid", F.lit(0).alias("own"), F.lit(1).alias("partners"))
+    long = held.where(F.col("m") > BLOCK)
+    label = F.when(F.col("s") < F.col("v"), -1 - F.col("s")).otherwise(F.col("comp"))  # values and components are not negative
+    labelled = materialize(long.join(long.groupBy("_rid").agg(F.min("v").alias("s")), "_rid").select("v", "_rid", "m", label.alias("label")), "labels")
+    tally = labelled.groupBy("v", "label").agg(F.count("*").alias("c")).groupBy("v").agg(F.max("c").alias("most"), F.max(F.struct("c", "label"))["label"].alias("common"))
+    placed = labelled.join(materialize(tally, "tally"), "v")
+    others = F.col("m") - F.col("most")
+
+    def blocks(n):
+        return F.ceil(n / BLOCK).cast("int")
+
+    apart = F.col("most") * blocks(others) + others * (blocks(others) + blocks(F.col("most"))) < F.col("m") * blocks(F.col("m"))
+    placed = placed.withColumns({"first": F.when(apart, blocks(others)).otherwise(blocks(F.col("m"))), "last": F.when(apart, blocks(F.col("most"))).otherwise(0), "late": apart & (F.col("label") == F.col("common"))})
+    turn = F.xxhash64("_rid")
+    own = F.when(F.col("late"), F.col("first") + F.pmod(turn, F.greatest("last", F.lit(1)))).otherwise(F.pmod(turn, F.greatest("first", F.lit(1)))).cast("int")
+    met = F.when(F.col("late"), F.col("first")).otherwise(F.col("first") + F.col("last")).cast("int")
+    return short.unionAll(placed.select("v", "_rid", own.alias("own"), met.alias("partners")).where("partners > 0"))
+
+
+def _meetings(state: DataFrame) -> DataFrame:
+    """(v, i, j, side, _rid, comp, n_shingles, sketch): every member of an open list, once for each pair of blocks that it has a part in."""
+    # Only members of open lists take their sketches along.
+    rows = materialize(_dealt(state), "dealt").join(state.select("_rid", "comp", "n_shingles", "sketch"), "_rid")
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("partners") - 1))).select(
         "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
         "_rid", "comp", "n_shingles", "sketch",
     )
-    dealt = meets.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
+
+
+def _rest_in_blocks(state: DataFrame, table: DataFrame) -> DataFrame:
+    """Links (a, b, n_shared, n_union) that join components, from all lists that still hold several, in bounded blocks.
+
+    Sketches meet first; texts follow only for documents with candidates, once for each block, however many partners they have there.
+    """
+    dealt = _meetings(state).repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
     found = materialize(dealt.mapInArrow(_block_batches, "v long, i int, j int, _rid long, partners array<long>"), "rest")
     with_text = found.join(table.select("_rid", "_body"), "_rid").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "_rid")
     return with_text.mapInArrow(_confirm_batches, "a long, b long, n_shared long, n_union long")
@@ -369,7 +401,8 @@ def link_documents(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = without_keys(table.where("n_shingles > 0").select("_rid", "n_shingles", "sketch"), "_rid", copies.select("_rid"))
     lists = materialize(_with_lists(reps), "heads")
     # From here on only documents with a possible partner count: their texts are set apart once, so that no later join moves all texts.
-    table = materialize(only_keys(table.select("_rid", "_body"), "_rid", lists.select("_rid")), "texts")
+    # A text that the key filter lets through besides them meets nothing, so no exact join moves them all.
+    table = materialize(likely_keys(table.select("_rid", "_body"), "_rid", lists.select("_rid")), "texts")
     spark = table.sparkSession
     links = spark.createDataFrame([], "a long, b long, n_shared long, n_union long")
     components = spark.createDataFrame([], "node long, component long")

@@ -48,6 +48,36 @@ def test_equals_brute_force_on_a_hard_group(spark, monkeypatch):
     assert result(near_duplicates(frame(spark, rows))) == brute(rows)
 
 
+def test_members_of_long_lists_meet_once_and_copies_of_a_list_cost_nothing(spark, monkeypatch):
+    """Every pair from different components meets in the list of its least shared value; lists of the same members are dealt out once."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rng = random.Random(3)
+    schema = "_rid long, n_shingles long, sketch array<long>, heads array<long>, comp long"
+
+    def dealt(heads, comp):
+        rows = [(i, 100, sorted(h), sorted(h), c) for i, (h, c) in enumerate(zip(heads, comp))]
+        return near_dedup._meetings(spark.createDataFrame(rows, schema)).collect()
+
+    same = dealt([list(range(15))] * 60, range(60))
+    assert {r["v"] for r in same} == {0} and len(same) == 60 * 9  # before: 15 times as many
+    heads = [[v for v in range(15) if rng.random() < 0.85] + [100 + i // 5] for i in range(80)]
+    comp = [0 if rng.random() < 0.5 else i for i in range(80)]
+    rows = dealt(heads, comp)
+    blocks = {}
+    for r in rows:
+        blocks.setdefault((r["v"], r["i"], r["j"]), []).append((r["side"], r["_rid"]))
+    met = set()
+    for (v, i, j), members in blocks.items():
+        assert len(members) == len(set(members)) and all(side == 0 for side, _ in members) or i < j
+        met |= {(v, *sorted((a, b))) for x, a in members for y, b in members if a != b and (x != y if i < j else True)}
+    for a in range(80):
+        for b in range(a + 1, 80):
+            shared = set(heads[a]) & set(heads[b])
+            assert comp[a] == comp[b] or not shared or (min(shared), a, b) in met
+    lists = [[i for i in range(80) if v in heads[i]] for v in range(15)]
+    assert len(rows) < sum(len(x) * -(-len(x) // 7) for x in lists) / 1.5
+
+
 def test_empty_table(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
