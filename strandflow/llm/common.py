@@ -58,20 +58,24 @@ def drop_table(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, batch_bytes: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files are removed when the application ends.
+    The files are removed when the application ends. batch_bytes: where Arrow batches end meanwhile, if not at Spark's own limit; a longer row is one alone.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
-    spark.conf.set(rows, str(BATCH_ROWS))  # long texts: fewer rows at once in a Python worker
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}  # long texts: fewer rows at once in a Python worker
+    if batch_bytes:
+        limits["spark.sql.execution.arrow.maxBytesPerBatch"] = batch_bytes
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, str(v))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(rows, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     for paths in _recorders:
         paths.append(path)
     p, fs = _filesystem(spark, path)

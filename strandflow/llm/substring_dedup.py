@@ -42,6 +42,8 @@ RECALL = 0.995
 BLOCK = 512
 #: Documents in a group of those that hold a very frequent seed.
 CROWD = 512
+#: Bytes of an Arrow batch. Beside every slice stands the other document's whole text, so rows alone don't bound a batch.
+BATCH_BYTES = 8 << 20
 
 
 def bands(recall: float = RECALL, similarity: float = NUMERATOR / DENOMINATOR, rows: int = 1) -> int:
@@ -379,7 +381,7 @@ def _stretches(rows: DataFrame, docs: DataFrame, marks: DataFrame) -> DataFrame:
     asks = F.collect_list(F.struct(*[x.split()[0] for x in _ASK.split(", ")], "low", "high")).alias("asks")
     slices = asked.groupBy("_key").agg(asks).join(texts, "_key").select("asks", "_text").mapInArrow(_slice_batches, f"{_ASK}, first int, offset int, slice string")
     both = slices.join(texts.withColumnRenamed("_key", "other_key"), "other_key")
-    out = materialize(both.mapInArrow(_stretch_batches, _STRETCH), "stretches")
+    out = materialize(both.mapInArrow(_stretch_batches, _STRETCH), "stretches", BATCH_BYTES)
     for table in (held, placed, firsts, asked, keys, texts):
         release(table)
     return out
@@ -426,7 +428,7 @@ def _unit_runs(written: DataFrame, docs: DataFrame, copies: DataFrame) -> DataFr
     banded = materialize(colliding.select("text_hash").distinct(), "banded")
     shown = written.select("texts", F.posexplode("new_hash").alias("at", "text_hash")).select("text_hash", F.get("texts", F.col("at")).alias("text"))
     texts = materialize(only_keys(shown, "text_hash", banded).groupBy("text_hash").agg(F.min("text").alias("text")), "texts")
-    links = materialize(_links(colliding, texts), "links")
+    links = materialize(_links(colliding, texts), "links", BATCH_BYTES)
     for done in (crowded, colliding, texts, banded):
         release(done)
     components = materialize(connected_components(links), "components")
@@ -452,7 +454,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     # Unlike a row number, the key is the same in every scan.
     rows = docs.select(own[0].alias("_id"), own[1].alias("_text"), F.xxhash64(*own).alias("_key"))
-    written = materialize(rows.withColumn("_rid", F.monotonically_increasing_id()).mapInArrow(_unit_batches, _UNIT_FIELDS), "units")
+    written = materialize(rows.withColumn("_rid", F.monotonically_increasing_id()).mapInArrow(_unit_batches, _UNIT_FIELDS), "units", BATCH_BYTES)
     table = written.select("_rid", "_id", "_key", "whole", "start", "end", "last_word")
     copies = _copies(table)
     marks = without_keys(written.select("_rid", "seed_at", "seed_hash"), "_rid", copies.select("_rid")).select("_rid", "seed_at", F.posexplode("seed_hash").alias("at", "text_hash"))

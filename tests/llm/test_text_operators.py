@@ -359,3 +359,28 @@ def test_digest_of_spans(spark, name):
     found = secrets.find_secrets(frame(spark, rows)).select(*_digest(F.col("spans"), ("assign", "access", "hex"))).first()
     want = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base_secrets(rows[0][1]))
     assert found["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and found["n_access"] == 1
+
+
+def test_batches_of_long_texts_stay_small(spark, monkeypatch):
+    """A passage of a long document in many others: the long text, beside each one's slice, fills no batch beyond the limit."""
+    from strandflow.llm import substring_dedup
+
+    rng = random.Random(11)
+    passage = " ".join(words(rng, 60))
+    long = " ".join(words(rng, 20_000)) + " " + passage
+    rows = [(1, long)] + [(2 + i, " ".join(words(rng, 30)) + f" {passage}") for i in range(200)]
+    limit, real = substring_dedup.BATCH_BYTES, substring_dedup._stretch_batches
+
+    def watched(batches):
+        def bounded():
+            for batch in batches:
+                assert batch.nbytes < limit + 2 * len(long)
+                yield batch
+
+        return real(bounded())
+
+    monkeypatch.setattr(substring_dedup, "_stretch_batches", watched)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = repeated_passages(frame(spark, rows).coalesce(1)).collect()
+    assert {r["doc_id"] for r in found} == set(range(2, 202)) and all(r["kept_doc_ids"] == [1] and passage in r["text"] for r in found)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == kept
