@@ -14,7 +14,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import drop_table, materialize, read_table, recorded, release
+from strandflow.llm.common import drop_table, materialize, read_table, recorded, release, tidy
 from strandflow.llm.decontaminate import find_overlaps
 from strandflow.llm.language_id import identify
 from strandflow.llm.near_dedup import first_documents
@@ -31,12 +31,13 @@ _of_stage_before: list[str] = []
 
 
 def _stage(f):
-    """A stage that first removes the intermediate tables of the one before, and remembers its own."""
+    """A stage that first removes the intermediate tables of the one before and what it left in the driver's memory, and remembers its own tables."""
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _of_stage_before:
             drop_table(spark, _of_stage_before.pop())
+        tidy(spark)
         with recorded(_of_stage_before):
             return f(spark, docs, sf_dir)
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import sys
 import tempfile
 import types
 import uuid
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -90,6 +92,30 @@ def release(df: DataFrame) -> None:
     drop_table(df.sparkSession, df.scratch_path)
 
 
+def tidy(spark: SparkSession) -> bool:
+    """Gives back the driver's memory that nothing uses any more; whether native memory was given back too.
+
+    Many queries leave plans behind, compiled classes, and freed native memory that the C library keeps in the arena of each thread. Collecting
+    shrinks the heap, and lets Spark remove shuffles and broadcasts that nothing refers to. Nothing that is still in use changes.
+    """
+    gc.collect()  # plans held by Python first
+    jvm = spark._jvm
+    jvm.System.gc()
+    try:
+        found = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        next(m for m in found if m.getName() == "invoke").invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:  # a JVM without this command
+        return False
+    return True
+
+
+def int_table(values: list[int]) -> Column:
+    """An array<int> column of many numbers as one literal: a literal for each number makes every plan with it large."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
 #: The most bits of a key filter: 16 MB, whatever the number of keys.
 FILTER_BITS = 1 << 27
 #: Words of 64 bits in a page of it.

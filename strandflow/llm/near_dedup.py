@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely_keys, materialize, only_keys, release, shingle_sets, ship, without_keys
+from .common import int_table, likely_keys, materialize, only_keys, release, shingle_sets, ship, tidy, without_keys
 from .components import connected_components
 
 K = 64
@@ -127,8 +127,7 @@ def sample_table(size: int = TABLE) -> list[int]:
 
 def _required(n):
     """Shared retained values that a partner must have at least, for a set of n values."""
-    table = required_table()
-    return F.element_at(F.lit(table), (F.least(n, F.lit(TABLE)) + 1).cast("int"))
+    return F.element_at(int_table(required_table()), (F.least(n, F.lit(TABLE)) + 1).cast("int"))
 
 
 def _with_lists(reps: DataFrame) -> DataFrame:
@@ -159,7 +158,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("union")))
     most = F.floor((F.col("na") + F.col("nb")) * DENOMINATOR / (DENOMINATOR + NUMERATOR))  # the union at the threshold
-    needed = F.element_at(F.lit(sample_table()), (F.least(most, F.lit(TABLE)) + 1).cast("int"))
+    needed = F.element_at(int_table(sample_table()), (F.least(most, F.lit(TABLE)) + 1).cast("int"))
     return joined.withColumn("union", union).where(shared >= F.least(needed, F.ceil(F.size("union") * 0.75))).select("a", "b")
 
 
@@ -407,6 +406,7 @@ def link_documents(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = spark.createDataFrame([], "a long, b long, n_shared long, n_union long")
     components = spark.createDataFrame([], "node long, component long")
     for turn in range(LEADER_ROUNDS):
+        tidy(spark)  # each round has some dozens of queries
         state = _with_components(lists, components)
         postings = state.select(F.explode("heads").alias("v"), "_rid", "comp")
         leaders = _open_lists(postings, turn)
@@ -417,6 +417,7 @@ def link_documents(table: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         links = links.unionAll(found)
         components = materialize(connected_components(links), "components")
+    tidy(spark)
     found = materialize(_rest_in_blocks(_with_components(lists, components), table), "links")
     links = materialize(links.unionAll(found).distinct(), "links")
     release(table)
@@ -427,6 +428,7 @@ def link_documents(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _groups(table: DataFrame) -> DataFrame:
     """(_rid, component_id, first): the rows of every component with more than one row."""
     copies, links = link_documents(table)
+    tidy(table.sparkSession)
     components = materialize(connected_components(links), "components")
     members = copies.unionAll(copies.select(F.col("rep").alias("_rid"), "rep")).unionAll(components.select(F.col("node").alias("_rid"), F.col("node").alias("rep"))).distinct()
     comps = members.join(components, members["rep"] == components["node"], "left").select("_rid", F.coalesce("component", "rep").alias("comp"))
