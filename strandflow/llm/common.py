@@ -87,6 +87,21 @@ def materialize(df: DataFrame, label: str, batch_bytes: int | None = None) -> Da
     return out
 
 
+@contextlib.contextmanager
+def dropping_shuffles(spark: SparkSession):
+    """Whatever runs meanwhile removes its shuffle files when it ends, instead of leaving them until the driver happens to collect its garbage.
+
+    For steps that write what they find: nothing reads their shuffles again. What is still lazy afterwards isn't touched.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def release(df: DataFrame) -> None:
     """Remove a table that materialize() wrote and nothing reads any more."""
     drop_table(df.sparkSession, df.scratch_path)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import together, materialize, mix64, only_keys, release, shingle_sets, ship, without_keys, words_of
+from .common import dropping_shuffles, together, materialize, mix64, only_keys, release, shingle_sets, ship, without_keys, words_of
 from .components import connected_components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -451,6 +451,11 @@ def _unit_runs(written: DataFrame, docs: DataFrame, copies: DataFrame) -> DataFr
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per removed run: doc_id, start, end (code points), n_words, n_units, kept_doc_ids (where its units stay), component_id (of its first unit), and text if asked for."""
+    with dropping_shuffles(docs.sparkSession):
+        return _repeated_passages(docs, id_col, text_col, with_text)
+
+
+def _repeated_passages(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFrame:
     own = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     # Unlike a row number, the key is the same in every scan.
     rows = docs.select(own[0].alias("_id"), own[1].alias("_text"), F.xxhash64(*own).alias("_key"))
